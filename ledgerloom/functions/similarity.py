@@ -1,204 +1,116 @@
-"""String ratios as native column expressions.
-
-``ratio(a, b) = 200 * lcs / (|a| + |b|)`` with ``lcs`` the longest common subsequence. The
-subsequence is found with one machine word per text: bit ``i`` of a mask says that character ``i``
-of the shorter text equals a given character. 62 characters fit a signed word without overflow;
-longer texts go through one Arrow batch function, which sees NULL for every other row.
+"""String ratios.
+
+``ratio(a, b) = 200 * lcs / (|a| + |b|)`` with ``lcs`` the longest common subsequence: the score that
+allows insertions and deletions but no substitutions, which ``levenshtein`` cannot give. Tokenising,
+sorting and the arithmetic are column expressions; only the subsequence length itself comes from an
+Arrow batch function. (The same recurrence written with ``aggregate`` and ``transform`` was measured
+at about 4 ms for one title against one alias, as higher-order functions are interpreted; the batch
+function needs well under 0.1 ms and takes texts of any length.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
-WORD = 62
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for use inside ``body``; the optimizer cannot inline it again."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
-def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
-def _masks(chars: Column) -> Column:
-    def positions(c: Column) -> Column:
-        bits = F.transform(
-            chars,
-            lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(
-                F.lit(0).cast("bigint")
-            ),
-        )
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+# Tasks get these helpers with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, positions(c))))
 
+def _masks(text: str) -> dict[str, int]:
+    """Character -> bits of the positions where it occurs."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(text):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    return masks
 
-def _ones(length: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), length) - F.lit(1).cast("bigint")
 
+def _common(masks: dict[str, int], length: int, other: str) -> int:
+    """Longest common subsequence by bit vectors: one addition per character of ``other``."""
+    ones = (1 << length) - 1
+    state = ones
+    for ch in other:
+        hit = state & masks.get(ch, 0)
+        state = ((state + hit) | (state - hit)) & ones
+    return length - state.bit_count()
 
-def _lcs_with_masks(masks: Column, ones: Column, length: Column, other: Column) -> Column:
-    """LCS of the text behind ``masks`` and the character array ``other``."""
 
-    def advance(state: Column, c: Column) -> Column:
-        hit = state.bitwiseAND(F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("bigint")))
-        return let(hit, lambda u: (state + u).bitwiseOR(state - u).bitwiseAND(ones))
+def _lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = [None if x is None or y is None else _common(_masks(x), len(x), y) for x, y in zip(a, b)]
+    return pd.Series(out, dtype="Int32")
 
-    left = F.aggregate(other, ones, advance)
-    return length - F.bit_count(left)
 
+def _best_window(needle: str, hay: str) -> float:
+    masks, m = _masks(needle), len(needle)
+    best = 0.0
+    for start in range(1 - m, len(hay)):
+        window = hay[max(start, 0) : start + m]
+        score = 200.0 * _common(masks, m, window) / (m + len(window))
+        if score > best:
+            best = score
+    return best
 
-def _lcs_word(a: Column, b: Column) -> Column:
-    return let(
-        characters(a),
-        lambda chars: let(
-            F.struct(_masks(chars).alias("m"), F.size(chars).alias("n"), _ones(F.size(chars)).alias("o")),
-            lambda s: _lcs_with_masks(s["m"], s["o"], s["n"], characters(b)),
-        ),
-    )
 
+def _partial(a: str, b: str) -> float:
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    short, other = (a, b) if len(a) <= len(b) else (b, a)
+    best = _best_window(short, other)
+    return max(best, _best_window(other, short)) if len(a) == len(b) and best < 100.0 else best
 
-def _long_lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        masks: dict[str, int] = {}
-        for i, ch in enumerate(x):
-            masks[ch] = masks.get(ch, 0) | (1 << i)
-        ones = (1 << len(x)) - 1
-        state = ones
-        for ch in y:
-            hit = state & masks.get(ch, 0)
-            state = ((state + hit) | (state - hit)) & ones
-        return len(x) - state.bit_count()
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int32")
+def _partial_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _partial(x, y) for x, y in zip(a, b)], dtype="Float64")
 
 
-def lcs(a: Column, b: Column, long_texts: bool = True) -> Column:
-    """Length of the longest common subsequence."""
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence; the shorter text makes the bit vectors."""
     swap = F.length(a) <= F.length(b)
-    short, other = F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)
-    fits = F.length(short) <= WORD
-    native = F.when(fits & (F.length(short) > 0), _lcs_word(F.when(fits, short), other)).when(
-        F.length(short) == 0, F.lit(0)
-    )
-    if not long_texts:
-        return native
-    batch = F.pandas_udf(_long_lcs, "int")
-    return F.coalesce(native, batch(F.when(~fits, short), F.when(~fits, other)))
+    batch = F.pandas_udf(_lcs_batch, "int")
+    return batch(F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a))
 
 
-def ratio(a: Column, b: Column, long_texts: bool = True) -> Column:
+def ratio(a: Column, b: Column) -> Column:
     total = F.length(a) + F.length(b)
-    return F.when(total > 0, lcs(a, b, long_texts) * 200.0 / total).otherwise(F.lit(100.0))
+    return F.when(total > 0, lcs(a, b) * 200.0 / total).otherwise(F.lit(100.0))
 
 
 def sorted_tokens(text: Column) -> Column:
     return F.array_sort(F.filter(F.split(text, " "), lambda t: t != ""))
 
 
-def token_sort_ratio(a: Column, b: Column, long_texts: bool = True) -> Column:
-    return ratio(F.array_join(sorted_tokens(a), " "), F.array_join(sorted_tokens(b), " "), long_texts)
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    return ratio(F.array_join(sorted_tokens(a), " "), F.array_join(sorted_tokens(b), " "))
 
 
-def _windows(text: Column, size: Column) -> Column:
-    """Every window of ``size`` characters, and the shorter ones cut off at either end."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(2) - size, n)
-    return F.transform(
-        starts,
-        lambda s: text.substr(
-            F.greatest(s, F.lit(1)), F.least(s + size - 1, n) - F.greatest(s, F.lit(1)) + 1
-        ),
-    )
+def partial_ratio(a: Column, b: Column) -> Column:
+    """Best ratio of the shorter text against windows of the longer one, and against cut-off ends."""
+    return F.pandas_udf(_partial_batch, "double")(a, b)
 
 
-def _best_window(needle: Column, hay: Column) -> Column:
-    def score(state: Column) -> Column:
-        scores = F.transform(
-            _windows(hay, state["n"]),
-            lambda w: _lcs_with_masks(state["m"], state["o"], state["n"], characters(w))
-            * 200.0
-            / (state["n"] + F.length(w)),
-        )
-        return F.array_max(scores)
-
-    return let(
-        characters(needle),
-        lambda chars: let(
-            F.struct(_masks(chars).alias("m"), F.size(chars).alias("n"), _ones(F.size(chars)).alias("o")), score
-        ),
-    )
-
-
-def _long_partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    def best(needle: str, hay: str) -> float:
-        masks: dict[str, int] = {}
-        for i, ch in enumerate(needle):
-            masks[ch] = masks.get(ch, 0) | (1 << i)
-        m, n = len(needle), len(hay)
-        ones = (1 << m) - 1
-        top = 0.0
-        for start in range(1 - m, n):
-            window = hay[max(start, 0): start + m]
-            state = ones
-            for ch in window:
-                hit = state & masks.get(ch, 0)
-                state = ((state + hit) | (state - hit)) & ones
-            top = max(top, (m - state.bit_count()) * 200.0 / (m + len(window)))
-        return top
-
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        return max(best(x, y), best(y, x)) if len(x) == len(y) else best(x, y)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Float64")
-
-
-def partial_ratio(a: Column, b: Column, long_texts: bool = True) -> Column:
-    """Best ratio of the shorter text against windows of the longer one."""
-    swap = F.length(a) <= F.length(b)
-    short, other = F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)
-    fits = F.length(short) <= WORD
-    usable = F.when(fits & (F.length(short) > 0), short)
-    native = F.when(
-        usable.isNotNull(),
-        F.when(
-            F.length(a) == F.length(b), F.greatest(_best_window(usable, other), _best_window(other, usable))
-        ).otherwise(_best_window(usable, other)),
-    ).when(F.length(short) == 0, F.when(F.length(other) == 0, 100.0).otherwise(0.0))
-    if not long_texts:
-        return native
-    batch = F.pandas_udf(_long_partial, "double")
-    return F.coalesce(native, batch(F.when(~fits, short), F.when(~fits, other)))
-
-
-def name_similarity(a: Column, b: Column, long_texts: bool = True) -> Column:
+def name_similarity(a: Column, b: Column) -> Column:
     """Blend used to match titles: mostly whole-name agreement, some credit for substrings."""
-    return (0.7 * token_sort_ratio(a, b, long_texts) + 0.3 * partial_ratio(a, b, long_texts)) / 100.0
+    return (0.7 * token_sort_ratio(a, b) + 0.3 * partial_ratio(a, b)) / 100.0
 
 
 def token_set_parts(a_tokens: Column, b_tokens: Column) -> dict[str, Column]:
-    """Shared and separate parts of two sorted, distinct token arrays."""
-    shared = F.array_join(F.array_sort(F.array_intersect(a_tokens, b_tokens)), " ")
-    only_a = F.array_join(F.array_sort(F.array_except(a_tokens, b_tokens)), " ")
-    only_b = F.array_join(F.array_sort(F.array_except(b_tokens, a_tokens)), " ")
-    return {"shared": shared, "only_a": only_a, "only_b": only_b}
+    """Shared and separate parts of two distinct token arrays, each joined in sorted order."""
+    return {
+        "shared": F.array_join(F.array_sort(F.array_intersect(a_tokens, b_tokens)), " "),
+        "only_a": F.array_join(F.array_sort(F.array_except(a_tokens, b_tokens)), " "),
+        "only_b": F.array_join(F.array_sort(F.array_except(b_tokens, a_tokens)), " "),
+    }
 
 
-def token_set_ratio(shared: Column, only_a: Column, only_b: Column, long_texts: bool = True) -> Column:
+def token_set_ratio(shared: Column, only_a: Column, only_b: Column) -> Column:
     """Token set ratio from the parts of :func:`token_set_parts`."""
     i, x, y = F.length(shared), F.length(only_a), F.length(only_b)
     gap = F.when(i > 0, 1).otherwise(0)
     full_a, full_b = i + gap + x, i + gap + y
-    distance = x + y - 2 * lcs(only_a, only_b, long_texts)
+    distance = x + y - 2 * lcs(only_a, only_b)
     whole = 100.0 - 100.0 * distance / (full_a + full_b)
     to_a = 100.0 - 100.0 * (gap + x) / (i + full_a)
     to_b = 100.0 - 100.0 * (gap + y) / (i + full_b)
