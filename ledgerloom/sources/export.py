@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Header line, NULL as an empty field."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option(
-        "escape", '"'
+    """Header line, NULL as an empty field; blanks inside values are kept."""
+    df.write.mode("overwrite").options(
+        header=True, nullValue="", emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
 
 

@@ -154,7 +154,8 @@ pp_{e} AS (SELECT a.i AS lo, b.i AS hi, array_to_string(list_sort(list_intersect
   array_to_string(list_filter(a.t, lambda v: NOT list_contains(b.t,v)),' ') AS xa, array_to_string(list_filter(b.t, lambda v: NOT list_contains(a.t,v)),' ') AS xb
   FROM tk_{e} a JOIN tk_{e} b ON a.i<b.i),
 sc_{e} AS (SELECT lo, hi, length(s) AS si, length(xa) AS x, length(xb) AS y, CASE WHEN s='' THEN 0 ELSE 1 END AS gap,
-  CASE WHEN xa='' OR xb='' THEN 0 ELSE {lcs_sql(x, y)} END AS c FROM pp_{e}),
+  CASE WHEN xa='' OR xb='' OR (s<>'' AND (10*(1+length(xa))<=2*length(s)+1+length(xa) OR 10*(1+length(xb))<=2*length(s)+1+length(xb)))
+    OR 10*levenshtein(xa,xb)>2*length(s)+length(xa)+length(xb)+CASE WHEN s='' THEN 0 ELSE 2 END THEN 0 ELSE {lcs_sql(x, y)} END AS c FROM pp_{e}),
 ed_{e} AS (SELECT lo, hi FROM sc_{e} WHERE (si>0 AND (x=0 OR y=0)) OR (si>0 AND (10*(1+x)<=2*si+1+x OR 10*(1+y)<=2*si+1+y)) OR 10*(x+y-2*c)<=2*(si+gap)+x+y),
 adj_{e} AS (SELECT hi AS j, list(lo) AS l FROM ed_{e} GROUP BY 1),
 walk_{e} AS (SELECT 0::bigint AS i, []::bigint[] AS roots UNION ALL SELECT w.i+1, CASE WHEN list_has_any(w.roots, coalesce(a.l,[]::bigint[])) THEN w.roots ELSE list_append(w.roots, w.i+1) END
