@@ -60,7 +60,10 @@ def _double_text(x: Column) -> Column:
 
 
 def text_of(c: Column, dtype: T.DataType) -> Column:
-    """Text form of a typed column, spelled the way spreadsheet users of the engine expect it."""
+    """Text form of a typed column: `58.0`, `12345678.5`, `1e+16`, `True`, `2024-01-05 10:00:00`.
+
+    Digits are those of the JVM; before Java 19 a double of 17 digits may show one more than needed.
+    """
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return _double_text(c.cast("double"))
     if isinstance(dtype, T.BooleanType):

@@ -7,10 +7,12 @@ With a = |sorted distinct tokens joined by blanks|:
 * Shared words decide (all words of one name inside the other, or the extra words X of a name satisfy
   |X| + 1 <= a / 5.5). Rarest tokens whose lengths + 1 add up to more than a / 5.5 cannot all be extra,
   so at least one of them is in the other name.
-* Spelling decides (at most (a + b) / 10 letters inserted or deleted, hence b >= 9/11 a). One insertion
-  or deletion removes at most two letter pairs, so the names share at least 0.35 (a + b) + 1 of their
-  letter pairs, counted with repetition. Among the rarest (a + 1) - 0.35 (a + 9/11 a) - 1 + 2 pairs of
-  both names two are therefore common; names are looked up by such couples of letter pairs.
+* Spelling decides. Then at most D letters are inserted or deleted, D being (a + b) / 10 rounded down to
+  the parity of a + b, hence b is between 9/11 a and 11/9 a. One insertion removes at most one letter
+  pair of a text and one deletion at most two, so both texts share at least 1 + (a + b) / 2 - 1.5 D of
+  their a + 1 and b + 1 letter pairs, counted with repetition. Among the rarest
+  (a + 1) - shared + 2 pairs of either text two are therefore common: texts are looked up by lengths
+  and such couples of letter pairs.
 """
 
 from __future__ import annotations
@@ -20,9 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.functions.similarity import lcs, sorted_tokens, token_set_parts
 from ledgerloom.session import durable
 
-# Couples grow with the square of the length, so long names are looked up by single letter pairs.
-# A short and a long name can only match when both are at most COUPLE_MAX * 11 / 9 long.
-COUPLE_MAX = 64
+# Couples grow with the square of the length, so names that are long together use single letter pairs.
+COUPLE_MAX = 128
 ROWS_PER_SALT = 20_000
 
 
@@ -70,41 +71,35 @@ def spelling_candidates(sigs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of texts that can match because they are spelled almost alike."""
     grams = sigs.select("sig", F.col("a").alias("n"), F.explode(_numbered_pairs(F.col("sig"))).alias("gram"))
     weights = durable(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("weight")), "gram-weights")
-    rare_first = Window.partitionBy("sig").orderBy("weight", "gram")
-    # ceil(0.35 * (n + 9/11 n) + 1) in whole numbers: (7 n + 10) / 11 rounded up.
-    least_shared = F.floor((F.col("n") * 7 + 21) / 11)
-    single = F.col("n") + 1 - least_shared + 1
-    prefix = (
-        grams.join(weights, "gram")
-        .withColumn("rank", F.row_number().over(rare_first))
-        .filter(F.col("rank") <= single + 1)
-        .groupBy("sig", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "gram"))).alias("g"))  # bounded by the text's length
+    # Letter pairs of each text, rarest first; the list is as long as the text.
+    ordered = (
+        grams.join(weights, "gram").groupBy("sig", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("weight", "gram"))).alias("g"))
         .withColumn("g", F.transform("g", lambda x: x["gram"]))
     )
-    couples = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("g") - 1),
-            lambda i: F.transform(F.slice("g", i + 1, F.size("g")), lambda h: F.concat(F.get("g", i - 1), F.lit("\x1f"), h)),
-        )
-    )
-    singles = F.slice("g", F.lit(1), single.cast("int"))
-    none = F.array().cast("array<string>")
-    keys = F.concat(
-        F.when((F.col("n") * 9 <= COUPLE_MAX * 11) & (F.size("g") > 1), couples).otherwise(none),
-        F.when(F.col("n") > COUPLE_MAX, singles).otherwise(none),
-    )
-    # Every text has two letter pairs at least, so couples exist for each of them. Sorting the couple's
-    # members makes its key the same in both texts.
-    listed = prefix.select("sig", "n", F.explode(keys).alias("key"))
-    order = F.array_sort(F.split("key", "\x1f"))
-    listed = durable(listed.withColumn("key", F.array_join(order, "\x1f")), "spelling-keys")
-    weights2 = listed.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") > 1)
-    weights2 = durable(weights2, "spelling-weights")
-    left = listed.select("key", F.col("sig").alias("a"), F.col("n").alias("na"))
-    right = listed.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"))
-    close = (F.col("na") * 9 <= F.col("nb") * 11) & (F.col("nb") * 9 <= F.col("na") * 11)
-    return _salted(left, right, "key", weights2).filter((F.col("a") < F.col("b")) & close).select("a", "b")
+    n, m = F.col("n"), F.col("m")
+    total = n + m
+    most_edits = F.floor(total / 10) - F.pmod(total + F.floor(total / 10), F.lit(2))
+    least_shared = F.floor((2 + total - 3 * most_edits + 1) / 2)
+    reach = (n + 1 - least_shared + 1).cast("int")
+    lengths = F.sequence(F.ceil(n * 9 / 11).cast("int"), F.floor(n * 11 / 9).cast("int"))
+    listed = ordered.withColumn("m", F.explode(lengths)).withColumns({"reach": reach, "couple": total <= COUPLE_MAX})
+    rare = F.slice("g", F.lit(1), F.col("reach") + F.when(F.col("couple"), 1).otherwise(0))
+
+    def both(x: Column, y: Column) -> Column:
+        return F.concat(F.least(x, y), F.greatest(x, y))
+
+    listed = listed.withColumn("r", rare)
+    couples = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda y: both(x, y))))
+    length_pair = F.concat_ws(",", F.least(n, m).cast("string"), F.greatest(n, m).cast("string"), F.lit(""))
+    keys = F.transform(F.when(F.col("couple"), couples).otherwise(F.col("r")), lambda k: F.concat(length_pair, k))
+    keyed = durable(listed.select("sig", "n", "m", F.explode(keys).alias("key")), "spelling-keys")
+    # A key held by one text only leads nowhere.
+    shared = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") > 1), "spelling-weights")
+    left = keyed.select("key", F.col("sig").alias("a"), F.col("n").alias("na"))
+    right = keyed.select("key", F.col("sig").alias("b"), F.col("m").alias("mb"))
+    # The partner has the length this text was listed for.
+    return _salted(left, right, "key", shared).filter((F.col("a") < F.col("b")) & (F.col("mb") == F.col("na"))).select("a", "b")
 
 
 def matching_pairs(sigs: DataFrame) -> DataFrame:
@@ -118,7 +113,7 @@ def matching_pairs(sigs: DataFrame) -> DataFrame:
     total = 2 * (i + gap) + x + y
     contained = (i > 0) & ((x == 0) | (y == 0))
     dominated = (i > 0) & ((10 * (1 + x) <= 2 * i + 1 + x) | (10 * (1 + y) <= 2 * i + 1 + y))
-    budget = F.floor(total / 10).cast("int")
+    budget = F.floor(total / 10) - F.pmod(total + F.floor(total / 10), F.lit(2))
     sure = durable(
         known.withColumns({"sure": contained | dominated, "budget": budget})
         # Levenshtein distance never exceeds the insert/delete distance and stops early at the budget.
@@ -130,26 +125,37 @@ def matching_pairs(sigs: DataFrame) -> DataFrame:
     return sure.filter("sure").select("a", "b").unionByName(close.select("a", "b"))
 
 
+ROUNDS = 8
+
+
 def _absorbed(edges: DataFrame) -> DataFrame | None:
     """Texts that an earlier root takes, given edges ``(lo, hi)`` from earlier to later texts.
 
-    Round by round: a text without earlier open neighbours is a root, its later neighbours are
-    absorbed, and both leave the edge table. This gives what a walk in order would give.
+    A text is absorbed once an earlier neighbour is a root, and a root once all earlier neighbours are
+    absorbed. That depends on the neighbours only, so several rounds chain in one job; then decided
+    texts leave the edge table. The outcome is that of a walk in order.
     """
     rest, gone = edges.select("lo", "hi"), None
     while not rest.isEmpty():
-        heads = rest.select("lo").distinct().join(rest.select(F.col("hi").alias("lo")), "lo", "left_anti")
-        step = durable(
-            rest.join(heads, "lo").select(F.col("hi").alias("sig")).distinct().withColumn("absorbed", F.lit(True))
-            .unionByName(heads.select(F.col("lo").alias("sig"), F.lit(False).alias("absorbed"))),
-            "fold-step",
-        )
+        later = rest.select(F.col("hi").alias("lo"), F.lit(False).alias("free")).distinct()
+        marked = durable(rest.join(later, "lo", "left").withColumn("free", F.coalesce("free", F.lit(True))), "fold-marked")
+        state = None
+        for _ in range(ROUNDS):
+            if state is None:
+                seen = marked.withColumn("root", F.when(F.col("free"), F.lit(True)))
+            else:
+                seen = marked.join(state.select(F.col("hi").alias("lo"), F.col("root").alias("known")), "lo", "left").withColumn(
+                    "root", F.when(F.col("free"), F.lit(True)).otherwise(F.col("known"))
+                )
+            taken = F.coalesce(F.bool_or("root"), F.lit(False))
+            settled = F.count_if(F.col("root").isNull()) == 0
+            state = seen.groupBy("hi").agg(F.when(taken, F.lit(False)).when(settled, F.lit(True)).alias("root"))
+        decided = durable(state.filter(F.col("root").isNotNull()), "fold-decided")
+        absorbed = decided.filter(~F.col("root")).select(F.col("hi").alias("sig"))
+        gone = absorbed if gone is None else gone.unionByName(absorbed)
         rest = durable(
-            rest.join(step.select(F.col("sig").alias("hi")), "hi", "left_anti").join(step.select(F.col("sig").alias("lo")), "lo", "left_anti"),
-            "fold-rest",
+            rest.join(decided.select("hi"), "hi", "left_anti").join(absorbed.select(F.col("sig").alias("lo")), "lo", "left_anti"), "fold-rest"
         )
-        taken = step.filter("absorbed").select("sig")
-        gone = taken if gone is None else gone.unionByName(taken)
     return gone
 
 
