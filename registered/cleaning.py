@@ -9,7 +9,7 @@ from ledgerloom.functions.text import is_blank
 from ledgerloom.operators import clean as C
 from ledgerloom.operators.rules import INTERNAL
 from registered import oracle as O
-from registered.inputs import MESSY_TITLES, ORDER_KEY, messy_sales, register
+from registered.inputs import MESSY_TITLES, ORDER_KEY, messy_sales, register, with_keys
 
 QUERIES, ORACLES = {}, {}
 
@@ -77,8 +77,8 @@ cleaned AS (SELECT pos, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extend
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 
-def keyed(df, *cols):
-    return df.select(*[F.col("pos")[k].alias(k) for k in ORDER_KEY], *cols)
+def keyed(df, d, *cols):
+    return with_keys(df, d, ORDER_KEY).select(*ORDER_KEY, *cols)
 
 
 @query("combine_datetime", O.with_(O.messy()) + f"""SELECT {KEY}, CASE WHEN l_orderkey%29=0 THEN NULL ELSE {O.iso_date('order_date_raw')} END||'T'||
@@ -163,14 +163,14 @@ def filter_not_in(spark, d):
 
 @query("dropped_rows", O.with_(clean_sql()) + f"SELECT {KEY}, reason, order_date_iso AS sample FROM casted WHERE reason IS NOT NULL")
 def dropped_rows(spark, d):
-    return keyed(C.dropped_report(cleaned(spark, d)), "reason", "sample")
+    return keyed(C.dropped_report(cleaned(spark, d)), d, "reason", "sample")
 
 
 def doubled(spark, d) -> C.Sheet:
     """Messy rows with some of them repeated."""
     m = messy_sales(spark, d)
-    both = m.withColumn("copy", F.lit(0)).unionByName(m.filter(F.col("l_orderkey") % 50 == 0).withColumn("copy", F.lit(1)))
-    both = both.withColumn("pos", F.struct(*ORDER_KEY, "copy"))
+    again = m.filter(F.col("l_orderkey") % 50 == 0)
+    both = m.withColumn("pos", F.col("pos") * 2).unionByName(again.withColumn("pos", F.col("pos") * 2 + 1))
     return C.Sheet.of_table(both, MESSY_TITLES, name="Sales")
 
 
@@ -182,12 +182,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY order_date_iso,time_raw,cus
 @query("dedupe_exact", O.with_(DOUBLE) + f"SELECT {KEY}, copy, customer_name_raw AS customer_name, sku_raw AS sku, net_sales FROM ranked WHERE r=1")
 def dedupe_exact(spark, d):
     kept = C.clean(doubled(spark, d), C.override_rules(RULES, enabled={"r8": True}), SCHEMA).kept
-    return keyed(kept, F.col("pos.copy").alias("copy"), "customer_name", "sku", "net_sales")
+    halved = kept.withColumns({"copy": (F.col("pos") % 2).cast("int"), "pos": F.floor(F.col("pos") / 2)})
+    return keyed(halved, d, "copy", "customer_name", "sku", "net_sales")
 
 
 @query("project_schema", O.with_(clean_sql()) + f"SELECT {KEY}, {', '.join(COLUMNS)} FROM cleaned")
 def project_schema(spark, d):
-    return keyed(cleaned(spark, d).kept, *COLUMNS)
+    return keyed(cleaned(spark, d).kept, d, *COLUMNS)
 
 
 DQ = " UNION ALL ".join(

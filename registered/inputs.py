@@ -91,9 +91,20 @@ MESSY_TITLES = {
 
 
 def messy_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One dirty row per line item; ``pos`` is its unique order key."""
-    made = derived_once("messy-sales", spark, sf_dir, lambda: run(spark, sf_dir, MESSY_SALES))
-    return made.withColumn("pos", F.struct(*ORDER_KEY))
+    """One dirty row per line item; ``pos`` numbers the rows in the order of ``ORDER_KEY``.
+
+    A number keeps aggregates over ``pos`` in the hash aggregate; a struct would force sorting.
+    """
+
+    def build():
+        return run(spark, sf_dir, MESSY_SALES).orderBy(*ORDER_KEY).withColumn("pos", F.monotonically_increasing_id())
+
+    return derived_once("messy-sales", spark, sf_dir, build)
+
+
+def with_keys(df: DataFrame, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Add key columns of the messy rows back to rows that carry ``pos``."""
+    return df.join(messy_sales(df.sparkSession, sf_dir).select("pos", *columns), "pos")
 
 
 # ---------------------------------------------------------------------------------------------

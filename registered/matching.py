@@ -10,7 +10,7 @@ from ledgerloom.operators import clean as C, conform as U, grouping as G, match
 from ledgerloom.operators.headers import SHEET
 from registered import oracle as O
 from registered.cleaning import RULES, SCHEMA, clean_sql, messy_sheet
-from registered.inputs import MESSY_TITLES, ORDER_KEY, derived_once, messy_sales, register
+from registered.inputs import MESSY_TITLES, ORDER_KEY, derived_once, messy_sales, register, with_keys
 from registered.sheets import body
 
 QUERIES, ORACLES = {}, {}
@@ -300,15 +300,14 @@ def conformed_member(spark, d, name: str = "Sales") -> U.Member:
 
 
 def conformed(spark, d):
-    """Conformed sales rows with storage types; ``pos`` is the order key."""
+    """Conformed sales rows with storage types and ``l_orderkey``."""
     rows, _ = U.union_members([conformed_member(spark, d)])
-    return rows
+    return with_keys(rows, d, ["l_orderkey"])
 
 
 @query("conform_sheet", O.with_(CONFORMED) + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, order_date, customer, customer_id, product_code, product, qty_text AS quantity, amount, vendor, region, channel FROM (SELECT c.*, qty_raw AS qty_text FROM conformed c JOIN casted k USING (pos))".replace("USING (pos)", "ON c.pos=k.pos"))
 def conform_sheet(spark, d):
-    rows = conformed_member(spark, d).rows
-    return rows.select(*[F.col("pos")[k].alias(k) for k in ORDER_KEY], *CONFORMED_COLUMNS)
+    return with_keys(conformed_member(spark, d).rows, d, ORDER_KEY).select(*ORDER_KEY, *CONFORMED_COLUMNS)
 
 
 @query("union_members", O.with_(CONFORMED) + """, product_rows AS (SELECT lpad(p_partkey::varchar,8,'0') AS product_code, p_name AS product, p_retailprice AS unit_price, p_size::varchar AS unit_size FROM part)
@@ -317,14 +316,11 @@ UNION ALL SELECT 'Products', product_code, product, NULL, NULL, unit_price, unit
 def union_members(spark, d):
     register(spark, d)
     part = spark.table("part").select(
-        F.struct("p_partkey").alias("pos"), F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("product_code"), F.col("p_name").alias("product"),
+        F.col("p_partkey").alias("pos"), F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("product_code"), F.col("p_name").alias("product"),
         F.col("p_retailprice").cast("string").alias("unit_price"), F.col("p_size").alias("unit_size"),
     )
     products = U.Member("Products", part, {"product_code": "string", "product": "string", "unit_price": "decimal", "unit_size": "string"})
     sales = conformed_member(spark, d)
-    products.rows = products.rows.withColumn("pos", F.struct(F.col("pos.p_partkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"),
-                                                             F.lit(0).cast("bigint").alias("l_partkey"), F.lit(0).cast("bigint").alias("l_suppkey"),
-                                                             F.lit(0.0).cast("double").alias("l_extendedprice")))
     rows, _ = U.union_members([sales, products])
     return rows.select("member", "product_code", "product", "quantity", "amount", "unit_price", "unit_size", "order_date")
 
