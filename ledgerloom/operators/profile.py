@@ -13,6 +13,7 @@ from ledgerloom.functions.casts import parse_double, to_number
 from ledgerloom.functions.text import blank_to_null, kind_of, snake, strip, text_of
 from ledgerloom.operators.firstk import first_k
 from ledgerloom.operators.headers import SHEET
+from ledgerloom.session import durable
 
 COLUMN = [*SHEET, "col_index"]
 HEAD_SAMPLE = 5
@@ -206,9 +207,10 @@ def describe_columns(stats: DataFrame, titles: DataFrame) -> DataFrame:
 def profile_columns(cells: DataFrame, titles: DataFrame, samples: bool = True) -> DataFrame:
     """Full column profile of every sheet in one job; ``samples=False`` leaves the examples out."""
     values = weighted_values(cells)
-    described = describe_columns(column_stats(values), titles)
     if not samples:
-        return described
+        return describe_columns(column_stats(values), titles)
+    values = durable(values, "values")  # read by the statistics and by the samples
+    described = describe_columns(column_stats(values), titles)
     return described.join(column_samples(cells, values), COLUMN, "left").withColumns(
         {
             "sample": F.coalesce("sample", F.array().cast("array<string>")),
