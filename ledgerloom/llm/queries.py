@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm.packing import op7_best_fit_packing
-from ledgerloom.llm.token_counts import op8_token_counts
+from ledgerloom.llm import chat_format, exact_dedup, packing, token_counts, url_filters
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op8_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        chat_format.op4_chat_format,
+        exact_dedup.op5_exact_dedup,
+        url_filters.op6_url_filters,
+        packing.op7_best_fit_packing,
+        token_counts.op8_token_counts,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat_format": chat_format.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_url_filters": url_filters.ORACLE,
+}
