@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat_format, decontaminate, exact_dedup, packing, token_counts, url_filters
+from ledgerloom.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, token_counts, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         url_filters.op6_url_filters,
         packing.op7_best_fit_packing,
         token_counts.op8_token_counts,
+        ngram_join.op10_ngram_join,
     )
 }
 
@@ -21,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": chat_format.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
