@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, token_counts, url_filters
+from ledgerloom.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, token_counts, url_filters, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         decontaminate.op1_decontaminate,
+        warc.op2_warc,
         chat_format.op4_chat_format,
         exact_dedup.op5_exact_dedup,
         url_filters.op6_url_filters,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
