@@ -24,7 +24,7 @@ PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_048_583_921, 1_299_709_173)
 #: Bytes of a chunk in the comparison, and members of a group that one round compares with its first text.
 COMPARED = 1 << 16
-PART = 512
+PART = 64
 
 
 def powers(chunk: int = CHUNK) -> list[list[int]]:
