@@ -184,7 +184,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     groups = durable(prints.groupBy(*FP).agg(F.count("*").alias("size")).filter("size > 1"), "groups")
     known = F.coalesce("doc_id", F.lit(-1)).alias("id")
     members = durable(prints.join(groups, FP).select(known, "row_key", *FP, "size"), "members")
-    candidates = durable(members.join(keyed(docs).select(known, "row_key", "norm"), ["id", "row_key"]), "candidates")
+    # the same join at every size: texts are dealt by key once
+    candidates = durable(members.hint("merge").join(keyed(docs).select(known, "row_key", "norm"), ["id", "row_key"]), "candidates")
     unequal = unequal_groups(candidates).withColumn("torn", F.lit(True))
     # texts that differ under an equal fingerprint are told apart by their whole digest
     classed = prints.join(unequal, FP, "left").withColumn("variant", F.when(F.col("torn"), F.col("text_sha256")).otherwise("")).drop("torn")
