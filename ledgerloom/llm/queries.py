@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, token_counts, url_filters, warc
+from ledgerloom.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         decontaminate.op1_decontaminate,
         warc.op2_warc,
+        toxicity.op3_toxicity,
         chat_format.op4_chat_format,
         exact_dedup.op5_exact_dedup,
         url_filters.op6_url_filters,
