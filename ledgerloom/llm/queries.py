@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, token_counts, toxicity, url_filters, warc
+from ledgerloom.llm import chat_format, decontaminate, exact_dedup, lm_scoring, ngram_join, packing, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         url_filters.op6_url_filters,
         packing.op7_best_fit_packing,
         token_counts.op8_token_counts,
+        lm_scoring.op9_lm_scoring,
         ngram_join.op10_ngram_join,
     )
 }
