@@ -103,10 +103,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
         *KEYS, F.floor(start / PART).cast("int").alias("part"), F.struct((start % PART).alias("place"), "window_id", "words").alias("c")
     ).distinct()
     by_part = candidates.groupBy(*KEYS, "part").agg(F.collect_list("c").alias("cs"))
-    same = F.filter("cs", lambda c: F.slice(F.col("w"), c["place"] + 1, F.size(c["words"])) == c["words"])
-    texts = parts.select(*KEYS, "part", "w")
+    # texts are dealt as strings, a third of the size of arrays
+    texts = parts.select(*KEYS, "part", F.array_join("w", " ").alias("w"))
+    own = let(F.split("w", " "), lambda w: F.filter("cs", lambda c: F.slice(w, c["place"] + 1, F.size(c["words"])) == c["words"]))
     verified = durable(
-        texts.join(by_part, [*KEYS, "part"]).select(*KEYS, "part", F.explode(same).alias("c"))
+        texts.join(by_part, [*KEYS, "part"]).select(*KEYS, "part", F.explode(own).alias("c"))
         .select(*KEYS, (F.col("part") * PART + F.col("c.place")).alias("start"), F.size("c.words").alias("length"), F.col("c.window_id").alias("window_id")).distinct(),
         "verified",
     )
