@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import lower_ascii, table
@@ -95,9 +95,13 @@ def fingerprints(texts: list[bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
+def normalised(text: Column) -> Column:
+    return lower_ascii(F.coalesce(text, F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, norm: the normalised text, and a key that tells rows with a repeated id apart by it."""
-    norm = lower_ascii(F.coalesce("text", F.lit("")))
+    norm = normalised(F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", F.xxhash64("norm").alias("row_key"), "norm")
 
 

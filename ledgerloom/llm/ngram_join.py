@@ -271,7 +271,9 @@ def near_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, key, n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, key, n_shingles, component_id, stays.
+
+    ``stays`` marks one row of each component: that of its smallest id (repeated rows, with the same keys, alike).
 
     A null or empty text has no n-grams and is alone; its component is its own id. Null ids are never a component's
     smallest unless all its ids are null. Rows with repeated ids are linked by their texts like all others.
@@ -288,18 +290,21 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     texts = keyed(docs).select("key", "text").join(alive.select("key", "id"), "key").select("id", "text")
     sets = durable(set_hashes(texts, n).dropDuplicates(["id"]).join(alive.select("id", "n"), "id"), "hashes")
     roots = near_sets(sets, percent)
-    least = durable(rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("least")), "classes")
+    first_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    least = durable(rows.groupBy("c1", "c2").agg(F.min(first_row).alias("least")), "classes")
     of_root = alive.select("c1", "c2", "id").join(roots, alive.id == roots.node).select("c1", "c2", "root").join(least, ["c1", "c2"])
     low = of_root.groupBy("root").agg(F.min("least").alias("component"))
     named = durable(of_root.join(low, "root").select("c1", "c2", "component"), "components")
-    whole = durable(least.join(named, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "least").alias("component_id")), "components")
+    whole = durable(least.join(named, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "least").alias("least")), "components")
+    some = F.col("n") > 0
     return rows.join(whole, ["c1", "c2"]).select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(some, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~some | (F.col("key") == F.col("least.key"))).alias("stays"),
     )
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents")).drop("key")
+    return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

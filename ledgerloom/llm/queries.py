@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ledgerloom.llm import chat_format, decontaminate, exact_dedup, lm_scoring, ngram_join, packing, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
@@ -20,6 +21,8 @@ QUERIES = {
     )
 }
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_warc": warc.ORACLE,

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import remainder, slices, table
 from ledgerloom.session import durable
@@ -331,24 +332,32 @@ def present(fit: DataFrame, model, weights: dict[str, list[tuple]]) -> DataFrame
     return fit.select("mark", "text").mapInArrow(run, "mark long, features array<string>")
 
 
-def scored(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, score (0 to 1), predicted (1 from 0.7 on).
+def with_scores(docs: DataFrame, labels: DataFrame, carry: list[str], name: str = "score", rows: int = FIT_ROWS) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (doc_id, text, ...) and the score of each row's text, from 0 to 1.
 
-    labels (doc_id, toxic) are learned from where crc32 of the id modulo 3 is not 1; without any toxic one all scores
-    are 0. The score of a text is that of its most telling feature; null and empty texts have 0.
-    Null and repeated ids keep their rows; other columns are not read.
+    labels (doc_id, toxic) are learnt from where crc32 of the id modulo 3 is not 1; without any toxic one all scores
+    are 0. The score of a text is that of its most telling feature; null and empty texts have 0. Null and repeated ids
+    keep their rows.
     """
     model, evidence = trained(docs, labels, rows)
     told = docs.sparkSession.sparkContext.broadcast(evidence)
+    given = docs.select(F.col("text").alias("_text"), *carry)
 
     def run(batches):
         judge = Judge(model.value, told.value)
-        for ids, texts in slices(batches):
-            best = [judge(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([b[0][1] if b else 0.0 for b in best], pa.float64())], names=["doc_id", "score"])
+        for b in batches:
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                best = [judge(t) for t in part.column(0).to_pylist()]
+                score = pa.array([x[0][1] if x else 0.0 for x in best], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], score], names=[*carry, name])
+
+    return given.mapInArrow(run, T.StructType([*given.schema.fields[1:], T.StructField(name, T.DoubleType())]))
 
-    got = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return got.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+def scored(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, score and predicted (1 from the threshold on) of each row of ``docs``, as in :func:`with_scores`."""
+    return with_scores(docs, labels, ["doc_id"], rows=rows).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
