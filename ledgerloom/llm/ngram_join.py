@@ -8,9 +8,10 @@ every pair, so work goes to what can count towards a link:
    Rows with too few shared entries cannot be linked and leave. Most documents leave here.
 2. Columns. N-grams that only one of the remaining sets has add nothing to a product and are dropped; the others are
    ordered by rarity, and each set keeps the few rarest that a linked set must have one of.
-3. Products. In each column, sets are first compared with one of them; what that links needs no further comparison.
-   Columns whose sets are not all connected then take the products of all sets of different components. So a large
-   group of near copies costs about a product per set, and no link between components is lost.
+3. Products. Sets that share such a column, directly or by others, are a cluster; no link leaves it. A cluster is cut
+   into blocks of rows, and a task takes the product of two blocks at a time: rare columns pair by pair, others as dense
+   tiles. It keeps the counts to itself, drops those under the bound of the two sizes, and gives out only what
+   connects the rows, never pairs. So a large group of near copies moves each set once for each block of its cluster.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import keyed, slices, table
+from ledgerloom.llm.common import keyed, table
 from ledgerloom.llm.graph import components
 from ledgerloom.session import durable
 
@@ -31,8 +32,10 @@ PERCENT = 85
 #: Sets for which one block of columns is made, at least 256 blocks, and entries a task gathers at most.
 PER_BLOCK = 20_000
 GATHERED = 3_000_000
-#: Rounds with one product per set and column before the rest is compared in full.
-STARS = 6
+#: Rows of a block of a large cluster; two blocks are a cell, the work of one task at a time.
+ROWS_PER_BLOCK = 1024
+#: Columns with so many rows are multiplied as dense tiles of so many columns, others pair by pair.
+DENSE, TILE = 32, 2048
 
 
 class Shingles:
@@ -205,16 +208,16 @@ def count_blocks(entries: DataFrame) -> DataFrame:
 
 
 def set_hashes(texts: DataFrame, n: int) -> DataFrame:
-    """texts (id, text) to (id, hashes)."""
+    """texts (id, n, text) to (id, n, hashes)."""
 
     def run(batches):
         shingles = Shingles(n)
-        for ids, values in slices(batches):
+        for (ids, sizes), values in keyed_slices(batches):
             sets = [shingles(t).view(np.int64) for t in values]
             ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["id", "n", "hashes"])
 
-    return texts.mapInArrow(run, "id long, hashes array<long>")
+    return texts.mapInArrow(run, "id long, n long, hashes array<long>")
 
 
 def numbered(sets: DataFrame) -> DataFrame:
@@ -226,48 +229,92 @@ def numbered(sets: DataFrame) -> DataFrame:
     raise ValueError("no seed keeps the sets apart")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (id, n, hashes: those that another set has too) are similar enough."""
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}"))
-    near = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
-    both = F.size(F.array_intersect("h_a", "h_b"))
-    return near.filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+def overlaps(owner: np.ndarray, column: np.ndarray, b: int) -> np.ndarray:
+    """Upper triangle of the product of a sparse 0-1 matrix of ``b`` rows with its transpose, from its entries by row."""
+    out = np.zeros((b, b), np.int32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1]))) if len(column) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(column)))
+    for d in np.unique(size[(size > 1) & (size < DENSE)]).tolist():
+        rows = owner[first[size == d][:, None] + np.arange(d)]
+        x, y = np.triu_indices(d, 1)
+        step = max(1, 4_000_000 // len(x))
+        for k in range(0, len(rows), step):
+            np.add.at(out, (rows[k : k + step][:, x].ravel(), rows[k : k + step][:, y].ravel()), 1)
+    full = np.flatnonzero(size >= DENSE)
+    for k in range(0, len(full), TILE):
+        own = full[k : k + TILE]
+        tile = np.zeros((b, len(own)), np.float32)
+        tile[owner[np.concatenate([np.arange(first[c], first[c] + size[c]) for c in own])], np.repeat(np.arange(len(own)), size[own])] = 1
+        out += (tile @ tile.T).astype(np.int32)
+    return np.triu(out, 1)
+
+
+def connected(n: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """For each row the first row it is connected to by links."""
+    linked = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    linked |= linked.T
+    label = np.arange(len(n))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(n)).min(1, initial=len(n)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def products(cells: DataFrame, percent: int) -> DataFrame:
+    """cells (cluster, p, q, id, n, hashes) to links (a, b) that connect what is linked within each cell."""
+
+    def cell(ids, n, sets):
+        if len(ids) < 2:
+            return None
+        order = np.argsort(ids)
+        ids, n, sets = np.array(ids)[order], np.array(n, np.int64)[order], [sets[k] for k in order]
+        column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        label = connected(n, overlaps(np.repeat(np.arange(len(ids)), [len(x) for x in sets]), column, len(ids)), percent)
+        moved = label != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"]) if moved.any() else None
+
+    def run(batches):
+        key, held = None, ([], [], [])
+        for b in batches:
+            hashes = b.column(5)
+            for k, (*now, id_, n) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
+                if now != key:
+                    if (out := cell(*held)) is not None:
+                        yield out
+                    key, held = now, ([], [], [])
+                for x, v in zip(held, (id_, n, hashes[k].values.to_numpy())):
+                    x.append(v)
+        if (out := cell(*held)) is not None:
+            yield out
+
+    by = ["cluster", "p", "q"]
+    return cells.select(*by, "id", "n", "hashes").repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(run, "a long, b long")
 
 
 def near_sets(sets: DataFrame, percent: int) -> DataFrame:
     """sets (id, n, hashes) to (node, root) of those that are linked."""
-    spark = sets.sparkSession
     each = sets.select("id", "n", F.explode("hashes").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     least = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
-    kept = each.join(common, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e")).filter(F.size("e") >= least)
+    kept = each.join(common.hint("merge"), "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e")).filter(F.size("e") >= least)
     kept = durable(kept.select("id", "n", F.col("e.h").alias("hashes")), "sets")
     # entries no other set has are the rarest, and use up the front of the prefix
-    prefix = durable(kept.select("id", "n", F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - least + 1)).alias("h")), "columns")
-    links, labels = None, None
-    for turn in range(STARS + 1):
-        named = prefix.withColumn("root", F.col("id")) if labels is None else prefix.join(labels, prefix.id == labels.node, "left").select("id", "n", "h", F.coalesce("root", "id").alias("root"))
-        part = named.groupBy("h", "root").agg(F.count("*").alias("s"), F.min(F.xxhash64(F.lit(turn), "id")).alias("low"))
-        # columns that hold more than one component, and the products they would need
-        # min_by of whole numbers stays a hash aggregate
-        many = part.groupBy("h").agg(F.count("*").alias("roots"), F.sum("s").alias("size"), F.sum(F.col("s") * F.col("s")).alias("inside"), F.min("low").alias("low")).filter("roots > 1")
-        many = durable(many.select("h", "size", "low", ((F.col("size") * F.col("size") - F.col("inside")) / 2).alias("products")), "columns")
-        rows, products = many.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("products"), F.lit(0))).first()
-        if not rows:
-            break
-        open_ = durable(named.join(many.select("h", "low"), "h"), "open")
-        fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-        last = turn == STARS or products <= 2 * rows
-        other = open_ if last else open_.filter(F.xxhash64(F.lit(turn), "id") == F.col("low"))
-        other = other.select("h", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        pairs = open_.join(other, "h").filter((F.col("root") != F.col("root_b")) & fits & ((F.col("id") < F.col("id_b")) if last else F.lit(True)))
-        new = durable(linked(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")), kept, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            labels = durable(components(links), "labels")
-        if last:
-            break
-    return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+    prefix = durable(kept.select("id", F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - least + 1)).alias("h")), "columns")
+    low = prefix.groupBy("h").agg(F.min("id").alias("low"))
+    clusters = components(prefix.join(low, "h").select(F.col("id").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct())
+    clusters = durable(clusters, "clusters")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / ROWS_PER_BLOCK).cast("int").alias("m"))
+    placed = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    # a large cluster is cut into blocks of rows, and every two blocks meet in one cell
+    others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda k: (k != F.col("own")) | (F.col("m") == 1))
+    cells = placed.select("root", "node", "own", F.explode(others).alias("k")).select(
+        F.col("root").alias("cluster"), F.least("own", "k").alias("p"), F.greatest("own", "k").alias("q"), F.col("node").alias("id")
+    )
+    return components(products(cells.join(kept, "id"), percent))
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -287,8 +334,9 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     alive = own.join(remote, ["src", "place"], "left").filter(total >= need).groupBy("c1", "c2", "n").agg(F.min("key").alias("key"))
     alive = durable(numbered(durable(alive, "alive")), "alive")
-    texts = keyed(docs).select("key", "text").join(alive.select("key", "id"), "key").select("id", "text")
-    sets = durable(set_hashes(texts, n).dropDuplicates(["id"]).join(alive.select("id", "n"), "id"), "hashes")
+    # the same join at every size: texts are dealt by key once, and a repeated row is hashed once
+    texts = keyed(docs).select("key", "text").join(alive.select("key", "id", "n").hint("merge"), "key").dropDuplicates(["key"]).select("id", "n", "text")
+    sets = durable(set_hashes(texts, n), "hashes")
     roots = near_sets(sets, percent)
     first_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     least = durable(rows.groupBy("c1", "c2").agg(F.min(first_row).alias("least")), "classes")
