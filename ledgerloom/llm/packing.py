@@ -133,7 +133,8 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = OPEN, share: int = 100
     placed = durable(place(pieces, size, most, False), "packed")
     out = placed.filter("length IS NOT NULL")
     left = placed.filter("length IS NULL")
-    n, k = left.count(), 0
+    # a task leaves ``most`` bins open at most, so every round has half as many bins at least
+    n, k, share = left.count(), 0, max(share, 2 * most)
     moves = None
     while n:
         k += 1
@@ -141,13 +142,13 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = OPEN, share: int = 100
         # an open bin is an item: its bin in the place of the document, its used space as the length
         items = left.select(F.col("bin").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("offset").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
         dealt = items.repartition(tasks, F.xxhash64("doc_id")).sortWithinPartitions(F.desc("length"), "doc_id")
-        done = durable(place(dealt, size, share, tasks == 1), "packed")
+        done = durable(place(dealt, size, share if tasks == 1 else most, tasks == 1), "packed")
         step = done.filter("length IS NOT NULL").select(F.col("doc_id").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("shift"))
         if moves is None:
             moves = step.withColumn("round", F.lit(k))
         else:
             # follow a bin on into the bin of the next round
-            after = step.withColumnsRenamed({"bin": "to", "to": "to2", "shift": "shift2"})
+            after = step.toDF("to", "to2", "shift2")
             moves = durable(
                 moves.join(after, "to", "left").select("bin", F.coalesce("to2", "to").alias("to"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"), F.when(F.col("to2").isNotNull(), k).otherwise(F.col("round")).alias("round")),
                 "moves",
