@@ -39,12 +39,11 @@ def typed_cell(text: Column, keep_leading_zeros: bool = False) -> Column:
 
 
 def cast_text(c: Column, dtype: T.DataType) -> Column:
-    """Identifier to text: a whole-valued float loses its `.0`."""
+    """Identifier to text: a whole-valued float is written with all its digits and no `.0`, however large."""
     text = text_of(c, dtype)
     if not isinstance(dtype, (T.DoubleType, T.FloatType)):
         return text
-    whole = c.try_cast("decimal(38,0)").cast("string")
-    return F.when((F.abs(c) < 1e37) & (c % 1 == 0), whole).otherwise(text)
+    return F.when(c % 1 == 0, F.format_string("%.0f", c.cast("double") + F.lit(0.0))).otherwise(text)
 
 
 def iso_date(c: Column, dtype: T.DataType = T.StringType()) -> Column:

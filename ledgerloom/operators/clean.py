@@ -35,7 +35,7 @@ class Value:
         """Identifier form: whole floats without `.0`."""
         if self.kind is None:
             return casts.cast_text(self.col, self.dtype)
-        return F.when(self.kind == "float", F.regexp_replace(self.col, r"\.0$", "")).otherwise(self.col)
+        return F.when(self.kind == "float", F.coalesce(casts.cast_text(self.col.try_cast("double"), T.DoubleType()), self.col)).otherwise(self.col)
 
     def iso_date(self) -> Column:
         if self.kind is None:

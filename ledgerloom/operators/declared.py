@@ -164,7 +164,7 @@ def upsert_dimension(store: Store, dim: dict, spec: StarSpec, sources: list[Data
     """Add the rows of ``sources`` whose natural key is new; known rows are reused, never changed.
 
     Of several source rows with one key the first wins. The surrogate key is a 64-bit hash of table
-    and natural key, so running again gives the same keys; a collision is an error.
+    and natural key, so running again gives the same keys; keys that collide are hashed anew with another seed.
     """
     table, known = dim["table"], store.columns(dim["table"])
     pk = next((c["name"] for c in spec.of(table) if c["role"] == "pk"), None)
@@ -180,13 +180,21 @@ def upsert_dimension(store: Store, dim: dict, spec: StarSpec, sources: list[Data
         firsts = firsts.groupBy("_k").agg(F.min("f").alias("f"))
     names = [c["name"] for c in spec.of(table) if c["role"] != "pk" and c["name"] in known]
     fresh = firsts.join(stored.select("_k"), "_k", "left_anti").select(
-        F.xxhash64(F.lit(table), "_k").alias(pk), *[F.col("f.v")[n].alias(n) for n in names]
+        F.xxhash64(F.lit(table), "_k").alias(pk), "_k", *[F.col("f.v")[n].alias(n) for n in names]
     )
     fresh = durable(fresh, f"new-{table}")
-    clash = stored.select(pk).unionByName(fresh.select(pk)).groupBy(pk).count().filter(F.col("count") > 1)
-    if not clash.isEmpty():
+    for seed in range(1, 9):
+        twice = fresh.groupBy(pk).count().filter(F.col("count") > 1).select(pk)
+        taken = fresh.select(pk).join(stored.select(pk), pk, "left_semi")
+        clash = durable(twice.unionByName(taken).distinct(), f"clash-{table}")
+        if clash.isEmpty():
+            break
+        hit = fresh.join(clash.withColumn("_hit", F.lit(True)), pk, "left")
+        again = F.when(F.col("_hit"), F.xxhash64(F.lit(seed), F.lit(table), "_k")).otherwise(F.col(pk))
+        fresh = durable(hit.withColumn(pk, again).drop("_hit").select(*fresh.columns), f"new-{table}")
+    else:
         raise ValueError(f"surrogate keys of {table} are not unique")
-    fresh.write.mode("append").parquet(store.data_path(table))
+    fresh.drop("_k").write.mode("append").parquet(store.data_path(table))
     return read_declared(store, table).select(pk, _match_key([F.col(k) for k in key], key).alias("_k"))
 
 
@@ -217,7 +225,8 @@ def load(store: Store, spec: StarSpec, tabs: dict[str, Tab], upload_id: str) ->
             rows = rows.join(lookups[dim].select("_k", F.col(pk).alias(column)), "_k", "left").drop("_k")
         pk = next((c["name"] for c in spec.of(table) if c["role"] == "pk"), None)
         if pk:
-            rows = rows.withColumn(pk, F.monotonically_increasing_id())
+            # the row's place in its upload, so loading again gives equal keys
+            rows = rows.withColumn(pk, F.xxhash64(F.lit(table), F.lit(upload_id), "at"))
         schema = table_schema(store, table)
         written = rows.select(
             *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != UPLOAD],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.functions.text import norm_name, strip
 
@@ -57,7 +57,7 @@ def read_registry(spark: SparkSession, path: str | None = None) -> list[dict]:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         return [dict(e) for e in SEED]
-    return [r.asDict() for r in spark.read.schema(SCHEMA).json(path).orderBy("ord").collect()]
+    return [r.asDict() for r in spark.read.schema(SCHEMA).json(path).orderBy(F.col("ord").asc_nulls_last(), "name").collect()]
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
@@ -67,6 +67,8 @@ def write_registry(registry: DataFrame, path: str) -> None:
 def confirm_aliases(registry: DataFrame, confirmations: DataFrame) -> DataFrame:
     """Add confirmed titles ``(pos, source, entity, role, type, expect)`` as aliases.
 
+    New entities follow the known ones (``ord``), in the order in which they were first confirmed.
+
     An unknown entity becomes a new one. A title is stored once per normal form, spelled as first
     confirmed, and only when it differs from the entity's own name and known aliases.
     """
@@ -91,7 +93,11 @@ def confirm_aliases(registry: DataFrame, confirmations: DataFrame) -> DataFrame:
         F.coalesce("expect", F.lit("text")).alias("expect"), F.array().cast("array<string>").alias("aliases"), "first_pos",
     )
     both = registry.withColumn("first_pos", F.lit(None).cast(entities.schema["first_pos"].dataType)).unionByName(new)
-    return both.join(added, both["name"] == added["entity"], "left").select(
+    # new entities are a few names that people confirmed, never rows of data
+    last = registry.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
+    rank = new.select(F.col("name").alias("new_name"), F.row_number().over(Window.orderBy("first_pos", "name")).alias("rank"))
+    placed = both.join(rank, both["name"] == rank["new_name"], "left").join(last).withColumn("ord", F.coalesce("ord", F.col("last") + F.col("rank")))
+    return placed.join(added, placed["name"] == added["entity"], "left").select(
         "ord", "first_pos", "name", "role", "type", "expect",
         F.concat("aliases", F.coalesce("added", F.array().cast("array<string>"))).alias("aliases"),
     )

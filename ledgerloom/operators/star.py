@@ -124,7 +124,7 @@ def read_star(spark: SparkSession, root: str) -> Star:
     return Star(*[spark.read.parquet(f"{base}/{t}") for t in ("dim_customer", "dim_product", "dim_vendor", "fact_sales")])
 
 
-def sales_view(star: Star, limit: int | None = 200) -> DataFrame:
+def sales_view(star: Star, limit: int | None = None) -> DataFrame:
     """Facts with their dimensions, in fact order; ``limit=None`` returns all of them unordered."""
     fact = star.fact_sales
     if limit is not None:

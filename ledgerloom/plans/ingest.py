@@ -78,9 +78,12 @@ def ingest(
         checks.select(F.lit(run_id).alias("run_id"), F.col("table_name").alias("asset"), "check_name", "passed", "details").write.mode("append").parquet(
             f"{staging.root}/log/check_log"
         )
-    runlog.append(spark, staging.root, "run_log", [(run_id, "SUCCESS", "ingest", upload_id, datetime.now(timezone.utc))], runlog.RUN)
-    star = None
-    if rebuild:
-        W.publish(W.build_star(staging.harvest(W.HARVESTED), staging.fact_tables()), staging.root)
-        star = W.read_star(spark, staging.root)
+    star, status = None, "FAILURE"
+    try:
+        if rebuild:
+            W.publish(W.build_star(staging.harvest(W.HARVESTED), staging.fact_tables()), staging.root)
+            star = W.read_star(spark, staging.root)
+        status = "SUCCESS"
+    finally:
+        runlog.append(spark, staging.root, "run_log", [(run_id, status, "ingest", upload_id, datetime.now(timezone.utc))], runlog.RUN)
     return summaries, checks, star

@@ -138,14 +138,21 @@ class Staging(Store):
         return out.groupBy("table_name").agg(F.sum("n").alias("row_count"), F.size(ids).alias("uploads"), ids.alias("partitions"))
 
     def harvest(self, columns: list[str] | None = None) -> DataFrame:
-        """Rows of every table, with ``source_table`` and ``pos``; missing columns are NULL."""
+        """Rows of every table, with ``source_table`` and ``pos``; missing columns are NULL.
+
+        A column that tables declare under different types comes as text, as does every column without a list.
+        """
+        kinds: dict[str, set] = {}
+        for t in self.tables():
+            for c, kind in self.columns(t).items():
+                kinds.setdefault(c, set()).add(storage_type(kind).simpleString())
         out = None
         for t in self.tables():
             rows = self.read(t)
             picked = [c for c in rows.columns if c not in ("_row", "upload_id") and (columns is None or c in columns)]
             part = rows.select(
                 F.lit(t).alias("source_table"), "upload_id", F.struct(F.lit(t).alias("t"), "upload_id", "_row").alias("pos"),
-                *[F.col(c).cast("string") if columns is None else F.col(c) for c in picked],
+                *[F.col(c).cast("string") if columns is None or len(kinds[c]) > 1 else F.col(c) for c in picked],
             )
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         if out is None:

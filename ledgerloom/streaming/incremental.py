@@ -1,15 +1,18 @@
 """Incremental ingest: new files stream in and go through the batch functions, upload by upload.
 
-Staging replaces an upload's rows as a whole, so a replayed micro-batch leaves the same result.
+The rows of each micro-batch are kept next to the staging tables, and an upload is staged from all its rows so far. Both
+steps replace what they wrote before, so an upload may arrive over several triggers, and a replay changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerloom.operators.siblings import plain_snake
 from ledgerloom.sources.staging import Staging
 
 
@@ -19,16 +22,17 @@ def stage_stream(
 ) -> StreamingQuery:
     """Stage every upload that arrives on ``stream`` (rows with ``pos`` and an upload column).
 
-    An upload must arrive within one trigger, as files written together do.
+    Rows without an upload are staged under ``unnamed``.
     """
-
-    def each(batch: DataFrame, _: int) -> None:
-        rows = prepare(batch).persist()
-        try:
-            for r in rows.select(upload_column).distinct().collect():  # uploads of one trigger
-                staging.write(table, rows.filter(F.col(upload_column) == r[0]), types, r[0])
-        finally:
-            rows.unpersist()
+    arrived = f"{staging.root}/arrived/{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}/{staging.prefix}{plain_snake(table)}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        named = batch.withColumn("_upload", F.coalesce(F.col(upload_column), F.lit("unnamed")))
+        named.write.mode("overwrite").parquet(f"{arrived}/batch-{number}")
+        spark = batch.sparkSession
+        for r in spark.read.parquet(f"{arrived}/batch-{number}").select("_upload").distinct().collect():  # uploads of one trigger
+            rows = spark.read.schema(named.schema).parquet(*[f"{arrived}/{c}" for c in staging._children(arrived)]).filter(F.col("_upload") == r[0])
+            staging.write(table, prepare(rows.drop("_upload")), types, r[0])
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

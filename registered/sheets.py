@@ -144,17 +144,17 @@ pick AS (SELECT p.sheet, min(row(col_index,source)) FILTER (WHERE lower(source)=
   min(row(col_index,source,tokens)) FILTER (WHERE type='string' AND tokens IS NOT NULL) AS ic
   FROM prof p LEFT JOIN tok USING (sheet,col_index) GROUP BY 1),
 reasoned AS (SELECT *, CASE WHEN type='empty' THEN 'always empty' WHEN all_zero THEN 'always zero' ELSE 'single constant value' END AS reason FROM prof),
-rl AS (SELECT sheet, 1 AS s, -1 AS ci, 1 AS sub, 'select_sheet' AS kind, 'Use sheet "'||sheet||'" as a data source' AS title, true AS enabled, 'Tabular data sheet.' AS why FROM kinds WHERE kind='data'
- UNION ALL SELECT sheet,2,-1,1,'header_row','Treat row '||(header_row+1)||' as the header',true,'Rows above are titles/metadata.' FROM kinds WHERE kind='data' AND header_row>0
- UNION ALL SELECT sheet,3,col_index,1,'cast','Store "'||source||'" as text to preserve the full code',true,'Identifier (SKU/UPC/code) — numeric storage risks precision loss.' FROM prof WHERE role='id' AND (big_int OR "numeric") AND NOT leading_zero
- UNION ALL SELECT sheet,3,col_index,2,'cast','Parse "'||source||'" as a number (strip $ and commas)',true,'Sample: '||coalesce(two,'') FROM prof LEFT JOIN s5 USING (sheet,col_index) WHERE is_currency
- UNION ALL SELECT sheet,3,col_index,3,'cast','Normalize "'||source||'" to ISO date',true,'Mixed date formats normalize.' FROM prof WHERE type='date'
- UNION ALL SELECT sheet,4,-1,1,'combine_datetime','Combine "'||dc[2]||'" + "'||tc[2]||'" into one timestamp',true,'Date and time are split.' FROM pick WHERE dc[1]<>tc[1]
- UNION ALL SELECT sheet,5,col_index,1,'drop_column','Drop "'||source||'" ('||reason||')',true,'Carries no information ('||reason||').' FROM reasoned WHERE role='ignore'
- UNION ALL SELECT sheet,6,-1,1,'filter','Drop internal/non-customer rows in "'||ic[2]||'"',true,'Found values like: '||array_to_string(ic[3],', ')||' — typically employee/sample/internal rows.' FROM pick WHERE ic IS NOT NULL
- UNION ALL SELECT sheet,7,-1,1,'filter','Drop rows where "'||qc[2]||'" is zero or blank',false,'Zero-quantity rows are often placeholders. Off by default.' FROM pick WHERE qc IS NOT NULL
- UNION ALL SELECT sheet,8,-1,1,'filter','Drop rows with a blank "'||nc[2]||'"',true,cast(cast(round(nc[3]*100) AS int) AS varchar)||'% of rows have no value here.' FROM pick WHERE nc[3]>0.001 AND nc[3]<=0.5
- UNION ALL SELECT sheet,9,-1,1,'dedupe','Drop exact duplicate rows',false,'Off by default.' FROM kinds WHERE kind='data')"""
+rl AS (SELECT sheet, 1 AS s, -1 AS ci, 1 AS sub, 'select_sheet' AS kind, 'Read sheet "'||sheet||'" as data' AS title, true AS enabled, 'It holds a table.' AS why FROM kinds WHERE kind='data'
+ UNION ALL SELECT sheet,2,-1,1,'header_row','Titles are in row '||(header_row+1)||'',true,'What stands above is no data.' FROM kinds WHERE kind='data' AND header_row>0
+ UNION ALL SELECT sheet,3,col_index,1,'cast','Keep "'||source||'" as text',true,'Codes may lose digits when held as numbers.' FROM prof WHERE role='id' AND (big_int OR "numeric") AND NOT leading_zero
+ UNION ALL SELECT sheet,3,col_index,2,'cast','Read "'||source||'" as an amount',true,'For example '||coalesce(two,'') FROM prof LEFT JOIN s5 USING (sheet,col_index) WHERE is_currency
+ UNION ALL SELECT sheet,3,col_index,3,'cast','Write "'||source||'" as ISO dates',true,'Dates come in more than one form.' FROM prof WHERE type='date'
+ UNION ALL SELECT sheet,4,-1,1,'combine_datetime','Join "'||dc[2]||'" and "'||tc[2]||'" to a timestamp',true,'The moment is spread over two columns.' FROM pick WHERE dc[1]<>tc[1]
+ UNION ALL SELECT sheet,5,col_index,1,'drop_column','Drop "'||source||'" ('||reason||')',true,'Nothing to learn from it ('||reason||').' FROM reasoned WHERE role='ignore'
+ UNION ALL SELECT sheet,6,-1,1,'filter','Leave out internal rows by "'||ic[2]||'"',true,'Some values name insiders: '||array_to_string(ic[3],', ')||'.' FROM pick WHERE ic IS NOT NULL
+ UNION ALL SELECT sheet,7,-1,1,'filter','Leave out rows whose "'||qc[2]||'" is zero or empty',false,'Such rows may stand for nothing; not applied unless chosen.' FROM pick WHERE qc IS NOT NULL
+ UNION ALL SELECT sheet,8,-1,1,'filter','Leave out rows without "'||nc[2]||'"',true,cast(cast(round(nc[3]*100) AS int) AS varchar)||'% of the rows lack it.' FROM pick WHERE nc[3]>0.001 AND nc[3]<=0.5
+ UNION ALL SELECT sheet,9,-1,1,'dedupe','Leave out repeated rows',false,'Not applied unless chosen.' FROM kinds WHERE kind='data')"""
 
 
 def rules_of(spark, d, samples: bool = True):

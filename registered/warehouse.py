@@ -39,12 +39,6 @@ def products(spark, d):
     )
 
 
-def loose_names(spark, d):
-    """Product names without a code, as a vendor's list gives them."""
-    p = products(spark, d)
-    return p.withColumn("product_code", F.lit(None).cast("string")).select("pos", "product_code", "product", "unit_price", "unit_size")
-
-
 _STAGING: dict[tuple[str, str], Staging] = {}
 
 
@@ -100,9 +94,9 @@ def list_tables(spark, d):
 SALES_OUT = ", ".join(CONFORMED_COLUMNS)
 
 
-@query("read_table", O.with_(H) + f"SELECT upload_id AS _partition, {SALES_OUT} FROM h WHERE source_table='sales' ORDER BY pos LIMIT 500")
+@query("read_table", O.with_(H) + f"SELECT upload_id AS _partition, {SALES_OUT} FROM h WHERE source_table='sales'")
 def read_table(spark, d):
-    return warehouse(spark, d).read_table("Sales", limit=500).select("_partition", *CONFORMED_COLUMNS)
+    return warehouse(spark, d).read_table("Sales").select("_partition", *CONFORMED_COLUMNS)
 
 
 @query("harvest_rows", O.with_(H) + "SELECT source_table, upload_id, customer_id, customer, product_code, product, vendor, unit_price, unit_size, count(*) AS n FROM h GROUP BY ALL")
@@ -343,6 +337,6 @@ def fk_violations(spark, d):
 
 
 @query("sales_view", O.with_(*STAR) + """SELECT f.order_date, f.quantity, f.amount, f.source_table, c.name AS customer, c.region, c.channel, p.name AS product, nullif(string_split(p.ids,'|')[1],'') AS product_code, v.name AS vendor
- FROM (SELECT * FROM fact ORDER BY source_table, pos LIMIT 200) f LEFT JOIN gold_customer c ON c.golden_id=customer_golden_id LEFT JOIN gold_product p ON p.golden_id=product_golden_id LEFT JOIN gold_vendor v ON v.golden_id=vendor_golden_id""")
+ FROM fact f LEFT JOIN gold_customer c ON c.golden_id=customer_golden_id LEFT JOIN gold_product p ON p.golden_id=product_golden_id LEFT JOIN gold_vendor v ON v.golden_id=vendor_golden_id""")
 def sales_view(spark, d):
     return W.sales_view(star(spark, d)).drop("pos")

@@ -13,7 +13,7 @@ def test_stream_stages_uploads(spark):
     staging = Staging(spark, scratch_path(spark, "stream-staging"))
 
     def arrive(upload, n):
-        rows = spark.range(n).select(F.col("id").alias("pos"), F.lit(upload).alias("upload_id"), F.col("id").cast("string").alias("amount"))
+        rows = spark.range(n).select(F.col("id").alias("pos"), F.lit(upload).cast("string").alias("upload_id"), F.col("id").cast("string").alias("amount"))
         rows.coalesce(1).write.mode("append").parquet(landing)
 
     def run(checkpoint):
@@ -26,4 +26,8 @@ def test_stream_stages_uploads(spark):
     arrive("u2", 3)
     want = {"u1": (4, 6.0), "u2": (3, 3.0)}
     assert run(first) == want
+    arrive("u1", 2)  # the rest of an upload, a trigger later
+    arrive(None, 1)
+    want = {"u1": (6, 7.0), "u2": (3, 3.0), "unnamed": (1, 0.0)}
+    assert run(first) == want
     assert run(scratch_path(spark, "stream-state")) == want
