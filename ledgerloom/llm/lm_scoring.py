@@ -1,7 +1,7 @@
 """Language-model scores of whole texts from an Elias-Fano n-gram trie (operator 9).
 
-Texts are coded once, in blocks with a dictionary of their own, so that only a block's distinct words meet the corpus's
-word counts. The model is a trie over the frequent words (those with a given share of all tokens, so their number is
+Texts are coded once, in blocks with a dictionary of their own. The dictionaries are dealt by word to merging tasks, a
+binary value for each block and share of the words, and their counts in all training texts come back the same way. The model is a trie over the frequent words (those with a given share of all tokens, so their number is
 bounded whatever the corpus), one class for all other words, and the end of a text. Within that class a known word goes by
 its discounted count, and what the discounts leave is for the unknown word, of which there is one, as in the base score.
 N-grams under a given share of all tokens are left to shorter ones, which bounds the trie; it is saved as a file in the
@@ -11,6 +11,7 @@ shared folder and mapped by the scoring tasks.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from ledgerloom.llm.warc import file_system
 from ledgerloom.session import durable, scratch_path
 
 #: Tokens of a block.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
+#: Documents for which one share of the words is made, at least 64 shares.
+PER_SHARE = 20_000
 #: Share of the training tokens from which a word, and an n-gram, is in the trie (so at most 10,000 words and a million
 #: n-grams of each length), and the longest n-gram.
 WORD_SHARE, GRAM_SHARE = 1e-4, 1e-6
@@ -31,10 +34,9 @@ ORDER = 3
 BITS = 15
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, held_out, text) to two kinds of rows: a row per block and distinct word (kind 0: src, local, word, n
-    in training texts), and a row per block (kind 1: ids, held_out, lengths, codes; n its training tokens, local its
-    training texts)."""
+def coded(docs: DataFrame, shares: int) -> DataFrame:
+    """docs (doc_id, held_out, text) to two kinds of rows: a block's words of one share (kind 0: src, share, data), and a
+    block (kind 1: src, texts and tokens to learn from, ids, held, sizes, data: the words' places in its dictionary)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -46,16 +48,25 @@ def coded(docs: DataFrame) -> DataFrame:
         def flush():
             src = base + blocks
             code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            size = np.array(sizes, np.int64)
-            train = np.repeat(~np.array(held, bool), size)
+            size, out = np.array(sizes, np.int64), np.array(held, bool)
+            train = np.repeat(~out, size)
             n = np.bincount(code[train], minlength=len(local)).astype(np.int64)
-            if len(local):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(local), src)), pa.array(np.zeros(len(local), np.int8)), pa.array(np.arange(len(local), dtype=np.int32)),
-                     pa.array(list(local), pa.binary()), pa.array(n), pa.nulls(len(local), pa.list_(pa.int64())), *[pa.nulls(len(local), pa.binary())] * 3], names=NAMES)
+            words = list(local)
+            share = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shares
+            order = np.argsort(share, kind="stable")
+            cuts = np.searchsorted(share[order], np.arange(shares + 1)).tolist()
+            some = [k for k in range(shares) if cuts[k + 1] > cuts[k]]
+            data = []
+            for k in some:
+                own = order[cuts[k] : cuts[k + 1]]
+                data.append(len(own).to_bytes(8, "little") + n[own].tobytes() + own.astype(np.int32).tobytes() + b" ".join([words[i] for i in own.tolist()]))
+            m = len(some)
+            none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())]
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array([src] * m), pa.array([0] * m, pa.int8()), pa.array(some, pa.int32()), *none, pa.array(data, pa.binary())], names=NAMES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([src]), pa.array([1], pa.int8()), pa.array([int((~np.array(held, bool)).sum())], pa.int32()), pa.nulls(1, pa.binary()), pa.array([int(train.sum())]),
-                 pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(held, bool), size, code))], names=NAMES)
+                [pa.array([src]), pa.array([1], pa.int8()), pa.nulls(1, pa.int32()), pa.array([int((~out).sum())]), pa.array([int(train.sum())]),
+                 pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (out, size, code))], names=NAMES)
 
         for b in batches:
             for start in range(0, b.num_rows, 512):
@@ -82,10 +93,58 @@ def coded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
 
 
-SCHEMA = "src long, kind byte, local int, word binary, n long, ids array<long>, held binary, sizes binary, codes binary"
+SCHEMA = "src long, kind byte, share int, texts long, tokens long, ids array<long>, held binary, sizes binary, data binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def merged(dictionaries: DataFrame, least: int) -> DataFrame:
+    """dictionaries (src, share, data) to their words' counts in all training texts (src, share, data: places, counts and
+    names of frequent words, from ``least`` on), and a row for each share (src null): its distinct words, those seen once
+    and twice, and the frequent words with their counts, in the order of their names."""
+
+    def words_of(data: bytes):
+        m = int.from_bytes(data[:8], "little")
+        return np.frombuffer(data, np.int64, m, 8), data[8 + 8 * m : 8 + 12 * m], data[8 + 12 * m :].split(b" ")
+
+    def share_rows(share, src, data):
+        total: dict[bytes, int] = {}
+        for d in data:
+            n, _, words = words_of(d)
+            for w, k in zip(words, n.tolist()):
+                total[w] = total.get(w, 0) + k
+        frequent = {w: k for k, w in enumerate(sorted(w for w, n in total.items() if n >= least))}
+        none = pa.nulls(1, pa.int64())
+        for s, d in zip(src, data):
+            _, places, words = words_of(d)
+            c = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+            name = np.array([frequent.get(w, -1) for w in words], np.int32)
+            blob = len(words).to_bytes(8, "little") + c.tobytes() + places + name.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([share], pa.int32()), pa.array([blob], pa.binary()), none, none, none, pa.nulls(1, pa.list_(pa.binary())), pa.nulls(1, pa.list_(pa.int64()))], names=MERGED_NAMES)
+        c = np.fromiter(total.values(), np.int64, len(total))
+        yield pa.RecordBatch.from_arrays(
+            [none, pa.array([share], pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([int(x.sum())]) for x in (c > 0, c == 1, c == 2)),
+             pa.array([list(frequent)], pa.list_(pa.binary())), pa.array([[total[w] for w in frequent]], pa.list_(pa.int64()))], names=MERGED_NAMES)
+
+    def run(batches):
+        share, src, data = None, [], []
+        for b in batches:
+            for k, s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if k != share and src:
+                    yield from share_rows(share, src, data)
+                    src, data = [], []
+                share = k
+                src.append(s)
+                data.append(d.as_py())
+        if src:
+            yield from share_rows(share, src, data)
+
+    return dictionaries.select("share", "src", "data").repartition("share").sortWithinPartitions("share", "src").mapInArrow(run, MERGED)
+
+
+MERGED = "src long, share int, data binary, distinct long, once long, twice long, words array<binary>, counts array<long>"
+MERGED_NAMES = [c.split()[0] for c in MERGED.split(", ")]
+
+
 def gram_rows(level_keys: list[tuple[int, np.ndarray]]):
     for level, keys in level_keys:
         u, n = np.unique(keys, return_counts=True)
@@ -129,50 +188,52 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     most in every context.
     """
     spark = docs.sparkSession
-    first = durable(coded(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text")), "coded")
-    entries = first.filter("kind = 0").select("src", "local", "word", "n")
+    shares = max(64, docs.count() // PER_SHARE)
+    first = durable(coded(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text"), shares), "coded")
     blocks = first.filter("kind = 1")
-    words = durable(entries.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    train, texts = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("local"), F.lit(0))).first()
+    train, texts = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
     total = train + texts
-    distinct = words.filter("c > 0").count() + (texts > 0)
-    frequent = [(bytes(r.word), r.c) for r in words.filter(F.col("c") >= max(2, math.ceil(WORD_SHARE * max(total, 1)))).orderBy(F.desc("c"), "word").collect()]
-    open_class, end, start = len(frequent), len(frequent) + 1, len(frequent) + 2
-    known = spark.createDataFrame([(w, k) for k, (w, _) in enumerate(frequent)], "word binary, class int")
-    named = words.join(F.broadcast(known), "word", "left")
-    rare = named.filter("class IS NULL AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    rare_tokens, rare_words, once, twice = rare
+    words = durable(merged(first.filter("kind = 0"), max(2, math.ceil(WORD_SHARE * total))), "words")
+    told = words.filter("src IS NULL").select("share", "words", "counts", "distinct", "once", "twice").collect()
+    named = sorted(((-n, bytes(w), r.share, k) for r in told for k, (w, n) in enumerate(zip(r.words, r.counts))))
+    # place among the frequent words by share and name
+    classes = {(share, k): place for place, (_, _, share, k) in enumerate(named)}
+    open_class, end, start = len(named), len(named) + 1, len(named) + 2
+    distinct = sum(r.distinct for r in told) + (texts > 0)
+    rare_tokens, rare_words = train + sum(n for n, *_ in named), sum(r.distinct for r in told) - len(named)
+    once, twice = sum(r.once for r in told), sum(r.twice for r in told)
     # the usual estimate of absolute discounting
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    told = named.select("word", "c", F.coalesce("class", F.lit(open_class)).alias("class"))
     dealt = (
-        entries.select("src", "local", "word").join(told, "word").select("src", F.lit(0).cast("byte").alias("kind"), "local", "c", "class")
-        .unionByName(blocks.select("src", "kind", "ids", "held", "sizes", "codes"), allowMissingColumns=True)
-        .repartition("src").sortWithinPartitions("src", "kind", "local")
-        .select("src", "kind", "c", "class", "ids", "held", "sizes", "codes")
+        words.filter("src IS NOT NULL").select("src", F.lit(0).cast("byte").alias("kind"), "share", "data")
+        .unionByName(blocks.select("src", "kind", "ids", "held", "sizes", "data"), allowMissingColumns=True)
+        .repartition("src").sortWithinPartitions("src", "kind", "share").select("src", "kind", "share", "data", "ids", "held", "sizes")
     )
     base_of = total + 0.5 * (distinct + 1)
     unknown = discount * rare_words / rare_tokens if rare_tokens else 1.0
 
     def count(batches):
-        c, cls = [], []
+        held: list[tuple[int, bytes]] = []
         for b in batches:
-            kinds = b.column(1).to_numpy()
-            at = 0
-            for k in [*np.flatnonzero(kinds == 1).tolist(), b.num_rows]:
-                part = b.slice(at, k - at)
-                for held, column in zip((c, cls), (2, 3)):
-                    held.append(part.column(column).to_numpy(zero_copy_only=False))
-                at = k + 1
-                if k < b.num_rows:
-                    yield from block(b.slice(k, 1), *(np.concatenate(x) for x in (c, cls)))
-                    c, cls = [], []
+            for k, kind in enumerate(b.column(1).to_pylist()):
+                if kind == 0:
+                    held.append((b.column(2)[k].as_py(), b.column(3)[k].as_py()))
+                    continue
+                n = sum(int.from_bytes(d[:8], "little") for _, d in held)
+                c, cls = np.zeros(n, np.int64), np.full(n, open_class, np.int64)
+                for share, d in held:
+                    m = int.from_bytes(d[:8], "little")
+                    place, name = np.frombuffer(d, np.int32, m, 8 + 8 * m), np.frombuffer(d, np.int32, m, 8 + 12 * m)
+                    c[place] = np.frombuffer(d, np.int64, m, 8)
+                    for j in np.flatnonzero(name >= 0).tolist():
+                        cls[place[j]] = classes[share, int(name[j])]
+                held = []
+                yield from block(b.slice(k, 1), c, cls)
 
     def block(row, c, cls):
         held = np.frombuffer(row.column(5)[0].as_py(), bool)
         sizes = np.frombuffer(row.column(6)[0].as_py(), np.int64)
-        codes = np.frombuffer(row.column(7)[0].as_py(), np.int32)
-        c, cls = c.astype(np.int64), cls.astype(np.int64)
+        codes = np.frombuffer(row.column(3)[0].as_py(), np.int32)
         of = np.repeat(np.arange(len(sizes)), sizes)
         sums = lambda values: np.bincount(of, values[codes], len(sizes))
         base = sums(np.log10((c + 0.5) / base_of)) + math.log10((texts + 0.5) / base_of)
@@ -194,7 +255,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*none, *grams.columns], names=OUT)
 
     counted = durable(dealt.mapInArrow(count, OUT_SCHEMA), "counted")
-    single = np.array([n for _, n in frequent] + [rare_tokens, texts, texts], np.int64)
+    single = np.array([-n for n, *_ in named] + [rare_tokens, texts, texts], np.int64)
     model = trie(counted.filter("level IS NOT NULL").select("level", "key", "n"), single, start)
     path = save(model, spark, "model")
 
