@@ -177,7 +177,10 @@ class Restorer:
             edge = np.flatnonzero(np.diff(np.concatenate(([0], short.astype(np.int8), [0]))))
             for lo, hi in zip(edge[::2], edge[1::2]):
                 if hi - lo > 2:
-                    out.update(self.apart(tokens[lo:hi]))
+                    # the outer ones may carry a mark
+                    lo -= lo > 0 and len(tokens[lo - 1].strip(EDGES)) == 1
+                    hi += hi < len(tokens) and len(tokens[hi].strip(EDGES)) == 1
+                    out.update(self.apart([t.strip(EDGES) or t for t in tokens[lo:hi]]))
         return out
 
     def apart(self, tokens: list[str], most: int = 32) -> list[str]:
