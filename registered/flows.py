@@ -8,7 +8,7 @@ from ledgerloom.operators import clean as C, declared as D, siblings as S
 from ledgerloom.plans.automate import automate
 from ledgerloom.plans.ingest import cleaned_sheet, ingest, run_summary
 from ledgerloom.plans.workbook import profile_payload, profile_workbook
-from ledgerloom.session import scratch_path
+from ledgerloom.session import durable, scratch_path
 from ledgerloom.sources import delimited, export, uploads
 from ledgerloom.sources.staging import Staging, Store
 from registered import oracle as O
@@ -59,6 +59,13 @@ def export_csv(spark, d):
     return back.groupBy(*RAW).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("export_json", O.with_(O.messy()) + f"SELECT {', '.join(RAW)}, count(*) AS n FROM messy GROUP BY ALL")
+def export_json(spark, d):
+    path = scratch_path(spark, "export")
+    export.export_json(messy_sales(spark, d).select(*RAW), path)
+    return spark.read.schema(", ".join(f"{c} string" for c in RAW)).json(path).groupBy(*RAW).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("upload_manifest")
 def upload_manifest(spark, d):
     return uploads.upload_manifest(spark, exported(spark, d), "part-*")
@@ -191,6 +198,17 @@ def load_facts(spark, d):
     return joined.select(F.col("_upload_id").alias("upload_id"), "account", "sku", "state", "ordered_at", "qty", "net")
 
 
+@query("fact_ids", O.with_(DECLARED) + "SELECT count(*) AS facts, count(*) AS ids, true AS repeated FROM src")
+def fact_ids(spark, d):
+    """Ids of all facts after three loads, and whether loading an upload again gives the same ones."""
+    st = loaded(spark, d)
+    facts = D.read_declared(st, "fact_orders").select("order_key", "_upload_id")
+    before = durable(facts, "fact-ids")
+    D.load(st, SPEC, tabs_of(spark, d, 0), "half0")
+    gone = before.join(D.read_declared(st, "fact_orders").select("order_key"), "order_key", "left_anti")
+    return before.agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("order_key").alias("ids")).withColumn("repeated", F.lit(gone.isEmpty()))
+
+
 @query("load_report", O.with_(DECLARED) + """SELECT 'dimension' AS kind, 'dim_account' AS table_name, (SELECT count(*) FROM da) AS row_count, 0::bigint AS fk_unresolved UNION ALL SELECT 'dimension','dim_item',(SELECT count(*) FROM di),0
  UNION ALL SELECT 'dimension','dim_market',(SELECT count(*) FROM dm),0 UNION ALL SELECT 'dimension','dim_unused',0,0 UNION ALL SELECT 'fact','fact_orders',count(*),count(*) FILTER (WHERE account_id_raw IS NULL) FROM src WHERE l_orderkey%2=1""")
 def load_report(spark, d):

@@ -8,6 +8,7 @@ from ledgerloom.functions.similarity import name_similarity, partial_ratio, toke
 from ledgerloom.functions.text import norm_name
 from ledgerloom.operators import clean as C, conform as U, grouping as G, match as M, profile as P, registry as E, rules as R, siblings as S
 from ledgerloom.operators.headers import SHEET
+from ledgerloom.session import scratch_path
 from registered import oracle as O
 from registered.cleaning import RULES, SCHEMA, clean_sql, messy_sheet
 from registered.inputs import MESSY_TITLES, ORDER_KEY, derived_once, messy_sales, register, with_keys
@@ -255,6 +256,17 @@ def confirm_aliases(spark, d):
     return out.select("name", "role", "type", F.array_join(added, "|").alias("added"))
 
 
+@query("confirmed_order", O.with_(registry_values(), f"conf AS ({CONFIRM_ROWS.replace('{S}','varchar')})") + f"""SELECT entity AS name, {len(E.SEED) - 1} + row_number() OVER (ORDER BY min(pos), entity) AS place
+ FROM conf WHERE source<>'' AND entity<>'' AND entity NOT IN (SELECT entity FROM reg) GROUP BY entity""")
+def confirmed_order(spark, d):
+    """Places of the new entities in the registry, after it was saved and read again."""
+    register(spark, d)
+    path = scratch_path(spark, "registry")
+    E.write_registry(E.confirm_aliases(E.registry_frame(spark), spark.sql(CONFIRM_ROWS.replace("{S}", "string"))).drop("first_pos"), path)
+    rows = [(e["name"], k) for k, e in enumerate(E.read_registry(spark, path)) if k >= len(E.SEED)]
+    return spark.createDataFrame(rows, "name string, place bigint")
+
+
 # --- conform -----------------------------------------------------------------------------------
 SCHEMA_CTES = match_sql() + """,
 pickc AS (SELECT sheet, min(row(col_index,source)) FILTER (WHERE lower(source)='date' OR (type='date' AND source ILIKE '%date%')) AS dc,

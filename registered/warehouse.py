@@ -116,14 +116,44 @@ def delete_upload(spark, d):
     return st.read("Sales").groupBy("upload_id").agg(F.count(F.lit(1)).alias("row_count")).withColumn("partitions_dropped", F.lit(dropped).cast("bigint"))
 
 
+def run_entries(spark, d) -> str:
+    """A run log with an entry per table and upload, and a failed run of each upload."""
+    root = scratch_path(spark, "runs")
+    counts = durable(warehouse(spark, d).harvest(["source_table"]).groupBy("source_table", "upload_id").agg(F.count(F.lit(1)).alias("n")), "runs")
+    run_id, at = F.concat(F.lit("run-"), "upload_id"), F.lit("2024-01-02 03:04:05").cast("timestamp")
+    done = counts.select(run_id.alias("run_id"), F.lit("SUCCESS").alias("status"), F.col("source_table").alias("job"), F.col("upload_id").alias("partition"), at.alias("started_at"))
+    failed = counts.select(F.concat(run_id, F.lit("-failed")).alias("run_id"), F.lit("FAILURE").alias("status"), F.lit("ingest").alias("job"), F.col("upload_id").alias("partition"), at.alias("started_at")).distinct()
+    done.unionByName(failed).write.mode("append").parquet(f"{root}/log/run_log")
+    counts.select(run_id.alias("run_id"), F.col("source_table").alias("asset"), F.col("n").alias("row_count"), F.lit("").alias("details")).write.mode("append").parquet(f"{root}/log/materialized")
+    checks = counts.select(F.concat(run_id, F.lit("-failed")).alias("run_id"), F.col("source_table").alias("asset"), F.lit("schema_drift").alias("check_name"), F.lit(False).alias("passed"), F.col("upload_id").alias("details"))
+    checks.write.mode("append").parquet(f"{root}/log/check_log")
+    return root
+
+
+@query("run_detail", O.with_(H) + """SELECT 'materialized' AS part, 'run-'||upload_id AS run_id, source_table AS asset, count(*) AS row_count, NULL::boolean AS passed FROM h WHERE upload_id='u0' GROUP BY ALL
+ UNION ALL SELECT DISTINCT 'check', 'run-'||upload_id||'-failed', source_table, NULL::bigint, false FROM h WHERE upload_id='u1'""")
+def run_detail(spark, d):
+    """What a finished run wrote, and the checks of a failed one."""
+    root = run_entries(spark, d)
+    wrote = runlog.run_detail(spark, root, "run-u0")["materializations"].select(F.lit("materialized").alias("part"), "run_id", "asset", "row_count", F.lit(None).cast("boolean").alias("passed"))
+    checked = runlog.run_detail(spark, root, "run-u1-failed")["checks"].select(F.lit("check").alias("part"), "run_id", "asset", F.lit(None).cast("bigint").alias("row_count"), "passed")
+    return wrote.unionByName(checked)
+
+
+@query("harvest_clash", """SELECT 'list_a' AS source_table, lpad(p_partkey::varchar,8,'0') AS product_code, p_size||'mL' AS unit_size FROM part
+ UNION ALL SELECT 'list_b', lpad(p_partkey::varchar,8,'0'), (p_size::double)::varchar FROM part""")
+def harvest_clash(spark, d):
+    """Two product lists whose sizes are text in one and numbers in the other."""
+    st = Staging(spark, scratch_path(spark, "clash"))
+    rows = products(spark, d)
+    st.write("List A", rows.withColumn("unit_size", F.concat("unit_size", F.lit("mL"))), {"product_code": "string", "unit_size": "string"}, "u0")
+    st.write("List B", rows, {"product_code": "string", "unit_size": "decimal"}, "u0")
+    return st.harvest(["product_code", "unit_size"]).select("source_table", "product_code", "unit_size")
+
+
 @query("run_history", O.with_(H) + """SELECT 'run-'||upload_id AS run_id, 'SUCCESS' AS status, source_table AS job, upload_id AS partition, count(*) AS row_count FROM h GROUP BY 1,2,3,4""")
 def run_history(spark, d):
-    root = scratch_path(spark, "runs")
-    counts = warehouse(spark, d).harvest(["source_table"]).groupBy("source_table", "upload_id").agg(F.count(F.lit(1)).alias("n")).collect()
-    for r in counts:  # one entry per table and upload
-        run_id = f"run-{r['upload_id']}"
-        runlog.append(spark, root, "run_log", [(run_id, "SUCCESS", r["source_table"], r["upload_id"], None)], runlog.RUN)
-        runlog.append(spark, root, "materialized", [(run_id, r["source_table"], r["n"], "")], runlog.MATERIALIZED)
+    root = run_entries(spark, d)
     runs = runlog.run_history(spark, root)
     made = spark.read.schema(runlog.MATERIALIZED).parquet(f"{root}/log/materialized").select("run_id", F.col("asset").alias("job"), "row_count")
     return runs.join(made, ["run_id", "job"]).select("run_id", "status", "job", "partition", "row_count")
