@@ -33,7 +33,7 @@ def byte_alphabet() -> list[str]:
 class Units:
     """Encodes texts by units. ``limit`` bounds the number of cached units; beyond it the cache starts anew."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
