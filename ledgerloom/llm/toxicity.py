@@ -81,7 +81,7 @@ class CharModel:
 
     def __call__(self, gram: str) -> float:
         if gram not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 250_000:
                 self.known.clear()
             p = (self.one[gram[2]] + 0.5) / (self.total + 0.5 * self.kinds)
             p = (self.two[gram[1:]] + self.mix * p) / (self.single[gram[1]] + self.mix)
@@ -139,7 +139,7 @@ def decode(text: str, model: CharModel) -> str:
 class Restorer:
     """Restored words of texts; what a token stands for is kept, up to ``limit`` tokens."""
 
-    def __init__(self, model: CharModel, limit: int = 500_000):
+    def __init__(self, model: CharModel, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -298,7 +298,7 @@ def by_name(weights: dict) -> dict[str, list[tuple]]:
 class Judge:
     """The first feature of a text in the decision list, as ((place, score), feature), or none."""
 
-    def __init__(self, model: CharModel, weights: dict[str, list[tuple]], limit: int = 500_000):
+    def __init__(self, model: CharModel, weights: dict[str, list[tuple]], limit: int = 250_000):
         self.restorer, self.weights, self.limit = Restorer(model), weights, limit
         self.of: dict[str, list[str]] = {}
 
