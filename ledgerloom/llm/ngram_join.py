@@ -33,7 +33,7 @@ PERCENT = 85
 PER_BLOCK = 20_000
 GATHERED = 3_000_000
 #: Rows of a block of a large cluster; two blocks are a cell, the work of one task at a time.
-ROWS_PER_BLOCK = 1024
+ROWS_PER_BLOCK = 512
 #: Columns with so many rows are multiplied as dense tiles of so many columns, others pair by pair.
 DENSE, TILE = 32, 2048
 
