@@ -148,9 +148,9 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = OPEN, share: int = 100
             moves = step.withColumn("round", F.lit(k))
         else:
             # follow a bin on into the bin of the next round
-            after = step.toDF("to", "to2", "shift2")
+            after = step.toDF("to", "to2", "shift2").withColumn("round", F.lit(k - 1))  # bins are numbered anew in each round
             moves = durable(
-                moves.join(after, "to", "left").select("bin", F.coalesce("to2", "to").alias("to"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"), F.when(F.col("to2").isNotNull(), k).otherwise(F.col("round")).alias("round")),
+                moves.join(after, ["to", "round"], "left").select("bin", F.coalesce("to2", "to").alias("to"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"), F.when(F.col("to2").isNotNull(), k).otherwise(F.col("round")).alias("round")),
                 "moves",
             )
         left = done.filter("length IS NULL")
