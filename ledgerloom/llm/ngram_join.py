@@ -76,6 +76,16 @@ def least_shared(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def prefix(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Entries a set of ``n`` puts out, its smallest hashes, and how many of them it shares with a linked set at least.
+
+    Of the entries put out, a set has at most ``n`` less the overlap that the linked set lacks. As the smaller of the two
+    puts out fewer, the entries are two more than twice what a linked set may lack; with one more, 7 and 6 would not do.
+    """
+    lacks = n - int(least_shared(n, percent))
+    return min(n, 2 * lacks + 2), min(lacks + 1, n - lacks)
+
+
 def shared_rows(docs: DataFrame, n: int, percent: int, blocks: int) -> DataFrame:
     """Both kinds of rows of the first pass over the texts: a row per document (block null) and the blocks' entries."""
 
@@ -121,9 +131,7 @@ def shared_rows(docs: DataFrame, n: int, percent: int, blocks: int) -> DataFrame
                 digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 if digest not in known:
                     known[digest] = len(known)
-                    least = int(least_shared(len(h), percent))
-                    need = len(h) - least + 1
-                    parts.append(h[: min(len(h), len(h) - least + need)])
+                    parts.append(h[: prefix(len(h), percent)[0]])
                     held += len(parts[-1])
                 rows.append((id_, key, len(h), digest, known[digest]))
             if held > GATHERED:
@@ -331,7 +339,8 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     remote = count_blocks(first.filter("block IS NOT NULL").select("block", "src", "data")).groupBy("src", "place").agg(F.sum("shared").alias("remote"))
     own = rows.filter("n > 0").groupBy("src", "place", "c1", "c2", "n", "local").agg(F.min("key").alias("key"))
     total = F.col("local") + F.coalesce("remote", F.lit(0))
-    need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    need = F.least(F.col("n") - least + 1, least)
     alive = own.join(remote, ["src", "place"], "left").filter(total >= need).groupBy("c1", "c2", "n").agg(F.min("key").alias("key"))
     alive = durable(numbered(durable(alive, "alive")), "alive")
     # the same join at every size: texts are dealt by key once, and a repeated row is hashed once

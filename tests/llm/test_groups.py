@@ -115,6 +115,25 @@ def test_large_clusters_are_cut_into_blocks(documents, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_sets_of_all_small_sizes_keep_their_links(documents):
+    for percent in (50, 70, 75, 80, 85, 90, 95):
+        for n in range(1, 150):
+            for m in range(1, n + 1):
+                # the least overlap that links; the shared entries come last where they can
+                both = -(-percent * (n + m) // (100 + percent))
+                if both <= m:
+                    (x, need), (y, less) = ngram_join.prefix(n, percent), ngram_join.prefix(m, percent)
+                    assert min(both, x - (n - both), y - (m - both)) >= max(need, less), (percent, n, m)
+    rows = []
+    for n in range(1, 21):
+        for m in range(max(1, n - 4), n + 1):
+            for lead in range(n - m + 1):
+                words = [f"p{len(rows)}x{k}" for k in range(n + 3)]
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[lead : lead + m + 3]))]
+    got = ngram_join.joined(documents(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+
+
 def test_links_of_odd_rows(documents):
     got = ngram_join.joined(documents(ODD)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(ODD)
