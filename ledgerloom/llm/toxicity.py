@@ -28,8 +28,11 @@ SWAP, SHORTEN, CLOSE_UP, LEAVE_OUT, KEEP = 1.0, 1.0, 0.5, 2.0, 6.0
 GAPS = " .-_*"
 EDGES = ".,;:?!\"'()[]{}<>*_-…“”„«»|/\\"
 WORD = re.compile(r"[^\W\d_]+")
-LONG_RUN = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
 APART = re.compile(r"[^\W_](?:[.\-_*][^\W_]){2,}")
+#: Pieces of a word set apart have so many characters at most, and marks may stand between them.
+PIECE = 3
+PIECES = re.compile(rf"[^\W_]{{1,{PIECE}}}(?:[.\-_*]+[^\W_]{{1,{PIECE}}})+")
 #: Character trigrams under this share of all are left to the shorter ones, so there are at most a million.
 LEAST_SHARE = 1e-6
 #: Bound of the labelled rows the classifier is fitted on: those with the smallest hashes.
@@ -102,8 +105,8 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
             out.append([("", CLOSE_UP), (" ", 0.0)])
         elif c.isalpha():
             ways = [(c * n, 0.0)]
-            if n > 2:
-                ways += [(c, SHORTEN), (c * 2, SHORTEN)]
+            if n > 1:
+                ways += [(c * k, SHORTEN) for k in {1, min(2, n - 1)}]
             out.append(ways)
         else:
             ways = [("", LEAVE_OUT), (" ", KEEP)]
@@ -142,10 +145,12 @@ class Restorer:
     def __init__(self, model: CharModel, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.known: dict[str, tuple[str, ...]] = {}
+        self.short: dict[str, tuple[str, ...] | None] = {}
+        self.joins: dict[tuple[str, str], bool] = {}
 
     def token(self, token: str) -> tuple[str, ...]:
         core = token.strip(EDGES)
-        if core.isalpha() and not LONG_RUN.search(core):
+        if core.isalpha() and not DOUBLED.search(core):
             out = (core,)
         elif APART.search(core):
             out = tuple(decode(core, self.model).split())
@@ -153,7 +158,7 @@ class Restorer:
             # with symbols that may be letters at the edges
             wide = token.strip("".join(c for c in EDGES if c not in LEET)) if any(c in LEET for c in token) else core
             letters = sum(map(str.isalpha, wide))
-            if letters and (LONG_RUN.search(wide) or any(c in LEET for c in wide)):
+            if letters and (DOUBLED.search(wide) or any(c in LEET for c in wide)):
                 out = tuple(dict.fromkeys([*decode(wide, self.model).split(), *WORD.findall(wide)]))
             else:
                 out = tuple(WORD.findall(core))
@@ -166,12 +171,14 @@ class Restorer:
         out: Counter = Counter()
         if not tokens:
             return out
-        if len(self.known) > self.limit:
-            self.known.clear()
+        for kept in (self.known, self.short, self.joins):
+            if len(kept) > self.limit:
+                kept.clear()
         known, new = self.known, self.token
         for t, n in Counter(tokens).items():
             for w in known[t] if t in known else new(t):
                 out[w] += n
+        single: Counter = Counter()
         short = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
         if len(short) > 2 and (short[:-2] & short[1:-1] & short[2:]).any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], short.astype(np.int8), [0]))))
@@ -180,11 +187,63 @@ class Restorer:
                     # the outer ones may carry a mark
                     lo -= lo > 0 and len(tokens[lo - 1].strip(EDGES)) == 1
                     hi += hi < len(tokens) and len(tokens[hi].strip(EDGES)) == 1
-                    out.update(self.apart([t.strip(EDGES) or t for t in tokens[lo:hi]]))
+                    single.update(self.apart([t.strip(EDGES) or t for t in tokens[lo:hi]]))
+        # both ways may find the same word
+        out.update(single | self.joined(tokens))
+        return out
+
+    def pieces(self, token: str) -> tuple[str, ...] | None:
+        """The pieces of a word that a token may be: none for marks alone, null for other tokens."""
+        core = token.strip(EDGES)
+        if not core:
+            out = () if all(c in GAPS for c in token) else (token,) if len(token) == 1 else None
+        elif len(core) <= PIECE and all(c.isalpha() or c in LEET for c in core):
+            out = (core,)
+        elif PIECES.fullmatch(core) and not APART.search(core):
+            out = tuple(re.split(r"[.\-_*]+", core))
+        else:
+            out = None
+        self.short[token] = out
+        return out
+
+    def join(self, left: str, right: str) -> bool:
+        """Whether two neighbours have to be decoded together. Between two of two letters or more, the reading of the
+        gap depends on the letters beside it alone, so the model tells at once."""
+        out = True
+        if len(left) > 1 < len(right) and left.isalpha() and right.isalpha() and not DOUBLED.search(left) and not DOUBLED.search(right):
+            m, end, begin = self.model, left[-2:], right[:2]
+            out = m(end + begin[0]) + m(end[1] + begin) - CLOSE_UP > m(end + "$") + m("^^" + begin[0]) + m("^" + begin)
+        self.joins[left, right] = out
+        return out
+
+    def joined(self, tokens: list[str]) -> Counter:
+        """Words that runs of short tokens stand for, without those that are there as tokens."""
+        short, new, joins, out = self.short, self.pieces, self.joins, Counter()
+
+        def close(group: list[str]):
+            if len(group) > 1 and any(map(str.isalpha, "".join(group))):
+                own = set(group)
+                out.update(w for w in self.apart(group) if w not in own)
+
+        run: list[str] = []
+        for t in [*tokens, "0000"]:
+            p = short[t] if t in short else new(t)
+            if p is not None:
+                run += p
+            elif run:
+                group = run[:1]
+                for pair in zip(run, run[1:]):
+                    if joins[pair] if pair in joins else self.join(*pair):
+                        group.append(pair[1])
+                    else:
+                        close(group)
+                        group = [pair[1]]
+                close(group)
+                run = []
         return out
 
     def apart(self, tokens: list[str], most: int = 32) -> list[str]:
-        """Words of a run of single characters; long runs in stretches that overlap by half."""
+        """Words of a run of single characters or short pieces; long runs in stretches that overlap by half."""
         out = []
         for at in range(0, max(1, len(tokens) - most // 2), most // 2):
             span = " ".join(tokens[at : at + most])

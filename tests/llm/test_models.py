@@ -84,6 +84,18 @@ def test_disguised_words_are_restored(text, word):
     assert word in toxicity.Restorer(char_model()).words(f"and {text}, so")
 
 
+@pytest.mark.parametrize("text, word", [("iidiot", "idiot"), ("sttuuppiidd", "stupid"), ("st up id", "stupid"), ("id i ot", "idiot"), ("i d io t", "idiot"), ("stu pid", "stupid"), ("st-up-id", "stupid"), ("st - up. id", "stupid"), ("id.i ot", "idiot"), ("ii dd ii oo tt", "idiot")])
+def test_doubled_letters_and_pieces_are_restored(text, word):
+    assert word in toxicity.Restorer(char_model()).words(f"and {text}, so")
+    assert toxicity.Restorer(char_model()).words(f"{text} the {text}")[word] == 2
+
+
+def test_real_double_letters_and_short_words_stay():
+    words = ("happy", 40), ("all", 60), ("in", 80), ("the", 90), ("of", 80), ("it", 50)
+    model = toxicity.CharModel(Counter(g for w, n in words for g in [f"^^{w}$"[k : k + 3] for k in range(len(w) + 1)] for _ in range(n)))
+    assert toxicity.Restorer(model).words("happy in all of it, the all") == Counter({"all": 2, "happy": 1, "in": 1, "of": 1, "it": 1, "the": 1})
+
+
 def planted(n, seed):
     rng = random.Random(seed)
     docs, labels = [], []
