@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from bisect import bisect_right
 from collections import Counter
 from heapq import heapify, heappop, heappush
 
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import remainder, slices, table
-from ledgerloom.session import durable
+from ledgerloom.llm.warc import file_system
+from ledgerloom.session import durable, scratch_path
 
 #: What symbols may stand for (fixed values), and the cost of each step of the channel in natural logarithms.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
@@ -33,8 +36,6 @@ APART = re.compile(r"[^\W_](?:[.\-_*][^\W_]){2,}")
 #: Pieces of a word set apart have so many characters at most, and marks may stand between them.
 PIECE = 3
 PIECES = re.compile(rf"[^\W_]{{1,{PIECE}}}(?:[.\-_*]+[^\W_]{{1,{PIECE}}})+")
-#: Character trigrams under this share of all are left to the shorter ones, so there are at most a million.
-LEAST_SHARE = 1e-6
 #: Bound of the labelled rows the classifier is fitted on: those with the smallest hashes.
 FIT_ROWS = 20_000
 #: Features of a word: itself, and its beginnings of so many characters; each as present so many times at least.
@@ -67,17 +68,96 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def packed(gram: str) -> int:
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
+class StoredCounts:
+    """Counts of characters in a row, as sorted arrays in files of the shared folder: first key, rows and path of each.
+
+    Where the folder is mounted the files are mapped, so all workers of a machine share them."""
+
+    def __init__(self, files: list[tuple[int, int, str]]):
+        self.files = sorted(files)
+        self.first = [f[0] for f in self.files]
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def arrays(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.open:
+            from pyarrow import fs as pafs
+
+            _, rows, path = self.files[k]
+            fs, at = file_system(path)
+            if isinstance(fs, pafs.LocalFileSystem):
+                data = pa.memory_map(at).read_buffer()
+            else:
+                with fs.open_input_file(at) as f:
+                    data = f.read_buffer()
+            self.open[k] = np.frombuffer(data, np.int64, rows), np.frombuffer(data, np.int64, rows, 8 * rows)
+        return self.open[k]
+
+    def __getitem__(self, gram: str) -> int:
+        key = packed(gram)
+        k = bisect_right(self.first, key) - 1
+        if k < 0:
+            return 0
+        keys, n = self.arrays(k)
+        at = int(np.searchsorted(keys, key))
+        return int(n[at]) if at < len(keys) and keys[at] == key else 0
+
+    def get(self, gram: str, other: int = 0) -> int:
+        return self[gram] or other
+
+
+def stored(counts: DataFrame, label: str) -> StoredCounts:
+    """counts (key, n), each key once, written by tasks as sorted files."""
+    folder = scratch_path(counts.sparkSession, label)
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            path = f"{folder}/{uuid.uuid4().hex}"
+            fs, at = file_system(path)
+            fs.create_dir(at.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(at, compression=None) as out:
+                out.write(keys.tobytes())
+                out.write(n.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(keys[0])]), pa.array([len(keys)]), pa.array([path])], names=["first", "rows", "path"])
+
+    told = counts.select("key", "n").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "first long, rows long, path string")
+    return StoredCounts([tuple(r) for r in told.collect()])
+
+
+def char_model(counts: DataFrame) -> CharModel:
+    """The model of all trigrams of :func:`trigram_counts`. Shorter counts are summed from all of them; those of single
+    characters, no more than there are characters, come to the driver."""
+    three = durable(counts, "trigrams")
+    of = lambda key: three.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
+    pair, two = of(F.shiftright("key", 21)), of(F.col("key").bitwiseAND(2**42 - 1))
+    one = lambda key: Counter({chr(r.key): r.n for r in of(key).collect()})
+    last, middle = F.col("key").bitwiseAND(2**21 - 1), F.shiftright("key", 21).bitwiseAND(2**21 - 1)
+    return CharModel(stored(three, "three"), shorter=(stored(pair, "pair"), stored(two, "two"), one(middle), one(last)))
+
+
 class CharModel:
-    """Trigram model with shorter ones mixed in. ``counts`` maps three characters to their count."""
+    """Trigram model with shorter ones mixed in. ``counts`` maps three characters to their count; ``shorter`` has the
+    counts of the first two, the last two, the middle one and the last one, if they are not to be summed from ``counts``."""
 
-    def __init__(self, counts: dict[str, int], mix: float = 5.0):
+    def __init__(self, counts: dict[str, int] | StoredCounts, mix: float = 5.0, shorter: tuple | None = None):
         self.mix, self.three = mix, counts
-        self.two, self.one, self.pair, self.single = Counter(), Counter(), Counter(), Counter()
-        for (a, b, c), n in counts.items():
-            self.pair[a + b] += n
-            self.two[b + c] += n
-            self.single[b] += n
-            self.one[c] += n
+        if shorter is None:
+            shorter = Counter(), Counter(), Counter(), Counter()
+            for (a, b, c), n in counts.items():
+                for total, x in zip(shorter, (a + b, b + c, b, c)):
+                    total[x] += n
+        self.pair, self.two, self.single, self.one = shorter
         self.total = sum(self.one.values())
         self.kinds = len(self.one) + 1
         self.known: dict[str, float] = {}
@@ -290,11 +370,9 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
-    """(character model, evidence of each feature). Both have a bounded size and come to the driver."""
-    counts = durable(trigram_counts(docs), "trigrams")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = counts.filter(F.col("n") >= max(1, total * LEAST_SHARE)).collect()
-    model = CharModel({"".join(chr(r.key >> s & 0x1FFFFF) for s in (42, 21, 0)): r.n for r in kept})
+    """(character model, evidence of each feature). The model's counts stay in files, the evidence is bounded by the
+    fit's rows."""
+    model = char_model(trigram_counts(docs))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fit = durable(fit_rows(docs, labels, rows), "fit")
     marked = fit.groupBy("mark").count().collect()

@@ -96,6 +96,18 @@ def test_real_double_letters_and_short_words_stay():
     assert toxicity.Restorer(model).words("happy in all of it, the all") == Counter({"all": 2, "happy": 1, "in": 1, "of": 1, "it": 1, "the": 1})
 
 
+def test_rare_trigrams_stay_in_the_character_model(documents):
+    # over a million trigrams, so that a share of a millionth was more than one
+    rows = [(k, "the loser " * 2500) for k in range(100)] + [(1000, "qz qx"), (1001, "stupid 中文 qz"), (None, None)]
+    model = toxicity.char_model(toxicity.trigram_counts(documents(rows)))
+    words = Counter(w for _, t in rows for w in (t or "").split())
+    want = toxicity.CharModel(Counter(g for w in words for g in [f"^^{w}$"[k : k + 3] for k in range(len(w) + 1)] for _ in range(words[w])))
+    assert want.total > 2_000_000 and model.total == want.total and model.one == want.one and model.single == want.single
+    for gram in [*want.three, "^q中", "zzz", "$^^", "the", "qz^"]:
+        assert abs(model(gram) - want(gram)) < 1e-12
+    assert model.three["^qz"] == model.two["qz"] == 2 and model.pair["^中"] == 1
+
+
 def planted(n, seed):
     rng = random.Random(seed)
     docs, labels = [], []
