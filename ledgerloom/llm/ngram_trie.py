@@ -205,6 +205,67 @@ class NgramTrie:
         return cls(head["order"], head["kinds"], head["start"], levels)
 
 
+def found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in sorted ``keys``, -1 where they are not."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+class ContextTrie(NgramTrie):
+    """One shard of a model: a root, contexts as whole numbers below it, and the tokens seen after each context."""
+
+    @classmethod
+    def of(cls, context: np.ndarray, token: np.ndarray, count: np.ndarray, least: int) -> ContextTrie:
+        """From distinct n-grams in the order of context and token. Those under ``least`` are left to shorter contexts, with
+        their part of the context's count."""
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+        total = np.bincount(of, count, len(first))
+        kept = count >= least
+        told = (count[kept] - DISCOUNT) / total[of[kept]]
+        children = np.bincount(of[kept], minlength=len(first))
+        left = np.maximum(1.0 - np.bincount(of[kept], told, len(first)), 1e-12)
+        some = children > 0
+        contexts, children, left, token = context[first][some], children[some], left[some], token[kept].astype(np.int64)
+        ends = np.cumsum(children) - 1
+        base = np.concatenate(([0], np.cumsum(token[ends])[:-1])) if len(ends) else np.zeros(0, np.int64)
+        weight, weights = quantised(np.log10(left))
+        code, values = quantised(np.log10(told))
+        return cls(3, 0, -1, [
+            {"pointers": EliasFano.of(np.array([0, len(contexts)]))},
+            {"ids": EliasFano.of(contexts), "pointers": EliasFano.of(np.concatenate(([0], np.cumsum(children)))), "weight": weight, "weights": weights},
+            {"ids": EliasFano.of(token + np.repeat(base, children)), "code": code, "values": values},
+        ])
+
+    def sorted_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts, and context's place and token of each n-gram, read from the sequences once for many searches."""
+        if not hasattr(self, "keys"):
+            ids, pointers, tokens = self.levels[1]["ids"], self.levels[1]["pointers"], self.levels[2]["ids"]
+            ends = pointers[np.arange(pointers.n)]
+            size, value = np.diff(ends), tokens[np.arange(tokens.n)]
+            base = np.concatenate(([0], value[ends[1:-1] - 1])) if len(size) else np.zeros(0, np.int64)
+            self.keys = ids[np.arange(ids.n)], np.repeat(np.arange(len(size)), size) << 31 | value - np.repeat(base, size)
+        return self.keys
+
+    def codes(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the probability told and of the weight left for each n-gram, from 1 on; 0 where there is none. Equal
+        contexts follow each other."""
+        told, left = np.zeros(len(token), np.uint16), np.zeros(len(token), np.uint16)
+        if not len(token):
+            return told, left
+        contexts, leaves = self.sorted_keys()
+        new = np.concatenate(([True], context[1:] != context[:-1]))
+        node = found(contexts, context[new])[np.cumsum(new) - 1]
+        at = np.flatnonzero(node >= 0)
+        left[at] = self.levels[1]["weight"][node[at]].astype(np.uint16) + 1
+        leaf = found(leaves, node[at] << 31 | token[at].astype(np.int64))
+        seen = leaf >= 0
+        told[at[seen]] = self.levels[2]["code"][leaf[seen]].astype(np.uint16) + 1
+        return told, left
+
+
 def windows(tokens: np.ndarray, bits: int, size: int, start: int) -> np.ndarray:
     """Packed n-grams of ``size`` tokens; none runs over the begin of a sequence."""
     if len(tokens) < size:

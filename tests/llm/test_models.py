@@ -74,6 +74,38 @@ def test_scores_of_texts(documents, monkeypatch):
     assert lm_scoring.scored(documents([]), F.lit(False)).count() == 0
 
 
+def test_scores_are_those_of_all_words_and_ngrams(documents, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 900)
+    monkeypatch.setattr(lm_scoring, "PER_SHARD", 50)
+    rng = random.Random(8)
+    # rare words beside a hot one, which had a share under 1e-4 and their n-grams under 1e-6
+    rows = [(k, "hot " * 3000) for k in range(12)] + [(100 + k, " ".join(f"r{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(60)))) for k in range(60)]
+    rows += [(200, "r1 r2 never r1 r2"), (201, ""), (202, None)]
+    got = {r.doc_id: r for r in lm_scoring.scored(documents(rows), F.col("doc_id") % 5 == 1).collect()}
+    texts = {i: ["<s>", *(t or "").split(), "</s>"] for i, t in rows}
+    grams = [Counter(tuple(w[k : k + m]) for i, w in texts.items() if i % 5 != 1 for k in range(len(w) - m + 1)) for m in (1, 2, 3)]
+    words = {w: n for (w,), n in grams[0].items() if w not in ("<s>", "</s>")}
+    once, twice = (sum(n == k for n in words.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    total = sum(words.values()) + grams[0]["</s>",]
+
+    def p(h, w):
+        if not h:
+            return (grams[0]["</s>",] if w == "</s>" else words[w] - d if w in words else d * len(words)) / total
+        after = {g[-1]: n for g, n in grams[len(h)].items() if g[:-1] == h}
+        kept = {x: n for x, n in after.items() if n >= 2}
+        seen = sum(after.values()) or 1
+        left = 1 - sum(n - ngram_trie.DISCOUNT for n in kept.values()) / seen
+        return (kept[w] - ngram_trie.DISCOUNT if w in kept else 0) / seen + left * p(h[1:], w)
+
+    for i, w in texts.items():
+        if i >= 100:
+            want = sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w)))
+            assert want - 0.05 * len(w) < got[i].score < want + 1e-6, (i, want, got[i].score)
+    empty = lm_scoring.scored(documents([(1, ""), (2, None), (3, " ")]), F.col("doc_id") == 1).collect()
+    assert len(empty) == 3 and all(math.isfinite(r.score) for r in empty)
+
+
 def char_model():
     return toxicity.CharModel(Counter(g for w, n in (("idiot", 50), ("stupid", 40), ("the", 90), ("loser", 30)) for g in [f"^^{w}$"[k : k + 3] for k in range(len(w) + 1)] for _ in range(n)))
 
