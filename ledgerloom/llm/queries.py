@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerloom.llm import chat_format, decontaminate, exact_dedup, lm_scoring, ngram_join, packing, token_counts, toxicity, url_filters, warc
+from ledgerloom.llm import chat_format, decontaminate, exact_dedup, lm_scoring, ngram_join, packing, sentence_pieces, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         token_counts.op8_token_counts,
         lm_scoring.op9_lm_scoring,
         ngram_join.op10_ngram_join,
+        sentence_pieces.op11_sentencepiece,
     )
 }
 
