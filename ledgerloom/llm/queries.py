@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerloom.llm import chat_format, decontaminate, exact_dedup, lm_scoring, ngram_join, packing, sentence_pieces, token_counts, toxicity, url_filters, warc
+from ledgerloom.llm import chat_format, decontaminate, exact_dedup, lm_scoring, merkle, ngram_join, packing, resampling, sentence_pieces, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,8 @@ QUERIES = {
         lm_scoring.op9_lm_scoring,
         ngram_join.op10_ngram_join,
         sentence_pieces.op11_sentencepiece,
+        merkle.op12_merkle,
+        resampling.op13_resampling,
     )
 }
 
@@ -31,4 +33,6 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
