@@ -62,11 +62,16 @@ class Value:
 
 @dataclass
 class Sheet:
-    """Rows of one sheet: ``pos`` (unique order key), ``c0..cn`` and, for untyped cells, ``k0..kn``."""
+    """Rows of one sheet: ``pos`` (unique order key), ``c0..cn`` and, for untyped cells, ``k0..kn``.
+
+    Sheets with the same titles can be cleaned together: ``keys`` are the columns that tell their rows apart, and
+    ``pos`` is unique among rows with equal keys. Such columns have no null.
+    """
 
     rows: DataFrame
     titles: list[str]
     name: str = "Sheet1"
+    keys: tuple[str, ...] = ()
 
     @classmethod
     def of_table(cls, df: DataFrame, titles: dict[str, str], pos: str = "pos", name: str = "Sheet1") -> Sheet:
@@ -77,16 +82,21 @@ class Sheet:
     @classmethod
     def of_cells(cls, data_rows: DataFrame, file: str, sheet: str, titles: list[str]) -> Sheet:
         """One sheet of the long row form produced by ``headers.data_rows``."""
-        here = data_rows.filter((F.col("file") == file) & (F.col("sheet") == sheet))
+        return cls.of_rows(data_rows.filter((F.col("file") == file) & (F.col("sheet") == sheet)), titles, sheet)
+
+    @classmethod
+    def of_rows(cls, data_rows: DataFrame, titles: list[str], name: str = "Sheet1", keys: tuple[str, ...] = ()) -> Sheet:
+        """Rows of the long form that all have these titles, told apart by ``keys``."""
         cells = [F.get("cells", F.lit(i)) for i in range(len(titles))]
         return cls(
-            here.select(
-                F.col("row_no").alias("pos"),
+            data_rows.select(
+                *keys, F.col("row_no").alias("pos"),
                 *[c["text"].alias(f"c{i}") for i, c in enumerate(cells)],
                 *[c["kind"].alias(f"k{i}") for i, c in enumerate(cells)],
             ),
             titles,
-            sheet,
+            name,
+            keys,
         )
 
     def values(self) -> dict[str, tuple[str, Value]]:
@@ -101,12 +111,13 @@ class Sheet:
 
 @dataclass
 class Cleaned:
-    """Result of :func:`clean`; every member is lazy."""
+    """Result of :func:`clean`; every member is lazy. ``whole`` has the rows of both ``kept`` and ``dropped``."""
 
     marked: DataFrame
     kept: DataFrame
     dropped: DataFrame
     schema: list[dict]
+    whole: DataFrame | None = None
 
     def counts(self) -> DataFrame:
         """Rows read, kept and dropped."""
@@ -218,19 +229,27 @@ def clean(sheet: Sheet, rules: list[dict], schema: list[dict], ampm: bool = Fals
     shown = [values[t][1].text for t in dict.fromkeys(sheet.titles)] + [F.col(m) for m in combined.values()]
     sample = F.coalesce(*[F.when(~is_blank(t), t) for t in shown])
     live = marked.filter(F.col("reason").isNull()).drop("reason")
-    dropped = marked.filter(F.col("reason").isNotNull()).select("pos", "reason", sample.alias("sample"))
+    place = [*sheet.keys, "pos"]
+    dropped = marked.filter(F.col("reason").isNotNull()).select(*place, "reason", sample.alias("sample"))
+    flagged = marked
     if any(r["kind"] == "dedupe" for r in active):
         # The first row of each group of equal rows: a map-side aggregate, so no task sees all copies.
         key = [c for c in live.columns if c != "pos"]
         first = live.groupBy(*key).agg(F.min("pos").alias("pos"))
-        again = live.join(first.select("pos"), "pos", "left_anti")
-        dropped = dropped.unionByName(again.select("pos", F.lit(DUPLICATE).alias("reason"), sample.alias("sample")))
+        again = live.join(first.select(*place), place, "left_anti")
+        dropped = dropped.unionByName(again.select(*place, F.lit(DUPLICATE).alias("reason"), sample.alias("sample")))
+        found = marked.join(first.select(*place, F.lit(True).alias("stays")), place, "left")
+        flagged = found.withColumn("reason", F.coalesce("reason", F.when(F.col("stays").isNull(), DUPLICATE)))
         live = first
 
-    return Cleaned(marked, project(live, schema, values, combined), dropped, schema)
+    hidden = [F.col(k).alias(f"_{k}") for k in place]
+    told = [F.col("reason").alias("_reason"), F.when(F.col("reason").isNotNull(), sample).alias("_sample")]
+    names = projection(schema, values, combined)
+    whole = flagged.select(*hidden, *told, *names)
+    return Cleaned(marked, live.select(*place, *names), dropped, schema, whole)
 
 
-def project(live: DataFrame, schema: list[dict], values: dict, combined: dict[str, str]) -> DataFrame:
+def projection(schema: list[dict], values: dict, combined: dict[str, str]) -> list[Column]:
     """Included schema columns under their canonical names; of equal names the last one wins."""
     out: dict[str, Column] = {}
     for c in schema:
@@ -243,22 +262,22 @@ def project(live: DataFrame, schema: list[dict], values: dict, combined: dict[st
             out[c["name"]] = values[c["source"]][1].shown()
         else:
             out[c["name"]] = F.lit(None).cast("string")
-    return live.select("pos", *[v.alias(n) for n, v in out.items()])
+    return [v.alias(n) for n, v in out.items()]
 
 
-def dq_stats(kept: DataFrame, schema: list[dict]) -> DataFrame:
-    """Share of blank values and number of distinct values (NULL is one of them) per column."""
+def dq_stats(kept: DataFrame, schema: list[dict], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Share of blank values and number of distinct values (NULL is one of them) per column, for equal ``keys`` each."""
     types = {f.name: f.dataType for f in kept.schema.fields}
     declared = {c["name"]: c["type"] for c in schema if c.get("include", True)}
     pairs = [
         F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), text_of(F.col(n), types[n]).alias("text"))
         for n, t in declared.items()
     ]
-    long = kept.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-    seen = long.groupBy("name", "type", F.coalesce("text", F.lit("None")).alias("shown")).agg(
+    long = kept.select(*keys, F.explode(F.array(*pairs)).alias("p")).select(*keys, "p.*")
+    seen = long.groupBy(*keys, "name", "type", F.coalesce("text", F.lit("None")).alias("shown")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(is_blank(F.col("text"))).alias("blank")
     )
-    return seen.groupBy("name", "type").agg(
+    return seen.groupBy(*keys, "name", "type").agg(
         F.round(F.sum("blank") / F.sum("n") * 100, 1).alias("null_pct"), F.count(F.lit(1)).alias("distinct")
     )
 

@@ -93,6 +93,25 @@ def star_diff(store: Store, spec: StarSpec) -> DataFrame:
     )
 
 
+def table_list(store: Store, spec: StarSpec) -> list[tuple]:
+    """Stored tables with their columns, primary key and foreign keys, by name. Metadata only."""
+    out = []
+    for name in store.tables():
+        roles = {c["name"]: c for c in spec.of(name)}
+        columns = [(c, t) for c, t in store.columns(name).items() if c != UPLOAD]
+        keys = [c for c, _ in columns if roles.get(c, {}).get("role") == "pk"]
+        foreign = [f"{c} -> {'.'.join(r)}" for c, _ in columns if c in roles and (r := spec.reference(roles[c]))]
+        out.append((name, columns, keys, foreign))
+    return out
+
+
+def listed_tables(spark, before: list[tuple], after: list[tuple]) -> DataFrame:
+    """``phase, table_name, columns, primary_key, foreign_keys, new``: the tables before and after; ``new`` if not there before."""
+    known = {t[0] for t in before}
+    rows = [("before", *t, False) for t in before] + [("after", *t, t[0] not in known) for t in after]
+    return spark.createDataFrame(rows, "phase string, table_name string, columns array<struct<name string, type string>>, primary_key array<string>, foreign_keys array<string>, new boolean")
+
+
 def ensure_tables(store: Store, spec: StarSpec) -> None:
     """Declare new tables and columns; dimensions first, facts with their hidden upload column."""
     for t in [*spec.dimensions(), *spec.facts()]:

@@ -101,23 +101,36 @@ def classify_sheets(rows: DataFrame, headers: DataFrame | None = None, dense: bo
     )
 
 
-def sheet_columns(sheets: DataFrame) -> DataFrame:
-    """Column titles of the data sheets; a blank title becomes ``column_<n>``."""
+def header_titles(header: Column) -> Column:
+    """Titles of a header row; a blank one becomes ``column_<n>``."""
     title = lambda c, i: F.when(is_blank(c["text"]), F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(
         strip(c["text"])
     )
+    return F.transform(header, title)
+
+
+def layout(header: Column) -> Column:
+    """A short name that equal lists of titles share."""
+    return F.concat(F.lit("t"), F.substring(F.sha1(F.to_json(header_titles(header)).cast("binary")), 1, 12))
+
+
+def sheet_columns(sheets: DataFrame) -> DataFrame:
+    """Column titles of the data sheets; a blank title becomes ``column_<n>``."""
     return sheets.filter(F.col("kind") == "data").select(
-        *SHEET, F.posexplode(F.transform("header", title)).alias("col_index", "source")
+        *SHEET, F.posexplode(header_titles(F.col("header"))).alias("col_index", "source")
     )
 
 
-def data_rows(rows: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Non-blank rows below the header of the data sheets, cut or padded to the header width."""
-    heads = sheets.filter(F.col("kind") == "data").select(*SHEET, "header_no", F.size("header").alias("_w"))
+def data_rows(rows: DataFrame, sheets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Non-blank rows below the header of the data sheets, cut or padded to the header width.
+
+    ``keep`` are further columns of ``sheets`` that every row gets.
+    """
+    heads = sheets.filter(F.col("kind") == "data").select(*SHEET, *keep, "header_no", F.size("header").alias("_w"))
     return (
         rows.join(heads, SHEET)
         .filter((F.col("row_no") > F.col("header_no")) & has_value(F.col("cells")))
-        .select(*SHEET, "row_no", F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda i: F.get("cells", i)).alias("cells"))
+        .select(*SHEET, *keep, "row_no", F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda i: F.get("cells", i)).alias("cells"))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerloom.functions.text import text_of
 
@@ -20,11 +20,23 @@ def plain_snake(title: str) -> str:
 
 @dataclass
 class Tab:
-    """Cleaned rows of one sheet. ``keys`` maps every name a column answers to onto the column."""
+    """Cleaned rows of one sheet. ``keys`` maps every name a column answers to onto the column.
+
+    Tabs cleaned together share ``shared``, whose ``_member_no`` tells them apart by ``number``.
+    """
 
     name: str
     rows: DataFrame
     keys: dict[str, str]
+    shared: DataFrame | None = None
+    number: int = 0
+
+    @classmethod
+    def of_shared(cls, name: str, shared: DataFrame, number: int, schema: list[dict]) -> Tab:
+        own = [c for c in shared.columns if not c.startswith("_")]
+        rows = shared.filter(F.col("_member_no") == number).select(F.col("_pos").alias("pos"), *own)
+        tab = cls.of(name, rows, schema)
+        return cls(name, rows, tab.keys, shared, number)
 
     @classmethod
     def of(cls, name: str, kept: DataFrame, schema: list[dict]) -> Tab:
@@ -73,29 +85,42 @@ def fold_siblings(
         if len(members) < 2 or target is None or target not in titles:
             continue
         base = tabs[target]
-        parts, lost = [base.rows.withColumn("tab", F.lit(target))], []
         keys = dict(base.keys)
         types = {f.name: f.dataType for f in base.rows.schema.fields}
         for title in titles[target]:
             keys.setdefault(title, plain_snake(title))
             keys.setdefault(plain_snake(title), plain_snake(title))
-        for m in members:
-            if m == target:
-                continue
-            have = {f.name: f.dataType for f in tabs[m].rows.schema.fields}
+        lost = [m for m in members if m != target]
+        # tabs cleaned together that give the same columns are one branch, however many they are
+        branches: dict[tuple, list[str]] = {}
+        for m in lost:
             picks = _aligned(tabs[m], titles[target], entities.get(target, {}), sources.get(m, {}))
+            if picks:
+                shared = tabs[m].shared
+                branches.setdefault((m if shared is None else id(shared), tuple(picks.items())), []).append(m)
+        numeric = all(isinstance(t.rows.schema["pos"].dataType, T.IntegralType) for t in (base, *(tabs[n[0]] for n in branches.values())))
+
+        def placed(number: Column, pos: Column) -> Column:
+            """A row's place in the folded tab; equal places in two tabs stay apart."""
+            return (number.cast("long") * F.lit(1 << 40) + pos if numeric else F.struct(number.cast("long").alias("tab_no"), pos.alias("pos"))).alias("pos")
+
+        parts = [base.rows.withColumn("tab", F.lit(False)).withColumn("pos", placed(F.lit(0), F.col("pos")))]
+        for (_, picked), group in branches.items():
+            first = tabs[group[0]]
+            have = {f.name: f.dataType for f in first.rows.schema.fields}
 
             def fitted(name: str, column: str) -> Column:
                 want = types.get(name, have[column])
                 c = F.col(column)
                 return (c if want == have[column] else text_of(c, have[column]).try_cast(want)).alias(name)
 
-            if not picks:
-                lost.append(m)
-                continue
-            part = tabs[m].rows.select("pos", *[fitted(n, c) for n, c in picks.items()], F.lit(m).alias("tab"))
-            parts.append(part.filter(F.coalesce(*[F.col(n).cast("string") for n in picks]).isNotNull()))
-            lost.append(m)
+            if first.shared is None:
+                rows, place = first.rows, placed(F.lit(1 + lost.index(group[0])), F.col("pos"))
+            else:
+                rows = first.shared.filter(F.col("_member_no").isin([tabs[m].number for m in group]))
+                place = placed(F.lit(1) + F.col("_member_no"), F.col("_pos"))
+            part = rows.select(place, *[fitted(n, c) for n, c in picked], F.lit(True).alias("tab"))
+            parts.append(part.filter(F.coalesce(*[F.col(n).cast("string") for n, _ in picked]).isNotNull()))
         merged = parts[0]
         for p in parts[1:]:
             merged = merged.unionByName(p, allowMissingColumns=True)
@@ -105,7 +130,7 @@ def fold_siblings(
         reports.append(
             merged.groupBy().agg(
                 F.lit(target).alias("unioned_into"), F.lit(", ".join(lost)).alias("folded_tabs"),
-                F.count_if(F.col("tab") != target).alias("rows_added"),
+                F.count_if("tab").alias("rows_added"),
             )
         )
     report = None

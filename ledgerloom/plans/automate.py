@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators import declared as D, grouping as G, match as M, registry as E
 from ledgerloom.operators.siblings import Tab, fold_siblings
-from ledgerloom.plans.ingest import cleaned_sheet
+from ledgerloom.plans.ingest import cleaned_sheets
 from ledgerloom.plans.workbook import profile_workbook
 from ledgerloom.session import durable
 from ledgerloom.sources.staging import Store
@@ -16,7 +16,10 @@ from ledgerloom.sources.staging import Store
 
 @dataclass
 class Automated:
+    """diff: what the specification changes. tables: columns, keys and ``new`` of every table, before and after. folds: tabs folded into others. report: rows loaded. orphans: foreign keys without a parent."""
+
     diff: DataFrame
+    tables: DataFrame
     folds: DataFrame | None
     report: DataFrame
     orphans: DataFrame
@@ -37,10 +40,13 @@ def automate(
     book = profile_workbook(rows.filter(F.col("file") == file), dense=dense)
     matches = durable(M.match_columns(book.columns, registry), "matches")
     sheets = [r["sheet"] for r in book.sheets.filter(F.col("kind") == "data").select("sheet").orderBy("sheet").collect()]
+    told, done = cleaned_sheets(book, [(0, n, file, s, None) for n, s in enumerate(sheets)], keep_all=not apply_filters)
+    by_plan = {c.plan.signature: c for c in done}
+    shared = {k: c.kept() for k, c in by_plan.items()}
     tabs = {}
-    for s in sheets:
-        cleaned, schema = cleaned_sheet(book, file, s, keep_all=not apply_filters)
-        tabs[s] = Tab.of(s, cleaned.kept, schema)
+    for r in told.select("sheet", "member_no", "signature").orderBy("member_no").collect():  # sheets of one file
+        plan = by_plan[r["signature"]].plan
+        tabs[r["sheet"]] = Tab.of_shared(r["sheet"], shared[r["signature"]], r["member_no"], plan.schema)
     groups = G.union_groups(M.entity_sets(matches), threshold=0.8)
     members = groups.groupBy("group_id").agg(F.array_sort(F.collect_list("sheet")).alias("s")).collect()  # sheet names of one file
     titles: dict[str, list[str]] = {}
@@ -53,6 +59,7 @@ def automate(
             sources.setdefault(r["sheet"], {}).setdefault(r["entity"], r["source"])
     tabs, folds = fold_siblings(tabs, [r["s"] for r in members], referenced_sheets(spec), titles, entities, sources)
     diff = durable(D.star_diff(store, spec), "star-diff")
+    before = D.table_list(store, spec)
     D.ensure_tables(store, spec)
     report = D.load(store, spec, tabs, upload_id)
-    return Automated(diff, folds, report, D.fk_orphans(store, spec))
+    return Automated(diff, D.listed_tables(store.spark, before, D.table_list(store, spec)), folds, report, D.fk_orphans(store, spec))

@@ -1,31 +1,111 @@
-"""Ingest: profile, clean, conform, check, stage, and rebuild the star."""
+"""Ingest: profile, clean, conform, check, stage, and rebuild the star.
+
+Rules are data here (:mod:`ledgerloom.plans.signature`): sheets with the same plan share one job, and each table is
+staged by one job more, so the number of jobs follows the plans and tables, not the sheets.
+"""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerloom.operators import clean as C, conform as U, match as M, registry as E, star as W
+from ledgerloom.functions.casts import coerce, storage_type
+from ledgerloom.operators import conform as U, match as M, registry as E, star as W
+from ledgerloom.plans import signature as S
 from ledgerloom.plans.workbook import Workbook, profile_workbook
 from ledgerloom.session import durable
 from ledgerloom.sources import runlog
 from ledgerloom.sources.staging import Staging
 
+#: A stored row number is the member's number times this, plus the row's number in its sheet.
+MEMBER = 1 << 40
+
+
+@dataclass
+class Summary:
+    """What one run did; ``members`` and ``tables`` are small, the other frames are lazy reports over the cleaned rows.
+
+    members: table_name, member_no, sheet, input_count, kept_count, dropped_count.
+    tables: table_name, row_count, columns (name and type in order), added_columns, known_entities, new_entities, new,
+    verdict, baseline_uploads, added, removed, drift, sheets.
+    dropped: table_name, sheet, pos, reason, sample. dq: table_name, sheet, name, type, null_pct, distinct.
+    """
+
+    members: DataFrame
+    tables: DataFrame
+    dropped: DataFrame
+    dq: DataFrame
+
+
+@dataclass
+class Ingested:
+    summary: Summary
+    checks: DataFrame
+    star: W.Star | None
+    run_id: str
+
 
-def cleaned_sheet(book: Workbook, file: str, sheet: str, rules: list[dict] | None = None, keep_all: bool = False) -> tuple[C.Cleaned, list[dict]]:
-    """One sheet cleaned by its own rules (or the caller's), and its schema."""
-    titles = C.sheet_titles(book.titles, file, sheet)
-    own = rules if rules is not None else C.rule_dicts(book.rules, file, sheet)
-    schema = C.schema_dicts(book.schema, file, sheet)
-    source = C.Sheet.of_cells(book.data_rows, file, sheet, titles)
-    return C.clean(source, C.keep_all_rows(own) if keep_all else own, schema), schema
+def cleaned_sheets(
+    book: Workbook, wanted: list[tuple[int, int, str, str, list[dict] | None]], mapping: DataFrame | None = None, keep_all: bool = False
+) -> tuple[DataFrame, list[S.Cleaned]]:
+    """The requested sheets that hold data, cleaned plan by plan."""
+    told = S.signed(book, S.requests(book, wanted), mapping, keep_all)
+    return told, [S.clean_plan(book, told, p, keep_all) for p in S.plans(told)]
 
 
-def run_summary(sheet: str, cleaned: C.Cleaned) -> DataFrame:
-    """Rows read, kept and dropped by one member sheet."""
-    return cleaned.counts().select(F.lit(sheet).alias("sheet"), "input_count", "kept_count", "dropped_count")
+def union_types(done: list[S.Cleaned], table: int) -> dict[str, str]:
+    """Columns of a table in first-seen order of its members, with their first-seen type."""
+    out: dict[str, str] = {}
+    for c in sorted((c for c in done if table in c.plan.first_member), key=lambda c: c.plan.first_member[table]):
+        for own, (name, kind) in c.plan.names.items():
+            if own in c.columns:
+                out.setdefault(name, kind)
+    return out
+
+
+def table_rows(done: list[S.Cleaned], table: int, types: dict[str, str]) -> DataFrame | None:
+    """Kept rows of all members under canonical names and types, with ``pos``; missing columns are NULL."""
+    out = None
+    for c in done:
+        if table not in c.plan.first_member:
+            continue
+        have = {f.name: f.dataType for f in c.rows.schema.fields}
+        own = {c.plan.names[n][0]: n for n in c.columns if n in c.plan.names}
+        values = [(coerce(F.col(own[n]), t, have[own[n]]) if n in own else F.lit(None).cast(storage_type(t))).alias(n) for n, t in types.items()]
+        numeric = isinstance(have["_pos"], T.IntegralType)
+        pos = F.col("_member_no") * F.lit(MEMBER) + F.col("_pos") if numeric else F.struct("_member_no", "_pos")
+        part = c.kept().filter(F.col("_table_no") == table).select(pos.alias("pos"), *values)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def summarise(staging: Staging, tables: list[dict], told: DataFrame, done: list[S.Cleaned], stored: list[dict], before: dict[int, list[str]], registry: list[dict]) -> tuple[Summary, DataFrame]:
+    """The summary of a run and its checks (table_name, check_name, passed, details)."""
+    spark = staging.spark
+    named = F.element_at(F.array(*[F.lit(t["table"]) for t in tables]), F.col("table_no") + 1).alias("table_name")
+    now = spark.createDataFrame([(s["name"], c) for s in stored for c in s["types"]], "table_name string, column_name string")
+    old = spark.createDataFrame([(s["name"], c) for s in stored for c in before[s["no"]]], "table_name string, column_name string")
+    covered, drift = U.check_registry(now, E.registry_frame(spark, registry)), U.check_drift(old, now)
+    done_tables = spark.createDataFrame(
+        [(s["name"], s["rows"], list(s["types"].items()), ", ".join(s["added"]) or "none", s["sheets"]) for s in stored],
+        "table_name string, row_count long, columns array<struct<name string, type string>>, added_columns string, sheets string",
+    )
+    table_info = durable(
+        done_tables.join(covered.drop("passed"), "table_name").join(drift.drop("passed"), "table_name").select(*done_tables.columns, "known_entities", "new_entities", "new", "verdict", "baseline_uploads", "added", "removed", "drift"),
+        "tables",
+    )
+    told_checks = covered.select("table_name", F.lit("schema_vs_registry").alias("check_name"), "passed", F.col("verdict").alias("details"))
+    checks = durable(told_checks.unionByName(drift.select("table_name", F.lit("schema_drift").alias("check_name"), "passed", F.col("drift").alias("details"))), "checks")
+    summary = Summary(
+        durable(S.member_counts(told, done).select(named, "member_no", "sheet", "input_count", "kept_count", "dropped_count"), "members"),
+        table_info,
+        S.dropped_rows(told, done).select(named, "sheet", "pos", "reason", "sample"),
+        S.member_dq(told, done).select(named, "sheet", "name", "type", "null_pct", "distinct"),
+    )
+    return summary, checks
 
 
 def ingest(
@@ -36,54 +116,40 @@ def ingest(
     registry: list[dict] | None = None,
     rebuild: bool = True,
     dense: bool = True,
-) -> tuple[DataFrame, DataFrame, W.Star | None]:
+) -> Ingested:
     """Ingest the sheets of one upload.
 
     ``tables`` = ``[{table, file, members: [sheet], overrides: {title: entity}, rules: {sheet: [rule]}}]``.
-    Sheets that do not exist or hold no data are skipped. Returns the per-member summary, the checks,
-    and the published star.
+    Sheets that do not exist or hold no data are skipped. The run is logged, whatever its outcome.
     """
     spark = staging.spark
-    registry = registry or E.read_registry(spark)
-    book = profile_workbook(rows, dense=dense)
-    matches = durable(M.match_columns(book.columns, registry), "matches")
-    data = {(r["file"], r["sheet"]) for r in book.sheets.filter(F.col("kind") == "data").select("file", "sheet").collect()}
-    wanted = [(t["file"], s, k, e) for t in tables for s in t["members"] for k, e in (t.get("overrides") or {}).items()]
-    overrides = spark.createDataFrame(wanted, "file string, sheet string, source string, entity string").dropDuplicates(["file", "sheet", "source"])
-    mapping = durable(U.canonical_map(book.schema, matches, overrides), "mapping")
-    registry_rows = E.registry_frame(spark, registry)
-    run_id, summaries, checks = uuid.uuid4().hex, None, None
-    for t in tables:
-        members = []
-        for sheet in t["members"]:
-            if (t["file"], sheet) not in data:
-                continue
-            cleaned, _ = cleaned_sheet(book, t["file"], sheet, (t.get("rules") or {}).get(sheet))
-            members.append(U.conform(sheet, cleaned.kept, U.map_dict(mapping, t["file"], sheet)))
-            one = run_summary(sheet, cleaned).withColumn("table_name", F.lit(t["table"]))
-            summaries = one if summaries is None else summaries.unionByName(one)
-        if not members:
-            continue
-        stacked, types = U.union_members(members)
-        now = spark.createDataFrame([(t["table"], c) for c in types], "table_name string, column_name string")
-        before = spark.createDataFrame([(t["table"], c) for c in staging.columns(t["table"])], "table_name string, column_name string")
-        told = U.check_registry(now, registry_rows).select("table_name", F.lit("schema_vs_registry").alias("check_name"), "passed", F.col("verdict").alias("details"))
-        drift = U.check_drift(before, now).select("table_name", F.lit("schema_drift").alias("check_name"), "passed", F.col("drift").alias("details"))
-        found = durable(told.unionByName(drift), "checks")  # before the write, which changes the stored schema
-        checks = found if checks is None else checks.unionByName(found)
-        placed = stacked.withColumn("pos", F.struct("member_no", "pos"))
-        done = staging.write(t["table"], placed, types, upload_id)
-        runlog.append(spark, staging.root, "materialized", [(run_id, done["table"], done["rows"], ", ".join(done["added_columns"]) or "none")], runlog.MATERIALIZED)
-    if checks is not None:
-        checks.select(F.lit(run_id).alias("run_id"), F.col("table_name").alias("asset"), "check_name", "passed", "details").write.mode("append").parquet(
-            f"{staging.root}/log/check_log"
-        )
-    star, status = None, "FAILURE"
+    run_id, status = uuid.uuid4().hex, "FAILURE"
     try:
+        registry = registry or E.read_registry(spark)
+        book = profile_workbook(rows, dense=dense)
+        matches = durable(M.match_columns(book.columns, registry), "matches")
+        confirmed = {(t["file"], s, k): e for t in tables for s in t["members"] for k, e in (t.get("overrides") or {}).items()}
+        overrides = durable(spark.createDataFrame([(*k, e) for k, e in confirmed.items()], "file string, sheet string, source string, entity string"), "overrides")
+        mapping = durable(U.canonical_map(book.schema, matches, overrides), "mapping")
+        wanted = [(n, m, t["file"], s, (t.get("rules") or {}).get(s)) for n, t in enumerate(tables) for m, s in enumerate(t["members"])]
+        told, done = cleaned_sheets(book, wanted, mapping)
+        stored, before = [], {}
+        for n, t in enumerate(tables):
+            types = union_types(done, n)
+            found = table_rows(done, n, types)
+            if found is None:
+                continue
+            before[n] = list(staging.columns(t["table"]))
+            written = staging.write(t["table"], found, types, upload_id)
+            stored.append({"no": n, "name": t["table"], "types": types, "rows": written["rows"], "added": written["added_columns"], "asset": written["table"], "sheets": ", ".join(t["members"])})
+        runlog.append(spark, staging.root, "materialized", [(run_id, s["asset"], s["rows"], ", ".join(s["added"]) or "none") for s in stored], runlog.MATERIALIZED)
+        summary, checks = summarise(staging, tables, told, done, stored, before, registry)
+        checks.select(F.lit(run_id).alias("run_id"), F.col("table_name").alias("asset"), "check_name", "passed", "details").write.mode("append").parquet(f"{staging.root}/log/check_log")
+        star = None
         if rebuild:
             W.publish(W.build_star(staging.harvest(W.HARVESTED), staging.fact_tables()), staging.root)
             star = W.read_star(spark, staging.root)
         status = "SUCCESS"
+        return Ingested(summary, checks, star, run_id)
     finally:
         runlog.append(spark, staging.root, "run_log", [(run_id, status, "ingest", upload_id, datetime.now(timezone.utc))], runlog.RUN)
-    return summaries, checks, star

@@ -13,7 +13,11 @@ from ledgerloom.session import durable
 
 @dataclass
 class Workbook:
-    """Profile of every sheet: layout, titles, column profile, rules, schema, and the data rows."""
+    """Profile of every sheet: layout, titles, column profile, rules, schema, and the data rows.
+
+    The data rows are written once, in a folder for each list of titles (``layout``), so what is run over sheets with
+    the same titles reads their rows only.
+    """
 
     sheets: DataFrame
     titles: DataFrame
@@ -39,13 +43,13 @@ def profile_workbook(rows: DataFrame, dense: bool = True, trim: bool = True) ->
     """Run layout detection, profiling and rule generation over ``sheet_rows``.
 
     The rows are scanned a few times, never gathered: the layout needs the first rows of each sheet,
-    the profile one aggregate over all cells.
+    the profile one aggregate over all cells. The number of jobs does not depend on the number of sheets.
     """
     if trim:
         rows = H.trim_trailing_blank(rows)
     sheets = durable(H.classify_sheets(rows, dense=dense), "sheets")
     titles = durable(H.sheet_columns(sheets), "titles")
-    body = H.data_rows(rows, sheets)
+    body = durable(H.data_rows(rows, sheets.withColumn("layout", H.layout(F.col("header"))), ("layout",)), "body", by=["layout"])
     cells = H.melt_cells(body)
     values = durable(P.weighted_values(cells), "values")
     described = P.describe_columns(P.column_stats(values), titles).join(P.column_samples(cells, values), P.COLUMN, "left")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +28,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+def durable(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once and read it back. ``by``: columns of few values, each of which gets a folder of its own.
 
     Cuts the lineage so that a lost executor re-reads files instead of recomputing, and gives the
     optimizer the true size, so it broadcasts the table only when it is below
@@ -36,5 +37,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, metrics: dict[str, Column], write: Callable[[DataFrame], None]) -> dict:
+    """Run ``write(df)`` and return the aggregates that the same job saw on its way; 0 where it had nothing to see."""
+    seen = Observation()
+    write(df.observe(seen, *[m.alias(n) for n, m in metrics.items()]))
+    found = seen.get
+    return {n: found.get(n) or 0 for n in metrics}

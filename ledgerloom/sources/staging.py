@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.functions.casts import coerce, storage_type
+from ledgerloom.operators.numbering import numbered
 from ledgerloom.operators.siblings import plain_snake
+from ledgerloom.session import observed
 
 
 @dataclass
@@ -85,7 +87,8 @@ class Staging(Store):
         """Replace this upload's rows; new columns widen the table. Running it twice changes nothing.
 
         ``rows`` has ``pos`` (order) and the columns of ``types``. Values are converted to the type the
-        table first declared for the column.
+        table first declared for the column. Returns the stored name, the rows, the new columns, and the gaps of each
+        column; the writing job counts them.
         """
         added = self.widen(table, types)
         declared = self.columns(table)
@@ -96,22 +99,19 @@ class Staging(Store):
         if isinstance(have["pos"], T.LongType):
             placed = rows.select(F.col("pos").alias("_row"), *values)
         else:
-            # A range sort keeps row order across tasks, so the running id follows it.
-            placed = rows.orderBy("pos").select(F.monotonically_increasing_id().alias("_row"), *values)
+            # numbers by prefix sums over tasks follow any order
+            named = rows.withColumnRenamed("pos", "_pos")
+            placed = numbered(named, [F.asc("_pos")], "_row").select("_row", *values)
         path = self.data_path(table)
-        placed.withColumn("upload_id", F.lit(upload_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("upload_id").parquet(path)
-        here = self.read(table).filter(F.col("upload_id") == upload_id)
-        count = self._written(rows, here, path, upload_id)
-        return {"table": self.prefix + plain_snake(table), "rows": count, "added_columns": added}
-
-    def _written(self, rows: DataFrame, here: DataFrame, path: str, upload_id: str) -> int:
-        """Rows now stored for the upload. An empty batch writes no file, so old ones are removed here."""
-        if rows.isEmpty():
+        blank = {c: F.count_if(F.col(c).isNull()) for c in declared}
+        told = observed(
+            placed.withColumn("upload_id", F.lit(upload_id)), {"rows": F.count(F.lit(1)), **{f"blank {c}": b for c, b in blank.items()}},
+            lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(path),
+        )
+        if not told["rows"]:
+            # an empty batch writes no file, so old ones are removed here
             self._remove(f"{path}/upload_id={upload_id}")
-            return 0
-        return here.count()
+        return {"table": self.prefix + plain_snake(table), "rows": told["rows"], "added_columns": added, "blanks": {c: told[f"blank {c}"] for c in declared}}
 
     def read(self, table: str) -> DataFrame:
         """All uploads of a table with the declared columns; columns unknown to old files are NULL."""
