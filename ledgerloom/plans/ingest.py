@@ -90,11 +90,14 @@ def summarise(staging: Staging, tables: list[dict], told: DataFrame, done: list[
     old = spark.createDataFrame([(s["name"], c) for s in stored for c in before[s["no"]]], "table_name string, column_name string")
     covered, drift = U.check_registry(now, E.registry_frame(spark, registry)), U.check_drift(old, now)
     done_tables = spark.createDataFrame(
-        [(s["name"], s["rows"], list(s["types"].items()), ", ".join(s["added"]) or "none", s["sheets"]) for s in stored],
-        "table_name string, row_count long, columns array<struct<name string, type string>>, added_columns string, sheets string",
+        [(s["name"], s["rows"], list(s["types"].items()), ", ".join(s["added"]) or "none") for s in stored],
+        "table_name string, row_count long, columns array<struct<name string, type string>>, added_columns string",
     )
+    # the names of a table's sheets, in order of its members
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("member_no", "sheet"))), lambda m: m["sheet"])
+    sheets = told.groupBy("table_no").agg(F.array_join(listed, ", ").alias("sheets")).select(named, "sheets")
     table_info = durable(
-        done_tables.join(covered.drop("passed"), "table_name").join(drift.drop("passed"), "table_name").select(*done_tables.columns, "known_entities", "new_entities", "new", "verdict", "baseline_uploads", "added", "removed", "drift"),
+        done_tables.join(covered.drop("passed"), "table_name").join(drift.drop("passed"), "table_name").join(sheets, "table_name").select(*done_tables.columns, "sheets", "known_entities", "new_entities", "new", "verdict", "baseline_uploads", "added", "removed", "drift"),
         "tables",
     )
     told_checks = covered.select("table_name", F.lit("schema_vs_registry").alias("check_name"), "passed", F.col("verdict").alias("details"))
@@ -141,7 +144,7 @@ def ingest(
                 continue
             before[n] = list(staging.columns(t["table"]))
             written = staging.write(t["table"], found, types, upload_id)
-            stored.append({"no": n, "name": t["table"], "types": types, "rows": written["rows"], "added": written["added_columns"], "asset": written["table"], "sheets": ", ".join(t["members"])})
+            stored.append({"no": n, "name": t["table"], "types": types, "rows": written["rows"], "added": written["added_columns"], "asset": written["table"]})
         runlog.append(spark, staging.root, "materialized", [(run_id, s["asset"], s["rows"], ", ".join(s["added"]) or "none") for s in stored], runlog.MATERIALIZED)
         summary, checks = summarise(staging, tables, told, done, stored, before, registry)
         checks.select(F.lit(run_id).alias("run_id"), F.col("table_name").alias("asset"), "check_name", "passed", "details").write.mode("append").parquet(f"{staging.root}/log/check_log")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import clean as C, declared as D, siblings as S
-from ledgerloom.plans.automate import automate
-from ledgerloom.plans.ingest import cleaned_sheet, ingest, run_summary
+from ledgerloom.plans.automate import Automated, automate
+from ledgerloom.plans.ingest import Ingested, cleaned_sheets, ingest
+from ledgerloom.plans.signature import member_counts
 from ledgerloom.plans.workbook import profile_payload, profile_workbook
 from ledgerloom.session import durable, scratch_path
 from ledgerloom.sources import delimited, export, uploads
@@ -16,6 +17,7 @@ from registered.cleaning import RULES, SCHEMA, clean_sql, messy_sheet
 from registered.inputs import MESSY_TITLES, messy_sales, sheet_rows, with_keys
 from registered.matching import matches
 from registered.sheets import RULES_SQL
+from registered.warehouse import golden_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,8 +94,8 @@ INTERNAL_SQL = "(?i)(^|[^a-z])(employee|salesrep|sales ?rep|sample|comp|complime
  FROM (SELECT coalesce(regexp_matches(name,'{INTERNAL_SQL}'),false) OR name IS NULL AS gone FROM wide)""")
 def run_summary_query(spark, d):
     book = profile_workbook(sheet_rows(spark, d))
-    cleaned, _ = cleaned_sheet(book, "book.xlsx", "Sales")
-    return run_summary("Sales", cleaned)
+    told, done = cleaned_sheets(book, [(0, 0, "book.xlsx", "Sales", None)])
+    return member_counts(told, done).select("sheet", "input_count", "kept_count", "dropped_count")
 
 
 TABLES = [
@@ -103,12 +105,76 @@ TABLES = [
 ]
 
 
-@query("ingest", O.with_(SALES_BODY) + f"""SELECT 'fact_sales' AS table_name, count(*) AS row_count FROM wide WHERE NOT coalesce(regexp_matches(name,'{INTERNAL_SQL}'),false) AND name IS NOT NULL
- UNION ALL SELECT 'dim_product', (SELECT count(*) FROM part)+(SELECT count(*) FROM wide WHERE NOT coalesce(regexp_matches(name,'{INTERNAL_SQL}'),false) AND name IS NOT NULL)""")  # barcodes of the sales sheet are product codes too
+_INGESTED: dict[tuple[str, str], Ingested] = {}
+
+
+def ingested(spark, d) -> Ingested:
+    """The workbook ingested once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INGESTED:
+        _INGESTED[key] = ingest(sheet_rows(spark, d), TABLES, Staging(spark, scratch_path(spark, "ingest")), "book_1")
+    return _INGESTED[key]
+
+
+# The cleaned sales rows and why others go; sheet rows that are blank are no rows.
+GONE = "CASE WHEN o_orderkey%97=0 THEN 'Leave out rows without \"Customer Name\"' WHEN o_orderkey%53=0 OR o_orderkey%59=0 THEN 'Leave out internal rows by \"Customer Name\"' END"
+DAY = "CASE WHEN o_orderkey%3=2 THEN '20'||substr(year(o_orderdate)::varchar,3,2) ELSE year(o_orderdate)::varchar END||strftime(o_orderdate,'-%m-%d')"
+KEPT = f"so AS (SELECT *, {GONE} AS reason, {DAY} AS day FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_orderkey%211<>0)"
+# Every staged row of the three tables, as mastering reads them.
+BOOK_H = KEPT + """, h0 AS (SELECT 'customers' AS source_table, c_custkey AS k, lpad(c_custkey::varchar,8,'0') AS customer_id, c_name AS customer, NULL::varchar AS product_code, NULL::varchar AS product FROM customer
+ UNION ALL SELECT 'products', p_partkey, NULL, NULL, lpad(p_partkey::varchar,8,'0'), p_name FROM part
+ UNION ALL SELECT 'sales', o_orderkey, CASE WHEN o_custkey%11<>0 THEN lpad(c_custkey::varchar,8,'0') END, c_name, (900000000+o_orderkey)::varchar, NULL FROM so WHERE reason IS NULL),
+h AS MATERIALIZED (SELECT *, NULL::varchar AS vendor, NULL::varchar AS region, NULL::varchar AS channel, NULL::varchar AS unit_size, NULL::double AS unit_price, row_number() OVER (ORDER BY source_table, k) AS pos FROM h0)"""
+
+
+@query("ingest", O.with_(BOOK_H, golden_sql("customer"), golden_sql("product")) + """SELECT 'fact_sales' AS table_name, count(*) AS row_count FROM so WHERE reason IS NULL
+ UNION ALL SELECT 'dim_product', count(*) FROM gold_product UNION ALL SELECT 'dim_customer', count(*) FROM gold_customer UNION ALL SELECT 'dim_vendor', 0""")  # barcodes of the sales sheet are product codes too
 def ingest_query(spark, d):
-    staging = Staging(spark, scratch_path(spark, "ingest"))
-    _, _, star = ingest(sheet_rows(spark, d), TABLES, staging, "book_1")
-    return star.counts().filter(F.col("table_name").isin("fact_sales", "dim_product"))
+    return ingested(spark, d).star.counts()
+
+
+@query("ingest_members", O.with_(KEPT) + """SELECT 'sales' AS table_name, 'Sales' AS sheet, count(*) AS input_count, count(*) FILTER (WHERE reason IS NULL) AS kept_count, count(reason) AS dropped_count FROM so
+ UNION ALL SELECT 'products', 'Products', count(*), count(*), 0 FROM part UNION ALL SELECT 'customers', 'Customers', count(*), count(*), 0 FROM customer""")
+def ingest_members(spark, d):
+    return ingested(spark, d).summary.members.drop("member_no")
+
+
+@query("ingest_dropped", O.with_(KEPT) + "SELECT 'sales' AS table_name, 'Sales' AS sheet, o_orderkey+4 AS pos, reason, day AS sample FROM so WHERE reason IS NOT NULL")
+def ingest_dropped(spark, d):
+    return ingested(spark, d).summary.dropped
+
+
+TABLE_INFO = [
+    ("sales", "Sales", "order_date timestamp, customer string, customer_id string, order_total decimal, quantity decimal, product_code string, region string, rush string, delivered date, amount decimal", 7, "delivered, order_total, rush"),
+    ("products", "Products", "product_code string, product string, brand string, unit_size decimal, unit_price decimal", 3, "brand, unit_size"),
+    ("customers", "Customers", "customer_id string, customer string, channel string, region string, column_5 decimal, sales_rep string", 5, "column_5"),
+]
+TABLE_COUNT = {"sales": "(SELECT count(*) FROM so WHERE reason IS NULL)", "products": "(SELECT count(*) FROM part)", "customers": "(SELECT count(*) FROM customer)"}
+
+
+@query("ingest_tables", O.with_(KEPT) + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {TABLE_COUNT[t]} AS row_count, '{cols}' AS columns, '{', '.join(c.split()[0] for c in cols.split(', '))}' AS added_columns, '{s}' AS sheets, "
+    f"{known}::bigint AS known_entities, {len(new.split(', '))}::bigint AS new_entities, '{new}' AS new, 'extends registry' AS verdict, 0 AS baseline_uploads, 'none' AS added, 'none' AS removed, 'first upload' AS drift"
+    for t, s, cols, known, new in TABLE_INFO))
+def ingest_tables(spark, d):
+    t = ingested(spark, d).summary.tables
+    return t.withColumn("columns", F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"])), ", "))
+
+
+def dq_sql(table: str, sheet: str, rows: str, columns: dict[str, tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{sheet}' AS sheet, '{c}' AS name, '{t}' AS type, round(count(*) FILTER (WHERE ({e}) IS NULL)*100.0::double/count(*),1) AS null_pct, count(DISTINCT coalesce(({e})::varchar,'None')) AS \"distinct\" FROM {rows}"
+        for c, (t, e) in columns.items())
+
+
+@query("ingest_dq", O.with_(KEPT) + dq_sql("sales", "Sales", "so WHERE reason IS NULL", {
+    "event_timestamp": ("timestamp", "day||lpad((o_orderkey%24)::varchar,2,'0')||lpad((o_custkey%60)::varchar,2,'0')"), "customer_name": ("string", "c_name"),
+    "account_id": ("string", "CASE WHEN o_custkey%11<>0 THEN c_custkey END"), "order_total": ("decimal", "o_totalprice"), "qty": ("decimal", "o_orderkey%7"), "barcode": ("string", "o_orderkey"),
+    "status": ("string", "o_orderstatus"), "rush": ("string", "o_orderpriority LIKE '1%'"), "delivered": ("date", "o_orderdate"), "net_sales": ("decimal", "floor(o_totalprice)*100+o_orderkey%100"),
+}) + " UNION ALL " + dq_sql("products", "Products", "part", {"product_code": ("string", "p_partkey"), "product_description": ("string", "p_name"), "brand": ("string", "p_brand"), "unit_size": ("decimal", "p_size"), "default_selling_price": ("decimal", "p_retailprice")})
+    + " UNION ALL " + dq_sql("customers", "Customers", "customer JOIN nation ON c_nationkey=n_nationkey", {"customer_code": ("string", "c_custkey"), "customer_name": ("string", "c_name"), "division": ("string", "c_mktsegment"), "state": ("string", "n_name"), "column_5": ("decimal", "c_acctbal"), "sales_rep": ("string", "c_nationkey")}))
+def ingest_dq(spark, d):
+    return ingested(spark, d).summary.dq
 
 
 # --- declared star over the messy sales, loaded as two uploads ------------------------------------
@@ -249,7 +315,66 @@ BOOK_SPEC = D.StarSpec(
 )
 
 
+MONTHS = 12
+
+
+def monthly(spark, d):
+    """The sales sheet as one tab for each month, all with the same titles."""
+    rows = sheet_rows(spark, d).filter(F.col("sheet") == "Sales")
+    top = rows.filter(F.col("row_no") < 4).withColumn("tab", F.explode(F.sequence(F.lit(0), F.lit(MONTHS - 1))))
+    rest = rows.filter(F.col("row_no") >= 4).withColumns({"tab": (F.col("row_no") % MONTHS).cast("int"), "row_no": F.floor((F.col("row_no") - 4) / MONTHS) + 4})
+    name = F.concat(F.lit("Sales "), F.lpad(F.col("tab").cast("string"), 2, "0"))
+    return top.unionByName(rest).select("file", name.alias("sheet"), "row_no", "cells")
+
+
+def month_spec(sheet: str) -> D.StarSpec:
+    return D.StarSpec(
+        [{"table": "dim_client", "kind": "dimension", "natural_key": ["client"]}, {"table": "fact_lines", "kind": "fact", "natural_key": []}],
+        [column("dim_client", "client_key", "integer", "pk"), column("dim_client", "client", "text", "attribute", f"{sheet}.Customer Name"),
+         column("fact_lines", "client_key", "integer", "fk", "", "dim_client.client_key"), column("fact_lines", "status", "text", "degenerate", f"{sheet}.Status"),
+         column("fact_lines", "qty", "integer", "measure", f"{sheet}.Qty")],
+    )
+
+
+_AUTOMATED: dict[tuple[str, str], Automated] = {}
+
+
+def automated(spark, d) -> Automated:
+    """Twelve monthly tabs loaded into a declared star, once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _AUTOMATED:
+        store = Store(spark, scratch_path(spark, "automate"), "ai_")
+        _AUTOMATED[key] = automate(monthly(spark, d), "book.xlsx", month_spec("Sales 03"), store, "book_1")
+    return _AUTOMATED[key]
+
+
 @query("automate", O.with_(SALES_BODY) + "SELECT 'dimension' AS kind, 'dim_client' AS table_name, count(DISTINCT name) AS row_count, 0::bigint AS fk_unresolved FROM wide UNION ALL SELECT 'fact','fact_lines', count(*), count(*) FILTER (WHERE name IS NULL) FROM wide")
 def automate_query(spark, d):
     store = Store(spark, scratch_path(spark, "automate"), "ai_")
     return automate(sheet_rows(spark, d), "book.xlsx", BOOK_SPEC, store, "book_1").report
+
+
+@query("automate_months", O.with_(SALES_BODY) + "SELECT 'dimension' AS kind, 'dim_client' AS table_name, count(DISTINCT name) AS row_count, 0::bigint AS fk_unresolved FROM wide UNION ALL SELECT 'fact','fact_lines', count(*), count(*) FILTER (WHERE name IS NULL) FROM wide")
+def automate_months(spark, d):
+    return automated(spark, d).report
+
+
+@query("automate_folds", O.with_(SALES_BODY) + f"""SELECT 'Sales 03' AS unioned_into, (SELECT string_agg('Sales '||lpad(k::varchar,2,'0'), ', ' ORDER BY k) FROM range({MONTHS}) r(k) WHERE k<>3) AS folded_tabs,
+ count(*) FILTER (WHERE row_no%{MONTHS}<>3) AS rows_added FROM wide""")
+def automate_folds(spark, d):
+    return automated(spark, d).folds
+
+
+@query("automate_tables", """SELECT 'after' AS phase, 'dim_client' AS table_name, 'client_key bigint, client text' AS columns, 'client_key' AS primary_key, '' AS foreign_keys, true AS new
+ UNION ALL SELECT 'after', 'fact_lines', 'client_key bigint, status text, qty integer', '', 'client_key -> dim_client.client_key', true""")
+def automate_tables(spark, d):
+    shown = F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"])), ", ")
+    return automated(spark, d).tables.select("phase", "table_name", shown.alias("columns"), F.array_join("primary_key", ", ").alias("primary_key"), F.array_join("foreign_keys", ", ").alias("foreign_keys"), "new")
+
+
+@query("automate_checks", """SELECT 'created' AS what, 'dim_client' AS object, NULL::bigint AS orphans UNION ALL SELECT 'created','fact_lines',NULL UNION ALL SELECT 'foreign_key','fact_lines.client_key -> dim_client.client_key',NULL
+ UNION ALL SELECT 'orphans','fact_lines.client_key',0""")
+def automate_checks(spark, d):
+    done = automated(spark, d)
+    lost = done.orphans.select(F.lit("orphans").alias("what"), F.concat_ws(".", "table_name", "column_name").alias("object"), F.col("orphans").cast("bigint").alias("orphans"))
+    return done.diff.select(F.col("action").alias("what"), "object", F.lit(None).cast("bigint").alias("orphans")).unionByName(lost)
