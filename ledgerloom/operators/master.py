@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.text import blank_to_null, is_blank, norm_name
 from ledgerloom.operators.fold import fold_names
@@ -88,23 +88,47 @@ def golden_id(entity: str, key: Column) -> Column:
     return F.concat(F.lit(entity[:3] + "_"), F.substring(F.sha1(F.concat(F.lit(entity + ":"), key)), 1, 10))
 
 
-def golden_records(rows: DataFrame, entity: str, fold: bool = True) -> DataFrame:
-    """One row per real-world entity.
+def unique_ids(records: DataFrame, entity: str) -> DataFrame:
+    """``golden_id`` in front. Ids have 40 bits; of keys that share one the first keeps it, others get their whole digest."""
+    short = golden_id(entity, F.col("key"))
+    turn = F.row_number().over(Window.partitionBy("_id").orderBy("key"))
+    whole = F.concat(F.lit(entity[:3] + "_"), F.sha1(F.concat(F.lit(entity + ":"), F.col("key"))))
+    numbered = records.withColumn("_id", short).withColumn("_turn", turn)
+    return numbered.select(F.when(F.col("_turn") == 1, F.col("_id")).otherwise(whole).alias("golden_id"), *records.columns)
 
-    ``golden_id, key, name, ids, name_variants, sources, attributes..., instance_count, first_pos``;
-    the lists hold distinct values only. ``record_order`` gives the presentation order.
+
+@dataclass
+class Golden:
+    """Golden records without lists, and what belongs to them as rows of its own.
+
+    records: golden_id, key, name, attributes, instance_count, first_pos. ids, names, sources: golden_id and one distinct
+    id, spelling or source table.
+    """
+
+    entity: str
+    records: DataFrame
+    ids: DataFrame
+    names: DataFrame
+    sources: DataFrame
+
+
+def golden(inst: DataFrame, entity: str, fold: bool = True) -> Golden:
+    """One record per real-world entity, from instances in any number of parts.
+
+    Instances of several uploads can be put together: counts add up, the first position and value is the least.
     """
     spec = SPECS[entity]
-    counts = name_counts(instances(rows, spec))
+    attrs = [c for c in inst.columns if c.startswith("a_")]
+    counts = inst.groupBy("key", "name").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"), *[F.min(a).alias(a) for a in attrs])
     if fold:
         counts = durable(counts, f"{entity}-names")
-        taken = fold_map(counts).select("key", "root", F.col("first_pos").alias("bucket_pos"))
+        taken = durable(fold_map(counts).select("key", "root", F.col("first_pos").alias("bucket_pos")), f"{entity}-folds")
         counts = counts.join(taken, "key", "left")
     else:
+        taken = None
         counts = counts.withColumns({"root": F.lit(None).cast("string"), "bucket_pos": F.lit(None).cast(counts.schema["first_pos"].dataType)})
     late = F.when(F.col("root").isNull(), 0).otherwise(1)
     counts = counts.withColumns({"late": late, "key": F.coalesce("root", "key")})
-    attrs = [c for c in counts.columns if c.startswith("a_")]
     by_name = F.when(
         F.col("name").isNotNull(),
         F.struct((-F.col("n")).alias("n"), (-F.length("name")).alias("l"), "late", "bucket_pos", "first_pos", "name"),
@@ -112,21 +136,44 @@ def golden_records(rows: DataFrame, entity: str, fold: bool = True) -> DataFrame
     # The root's own value comes first, then those of absorbed buckets in their order.
     value = {a: F.when(F.col(a).isNotNull(), F.struct("late", "bucket_pos", F.col(a).alias("x"))) for a in attrs}
     merged = counts.groupBy("key").agg(
-        F.sum("n").alias("instance_count"),
-        F.min(F.when(F.col("late") == 0, F.col("first_pos"))).alias("first_pos"),
-        F.coalesce(F.min(by_name)["name"], F.lit("")).alias("name"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"),
-        F.array_sort(F.collect_set("name")).alias("name_variants"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
-        *[F.min(v)["x"]["v"].alias(a[2:]) for a, v in value.items()],
+        F.coalesce(F.min(by_name)["name"], F.lit("")).alias("name"), *[F.min(v)["x"]["v"].alias(a[2:]) for a, v in value.items()],
+        F.sum("n").alias("instance_count"), F.min(F.when(F.col("late") == 0, F.col("first_pos"))).alias("first_pos"),
     )
-    missing = [F.lit(None).cast("string").alias(a) for a in spec.attributes if f"a_{a}" not in attrs]
-    return merged.select(
-        golden_id(entity, F.col("key")).alias("golden_id"), "key", "name", "ids", "name_variants", "sources",
-        *[F.col(a) for a in spec.attributes if f"a_{a}" in attrs], *missing, "instance_count", "first_pos",
+    missing = {a: F.lit(None).cast("string") for a in spec.attributes if f"a_{a}" not in attrs}
+    records = durable(unique_ids(merged.withColumns(missing).select("key", "name", *spec.attributes, "instance_count", "first_pos"), entity), f"{entity}-records")
+
+    def children(column: str, out: str) -> DataFrame:
+        """Distinct values of the instances behind each record; reduced before they meet the records."""
+        each = inst.filter(F.col(column).isNotNull()).select("key", F.col(column).alias(out)).distinct()
+        if taken is not None:
+            each = each.join(taken.select("key", "root"), "key", "left").select(F.coalesce("root", "key").alias("key"), out).distinct()
+        return each.join(records.select("key", "golden_id"), "key").select("golden_id", out)
+
+    return Golden(entity, records, children("id", "id"), children("name", "name"), children("source_table", "source"))
+
+
+def listed(g: Golden) -> DataFrame:
+    """Records with lists of their distinct ids, spellings and sources, for presentation."""
+
+    def lists(df: DataFrame, column: str, out: str) -> DataFrame:
+        return df.groupBy("golden_id").agg(F.array_sort(F.collect_list(column)).alias(out))
+
+    none = F.array().cast("array<string>")
+    out = g.records.join(lists(g.ids, "id", "ids"), "golden_id", "left").join(lists(g.names, "name", "name_variants"), "golden_id", "left").join(lists(g.sources, "source", "sources"), "golden_id", "left")
+    return out.select(
+        "golden_id", "key", "name", *[F.coalesce(c, none).alias(c) for c in ("ids", "name_variants", "sources")], *SPECS[g.entity].attributes, "instance_count", "first_pos"
     )
 
 
+def golden_records(rows: DataFrame, entity: str, fold: bool = True) -> DataFrame:
+    """One row per real-world entity.
+
+    ``golden_id, key, name, ids, name_variants, sources, attributes..., instance_count, first_pos``;
+    the lists hold distinct values only. ``record_order`` gives the presentation order.
+    """
+    return listed(golden(durable(instances(rows, SPECS[entity]), f"{entity}-instances"), entity, fold))
+
+
 def record_order() -> list[Column]:
     """Most instances first, then by name, then first seen."""
     return [F.desc("instance_count"), F.asc("name"), F.asc("first_pos")]
@@ -136,17 +183,20 @@ def _last_wins() -> Column:
     return F.struct((-F.col("instance_count")).alias("c"), "name", "first_pos")
 
 
-def id_index(golden: DataFrame) -> DataFrame:
-    """Raw id -> golden id; of several records the last in presentation order wins."""
-    each = golden.select(F.explode("ids").alias("id"), "golden_id", _last_wins().alias("o"))
-    return each.groupBy("id").agg(F.max_by("golden_id", "o").alias("golden_id"))
+def _last_of(g: Golden, each: DataFrame, key: str) -> DataFrame:
+    """Of several records with one key the last in presentation order wins."""
+    order = g.records.select("golden_id", _last_wins().alias("o"))
+    return each.join(order, "golden_id").groupBy(key).agg(F.max_by("golden_id", "o").alias("golden_id"))
+
+
+def id_index(g: Golden) -> DataFrame:
+    """Raw id -> golden id."""
+    return _last_of(g, g.ids, "id")
 
 
-def name_index(golden: DataFrame) -> DataFrame:
-    """Normalised name -> golden id; of several records the last in presentation order wins."""
-    each = golden.select(F.explode(F.transform("name_variants", norm_name)).alias("name_form"),
-                         "golden_id", _last_wins().alias("o"))
-    return each.groupBy("name_form").agg(F.max_by("golden_id", "o").alias("golden_id"))
+def name_index(g: Golden) -> DataFrame:
+    """Normalised name -> golden id."""
+    return _last_of(g, g.names.select("golden_id", norm_name(F.col("name")).alias("name_form")), "name_form")
 
 
 @dataclass
@@ -157,9 +207,10 @@ class Index:
     names: DataFrame
 
     @classmethod
-    def of(cls, golden: DataFrame, entity: str) -> Index:
-        ids = durable(id_index(golden), f"{entity}-ids") if SPECS[entity].id_column else None
-        return cls(ids, durable(name_index(golden), f"{entity}-name-index"))
+    def of(cls, g: Golden) -> Index:
+        """From the rows of ids and spellings."""
+        ids = durable(id_index(g), f"{g.entity}-ids") if SPECS[g.entity].id_column else None
+        return cls(ids, durable(name_index(g), f"{g.entity}-name-index"))
 
 
 def _spread(key: Column) -> Column:
@@ -203,6 +254,7 @@ def master_summary(golden: dict[str, DataFrame]) -> DataFrame:
 
 
 __all__ = [
-    "Index", "SPECS", "EntitySpec", "buckets", "canonical_names", "enrich_rows", "first_attributes", "fold_map", "golden_id",
-    "golden_records", "id_index", "instances", "is_blank", "lookup", "master_summary", "name_counts", "name_index", "record_order",
+    "Golden", "Index", "SPECS", "EntitySpec", "buckets", "canonical_names", "enrich_rows", "first_attributes", "fold_map", "golden",
+    "golden_id", "golden_records", "id_index", "instances", "is_blank", "listed", "lookup", "master_summary", "name_counts", "name_index",
+    "record_order", "unique_ids",
 ]

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.casts import coerce
-from ledgerloom.operators.master import Index, golden_records, lookup
+from ledgerloom.operators.master import SPECS, Golden, Index, golden as make_golden, instances, lookup
+from ledgerloom.operators.numbering import numbered
 from ledgerloom.session import durable
 
 FOREIGN_KEYS = {
@@ -23,24 +24,24 @@ class ForeignKeyError(ValueError):
     """A fact refers to a dimension row that does not exist."""
 
 
-def _sources():
-    return F.array_join("sources", ",").alias("sources")
+def dimensions(golden: dict[str, Golden]) -> dict[str, DataFrame]:
+    """The three dimensions from records and their rows of ids and sources."""
 
+    def with_sources(g: Golden) -> DataFrame:
+        """The names of the source tables, as many as there are tables at most."""
+        told = g.sources.groupBy("golden_id").agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"))
+        return g.records.join(told, "golden_id", "left")
 
-def dim_customer(golden: DataFrame) -> DataFrame:
-    return golden.select("golden_id", "name", "region", "channel", "sales_rep", "address_1", "city", "postal_code", _sources())
-
-
-def dim_product(golden: DataFrame) -> DataFrame:
-    return golden.select("golden_id", "name", F.get("ids", F.lit(0)).alias("product_code"), "unit_size", "bottle_size", "vendor", _sources())
-
-
-def dim_vendor(golden: DataFrame) -> DataFrame:
-    return golden.select("golden_id", "name", _sources())
+    codes = golden["product"].ids.groupBy("golden_id").agg(F.min("id").alias("product_code"))
+    return {
+        "dim_customer": with_sources(golden["customer"]).select("golden_id", "name", "region", "channel", "sales_rep", "address_1", "city", "postal_code", "sources"),
+        "dim_product": with_sources(golden["product"]).join(codes, "golden_id", "left").select("golden_id", "name", "product_code", "unit_size", "bottle_size", "vendor", "sources"),
+        "dim_vendor": with_sources(golden["vendor"]).select("golden_id", "name", "sources"),
+    }
 
 
 def fact_sales(rows: DataFrame, indexes: dict[str, Index]) -> DataFrame:
-    """Fact rows with golden keys; ``pos`` keeps their order."""
+    """Fact rows with golden keys; ``fact_id`` numbers them 1..n in the order of ``pos``."""
     types = {f.name: f.dataType for f in rows.schema.fields}
 
     def number(name: str):
@@ -52,10 +53,11 @@ def fact_sales(rows: DataFrame, indexes: dict[str, Index]) -> DataFrame:
     keyed = rows
     for entity in ("customer", "product", "vendor"):
         keyed = lookup(keyed, entity, indexes[entity], f"{entity}_golden_id")
-    return keyed.select(
+    facts = keyed.select(
         "pos", text("upload_id"), "source_table", text("order_date"), number("quantity"), number("amount"), number("unit_price"),
         text("channel"), text("region"), "customer_golden_id", "product_golden_id", "vendor_golden_id",
     )
+    return numbered(facts, [F.asc("pos")], "fact_id").select("fact_id", *facts.columns)
 
 
 def fk_violations(fact: DataFrame, dims: dict[str, DataFrame], keys: dict[str, str] | None = None) -> DataFrame:
@@ -89,16 +91,17 @@ class Star:
         return out
 
 
-def build_star(rows: DataFrame, fact_tables: list[str], golden: dict[str, DataFrame] | None = None) -> Star:
+def build_star(rows: DataFrame, fact_tables: list[str], golden: dict[str, Golden] | None = None) -> Star:
     """Dimensions from golden records of all rows, facts from the rows of the fact tables.
 
-    ``rows`` is the staging harvest; it is read once per entity with only that entity's columns.
+    ``rows`` is the staging harvest. It is read once per entity with only that entity's columns, unless the records are
+    given (see ``plans.mastering``); then it needs the rows of the fact tables only.
     """
     if golden is None:
-        golden = {e: durable(golden_records(rows, e), f"golden-{e}") for e in ("customer", "product", "vendor")}
-    indexes = {e: Index.of(g, e) for e, g in golden.items()}
+        golden = {e: make_golden(durable(instances(rows, SPECS[e]), f"{e}-instances"), e) for e in SPECS}
+    indexes = {e: Index.of(g) for e, g in golden.items()}
     facts = fact_sales(rows.filter(F.col("source_table").isin(fact_tables)), indexes)
-    return Star(dim_customer(golden["customer"]), dim_product(golden["product"]), dim_vendor(golden["vendor"]), facts)
+    return Star(**dimensions(golden), fact_sales=facts)
 
 
 def publish(star: Star, root: str) -> str:
@@ -125,17 +128,14 @@ def read_star(spark: SparkSession, root: str) -> Star:
 
 
 def sales_view(star: Star, limit: int | None = None) -> DataFrame:
-    """Facts with their dimensions, in fact order; ``limit=None`` returns all of them unordered."""
-    fact = star.fact_sales
-    if limit is not None:
-        # The first facts are chosen before the joins: left joins on unique keys keep their number.
-        fact = fact.orderBy("source_table", "pos").limit(limit)
+    """Facts with their dimensions, ordered by their ids; the first ``limit`` of them, or all."""
+    fact = star.fact_sales if limit is None else star.fact_sales.filter(F.col("fact_id") <= limit)
     c = star.dim_customer.select(F.col("golden_id").alias("customer_golden_id"), F.col("name").alias("customer"), F.col("region").alias("c_region"), F.col("channel").alias("c_channel"))
     p = star.dim_product.select(F.col("golden_id").alias("product_golden_id"), F.col("name").alias("product"), "product_code")
     v = star.dim_vendor.select(F.col("golden_id").alias("vendor_golden_id"), F.col("name").alias("vendor"))
-    joined = (
+    return (
         fact.join(c, "customer_golden_id", "left").join(p, "product_golden_id", "left").join(v, "vendor_golden_id", "left")
-        .select("pos", "order_date", "quantity", "amount", "source_table", "customer", F.col("c_region").alias("region"),
+        .select("fact_id", "pos", "order_date", "quantity", "amount", "source_table", "customer", F.col("c_region").alias("region"),
                 F.col("c_channel").alias("channel"), "product", "product_code", "vendor")
+        .orderBy("fact_id")
     )
-    return joined if limit is None else joined.orderBy("source_table", "pos")

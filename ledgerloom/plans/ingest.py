@@ -10,19 +10,17 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ledgerloom.functions.casts import coerce, storage_type
 from ledgerloom.operators import conform as U, match as M, registry as E, star as W
 from ledgerloom.plans import signature as S
+from ledgerloom.plans.mastering import MasterState, rebuild_star
 from ledgerloom.plans.workbook import Workbook, profile_workbook
 from ledgerloom.session import durable
 from ledgerloom.sources import runlog
 from ledgerloom.sources.staging import Staging
 
-#: A stored row number is the member's number times this, plus the row's number in its sheet.
-MEMBER = 1 << 40
-
 
 @dataclass
 class Summary:
@@ -66,7 +64,14 @@ def union_types(done: list[S.Cleaned], table: int) -> dict[str, str]:
     return out
 
 
-def table_rows(done: list[S.Cleaned], table: int, types: dict[str, str]) -> DataFrame | None:
+def starts(counts: DataFrame) -> DataFrame:
+    """Where the rows of each member start in its table: the sum of the last row numbers of the members before."""
+    before = Window.partitionBy("table_no").orderBy("member_no").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum(F.coalesce("last_row", F.lit(0)) + 1).over(before), F.lit(0)).cast("long")
+    return durable(counts.select(F.col("table_no").alias("_table_no"), F.col("member_no").alias("_member_no"), base.alias("_start")), "starts")
+
+
+def table_rows(done: list[S.Cleaned], table: int, types: dict[str, str], begin: DataFrame) -> DataFrame | None:
     """Kept rows of all members under canonical names and types, with ``pos``; missing columns are NULL."""
     out = None
     for c in done:
@@ -76,13 +81,16 @@ def table_rows(done: list[S.Cleaned], table: int, types: dict[str, str]) -> Data
         own = {c.plan.names[n][0]: n for n in c.columns if n in c.plan.names}
         values = [(coerce(F.col(own[n]), t, have[own[n]]) if n in own else F.lit(None).cast(storage_type(t))).alias(n) for n, t in types.items()]
         numeric = isinstance(have["_pos"], T.IntegralType)
-        pos = F.col("_member_no") * F.lit(MEMBER) + F.col("_pos") if numeric else F.struct("_member_no", "_pos")
-        part = c.kept().filter(F.col("_table_no") == table).select(pos.alias("pos"), *values)
+        kept = c.kept().filter(F.col("_table_no") == table)
+        if numeric:
+            kept = kept.join(begin, ["_table_no", "_member_no"])
+        pos = F.col("_start") + F.col("_pos") if numeric else F.struct("_member_no", "_pos")
+        part = kept.select(pos.alias("pos"), *values)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def summarise(staging: Staging, tables: list[dict], told: DataFrame, done: list[S.Cleaned], stored: list[dict], before: dict[int, list[str]], registry: list[dict]) -> tuple[Summary, DataFrame]:
+def summarise(staging: Staging, tables: list[dict], told: DataFrame, done: list[S.Cleaned], counts: DataFrame, stored: list[dict], before: dict[int, list[str]], registry: list[dict]) -> tuple[Summary, DataFrame]:
     """The summary of a run and its checks (table_name, check_name, passed, details)."""
     spark = staging.spark
     named = F.element_at(F.array(*[F.lit(t["table"]) for t in tables]), F.col("table_no") + 1).alias("table_name")
@@ -103,7 +111,7 @@ def summarise(staging: Staging, tables: list[dict], told: DataFrame, done: list[
     told_checks = covered.select("table_name", F.lit("schema_vs_registry").alias("check_name"), "passed", F.col("verdict").alias("details"))
     checks = durable(told_checks.unionByName(drift.select("table_name", F.lit("schema_drift").alias("check_name"), "passed", F.col("drift").alias("details"))), "checks")
     summary = Summary(
-        durable(S.member_counts(told, done).select(named, "member_no", "sheet", "input_count", "kept_count", "dropped_count"), "members"),
+        counts.select(named, "member_no", "sheet", "input_count", "kept_count", "dropped_count"),
         table_info,
         S.dropped_rows(told, done).select(named, "sheet", "pos", "reason", "sample"),
         S.member_dq(told, done).select(named, "sheet", "name", "type", "null_pct", "distinct"),
@@ -136,22 +144,25 @@ def ingest(
         mapping = durable(U.canonical_map(book.schema, matches, overrides), "mapping")
         wanted = [(n, m, t["file"], s, (t.get("rules") or {}).get(s)) for n, t in enumerate(tables) for m, s in enumerate(t["members"])]
         told, done = cleaned_sheets(book, wanted, mapping)
+        counts = durable(S.member_counts(told, done), "members")
+        begin = starts(counts)
         stored, before = [], {}
         for n, t in enumerate(tables):
             types = union_types(done, n)
-            found = table_rows(done, n, types)
+            found = table_rows(done, n, types, begin)
             if found is None:
                 continue
             before[n] = list(staging.columns(t["table"]))
             written = staging.write(t["table"], found, types, upload_id)
             stored.append({"no": n, "name": t["table"], "types": types, "rows": written["rows"], "added": written["added_columns"], "asset": written["table"]})
         runlog.append(spark, staging.root, "materialized", [(run_id, s["asset"], s["rows"], ", ".join(s["added"]) or "none") for s in stored], runlog.MATERIALIZED)
-        summary, checks = summarise(staging, tables, told, done, stored, before, registry)
+        summary, checks = summarise(staging, tables, told, done, counts, stored, before, registry)
         checks.select(F.lit(run_id).alias("run_id"), F.col("table_name").alias("asset"), "check_name", "passed", "details").write.mode("append").parquet(f"{staging.root}/log/check_log")
         star = None
         if rebuild:
-            W.publish(W.build_star(staging.harvest(W.HARVESTED), staging.fact_tables()), staging.root)
-            star = W.read_star(spark, staging.root)
+            for t in stored:
+                MasterState(staging).update(t["name"], upload_id)
+            star = rebuild_star(staging)
         status = "SUCCESS"
         return Ingested(summary, checks, star, run_id)
     finally:

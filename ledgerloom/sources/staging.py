@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ledgerloom.functions.casts import coerce, storage_type
 from ledgerloom.operators.numbering import numbered
 from ledgerloom.operators.siblings import plain_snake
-from ledgerloom.session import observed
+from ledgerloom.session import durable, observed
+
+#: A row's position is the number of its upload times this, plus its place in the upload.
+BATCH = 1 << 40
 
 
 @dataclass
@@ -86,7 +89,7 @@ class Staging(Store):
     def write(self, table: str, rows: DataFrame, types: dict[str, str], upload_id: str) -> dict:
         """Replace this upload's rows; new columns widen the table. Running it twice changes nothing.
 
-        ``rows`` has ``pos`` (order) and the columns of ``types``. Values are converted to the type the
+        ``rows`` has ``pos`` (order; a number from 0 up to 2^40, or anything that sorts) and the columns of ``types``. Values are converted to the type the
         table first declared for the column. Returns the stored name, the rows, the new columns, and the gaps of each
         column; the writing job counts them.
         """
@@ -137,27 +140,38 @@ class Staging(Store):
         ids = F.array_sort(F.collect_set(named))  # one entry per upload
         return out.groupBy("table_name").agg(F.sum("n").alias("row_count"), F.size(ids).alias("uploads"), ids.alias("partitions"))
 
-    def harvest(self, columns: list[str] | None = None) -> DataFrame:
-        """Rows of every table, with ``source_table`` and ``pos``; missing columns are NULL.
+    def harvest(self, columns: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
+        """Rows of every table (or of ``tables``), with ``source_table`` and ``pos``; missing columns are NULL.
 
+        ``pos`` is a number that orders rows by table, upload and place.
         A column that tables declare under different types comes as text, as does every column without a list.
         """
         kinds: dict[str, set] = {}
         for t in self.tables():
             for c, kind in self.columns(t).items():
                 kinds.setdefault(c, set()).add(storage_type(kind).simpleString())
-        out = None
-        for t in self.tables():
+        batches, out = self.batches(), None
+        for t in self.tables() if tables is None else tables:
             rows = self.read(t)
             picked = [c for c in rows.columns if c not in ("_row", "upload_id") and (columns is None or c in columns)]
             part = rows.select(
-                F.lit(t).alias("source_table"), "upload_id", F.struct(F.lit(t).alias("t"), "upload_id", "_row").alias("pos"),
+                F.lit(t).alias("source_table"), "upload_id", "_row",
                 *[F.col(c).cast("string") if columns is None or len(kinds[c]) > 1 else F.col(c) for c in picked],
             )
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         if out is None:
             raise ValueError(f"no staging table under {self.root}")
-        return out
+        return out.join(batches, ["source_table", "upload_id"]).withColumn("pos", F.col("batch") * F.lit(BATCH) + F.col("_row")).drop("batch", "_row")
+
+    def batches(self) -> DataFrame:
+        """``source_table, upload_id, batch``: staged uploads numbered by table, then upload. Reads no column."""
+        out = None
+        for t in self.tables():
+            one = self.read(t).select(F.lit(t).alias("source_table"), "upload_id").distinct()
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            return self.spark.createDataFrame([], "source_table string, upload_id string, batch long")
+        return durable(numbered(out, [F.asc("source_table"), F.asc("upload_id")], "batch"), "batches")
 
     def fact_tables(self) -> list[str]:
         """Tables that hold sales facts: named `sales...` or with an `amount` column."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_blank
 from ledgerloom.operators import master as M, star as W
+from ledgerloom.plans.mastering import MasterState
 from ledgerloom.session import durable, scratch_path
 from ledgerloom.sources import runlog
 from ledgerloom.sources.staging import Staging
@@ -205,8 +206,15 @@ gold_{e} AS MATERIALIZED (SELECT '{e[:3]}_'||substr(sha1('{e}:'||rk),1,10) AS go
   FROM fi_{e} f LEFT JOIN cn_{e} c USING (rk) GROUP BY rk)"""
 
 
-def golden(spark, d, entity):
-    return derived_once(f"golden-{entity}", spark, d, lambda: M.golden_records(harvested(spark, d), entity))
+_GOLDEN: dict[tuple[str, str, str], M.Golden] = {}
+
+
+def golden(spark, d, entity) -> M.Golden:
+    """Golden records of one entity, made once per application."""
+    key = (spark.sparkContext.applicationId, d, entity)
+    if key not in _GOLDEN:
+        _GOLDEN[key] = M.golden(durable(M.instances(harvested(spark, d), M.SPECS[entity]), "instances"), entity)
+    return _GOLDEN[key]
 
 
 @query("master_buckets", O.with_(H, inst_sql("customer")) + f"""SELECT key, count(*) AS instance_count, coalesce(string_agg(DISTINCT i,'|' ORDER BY i) FILTER (WHERE {O.filled('i')}),'') AS ids,
@@ -293,7 +301,7 @@ def found_sql(e: str, i: str, n: str) -> str:
        + "SELECT *, count(*) AS n FROM e GROUP BY ALL")
 def enrich_rows(spark, d):
     rows = harvested(spark, d)
-    indexes = {e: M.Index.of(golden(spark, d, e), e) for e in ("customer", "product")}
+    indexes = {e: M.Index.of(golden(spark, d, e)) for e in ("customer", "product")}
     out = M.enrich_rows(rows, indexes)
     cols = ["customer_id", "customer", "product_code", "product", "customer_golden_id", "product_golden_id"]
     return out.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
@@ -304,7 +312,7 @@ ALL_GOLD = [golden_sql("customer"), golden_sql("product"), golden_sql("vendor")]
 
 @query("master_summary", O.with_(H, *ALL_GOLD) + "SELECT 'customer' AS entity, count(*) AS record_count FROM gold_customer UNION ALL SELECT 'product', count(*) FROM gold_product UNION ALL SELECT 'vendor', count(*) FROM gold_vendor")
 def master_summary(spark, d):
-    return M.master_summary({e: golden(spark, d, e) for e in ("customer", "product", "vendor")})
+    return M.master_summary({e: golden(spark, d, e).records for e in ("customer", "product", "vendor")})
 
 
 # --- fixed star --------------------------------------------------------------------------------
@@ -315,19 +323,23 @@ def fact_sources(spark, d):
     return rows.groupBy("source_table").agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
+def dimension(spark, d, name):
+    return W.dimensions({e: golden(spark, d, e) for e in M.SPECS})[name]
+
+
 @query("dim_customer", O.with_(H, golden_sql("customer")) + "SELECT golden_id, name, region, channel, NULL::varchar AS sales_rep, NULL::varchar AS address_1, NULL::varchar AS city, NULL::varchar AS postal_code, sources FROM gold_customer")
 def dim_customer(spark, d):
-    return W.dim_customer(golden(spark, d, "customer"))
+    return dimension(spark, d, "dim_customer")
 
 
 @query("dim_product", O.with_(H, golden_sql("product")) + "SELECT golden_id, name, nullif(string_split(ids,'|')[1],'') AS product_code, unit_size, NULL::varchar AS bottle_size, vendor, sources FROM gold_product")
 def dim_product(spark, d):
-    return W.dim_product(golden(spark, d, "product"))
+    return dimension(spark, d, "dim_product")
 
 
 @query("dim_vendor", O.with_(H, golden_sql("vendor")) + "SELECT golden_id, name, sources FROM gold_vendor")
 def dim_vendor(spark, d):
-    return W.dim_vendor(golden(spark, d, "vendor"))
+    return dimension(spark, d, "dim_vendor")
 
 
 STAR = [H, *ALL_GOLD, index_sql("customer"), index_sql("product"), index_sql("vendor"),
@@ -360,13 +372,50 @@ def rebuild_star(spark, d):
 def fk_violations(spark, d):
     s = star(spark, d)
     rows = durable(conformed(spark, d), "conformed").withColumns({"source_table": F.lit("sales"), "upload_id": F.lit("u0")})
-    indexes = {e: M.Index.of(golden(spark, d, e), e) for e in ("customer", "product", "vendor")}
+    indexes = {e: M.Index.of(golden(spark, d, e)) for e in ("customer", "product", "vendor")}
     fact = with_keys(W.fact_sales(rows, indexes), d, ["l_orderkey"])
     broken = fact.withColumn("customer_golden_id", F.when(F.col("l_orderkey") % 100 == 0, "cus_0000000000").otherwise(F.col("customer_golden_id")))
     return W.fk_violations(broken, s.tables())
 
 
-@query("sales_view", O.with_(*STAR) + """SELECT f.order_date, f.quantity, f.amount, f.source_table, c.name AS customer, c.region, c.channel, p.name AS product, nullif(string_split(p.ids,'|')[1],'') AS product_code, v.name AS vendor
+@query("sales_view", O.with_(*STAR) + """SELECT row_number() OVER (ORDER BY f.pos) AS fact_id, f.order_date, f.quantity, f.amount, f.source_table, c.name AS customer, c.region, c.channel, p.name AS product, nullif(string_split(p.ids,'|')[1],'') AS product_code, v.name AS vendor
  FROM fact f LEFT JOIN gold_customer c ON c.golden_id=customer_golden_id LEFT JOIN gold_product p ON p.golden_id=product_golden_id LEFT JOIN gold_vendor v ON v.golden_id=vendor_golden_id""")
 def sales_view(spark, d):
     return W.sales_view(star(spark, d)).drop("pos")
+
+
+# --- mastering from states ---------------------------------------------------------------------
+_STATE: dict[tuple[str, str], dict[str, M.Golden]] = {}
+
+
+def mastered(spark, d) -> dict[str, M.Golden]:
+    """Golden records after a rebuild that came before the last upload, and one after it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STATE:
+        st = Staging(spark, scratch_path(spark, "mastered"))
+        rows, state = durable(conformed(spark, d), "conformed"), MasterState(st)
+        st.write("Products", products(spark, d), PRODUCT_TYPES, "u0")
+        for u in (0, 1):
+            st.write("Sales", rows.filter(F.col("l_orderkey") % 3 == u), SALES_TYPES, f"u{u}")
+        state.catch_up()
+        st.write("Sales", rows.filter(F.col("l_orderkey") % 3 == 2), SALES_TYPES, "u2")
+        state.update("Sales", "u2")
+        _STATE[key] = state.golden()
+    return _STATE[key]
+
+
+@query("master_state", O.with_(H, golden_sql("customer"), golden_sql("product")) + """SELECT 'customer' AS entity, golden_id, key, name, region, channel, NULL::varchar AS unit_size, instance_count FROM gold_customer
+ UNION ALL SELECT 'product', golden_id, key, name, NULL, NULL, unit_size, instance_count FROM gold_product""")
+def master_state(spark, d):
+    c, p = (mastered(spark, d)[e].records for e in ("customer", "product"))
+    none = F.lit(None).cast("string")
+    return c.select(F.lit("customer").alias("entity"), "golden_id", "key", "name", "region", "channel", none.alias("unit_size"), "instance_count").unionByName(
+        p.select(F.lit("product").alias("entity"), "golden_id", "key", "name", none.alias("region"), none.alias("channel"), "unit_size", "instance_count"))
+
+
+@query("master_state_rows", O.with_(H, golden_sql("customer")) + """SELECT 'id' AS kind, golden_id, unnest(string_split(ids,'|')) AS value FROM gold_customer WHERE ids<>'' UNION ALL SELECT 'name', golden_id, unnest(string_split(name_variants,'|')) FROM gold_customer WHERE name_variants<>''
+ UNION ALL SELECT 'source', golden_id, unnest(string_split(sources,',')) FROM gold_customer""")
+def master_state_rows(spark, d):
+    g = mastered(spark, d)["customer"]
+    parts = [df.select(F.lit(k).alias("kind"), "golden_id", F.col(k).alias("value")) for k, df in (("id", g.ids), ("name", g.names), ("source", g.sources))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

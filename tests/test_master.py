@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import fold as FO, master as M, star as W
 from ledgerloom.operators.grouping import connected_components
+from ledgerloom.plans.mastering import MasterState, rebuild_star
 from ledgerloom.session import scratch_path
 from ledgerloom.sources.delimited import scan_delimited
 from ledgerloom.sources.staging import Staging
@@ -155,3 +156,44 @@ def test_delimited_files(spark, tmp_path, multiline):
     assert grid[1] == [("str", 'He said "hi"'), ("int", "7")]
     assert grid[2] == [("str", "two\nlines" if multiline else "two, parts"), ("float", "1.5"), ("str", "extra")]
     assert grid[3:] == [[("str", "A"), ("str", "B, C"), ("str", "D")], [("int", "1"), ("int", "2"), ("int", "3")]]
+
+
+def test_states_of_uploads_equal_a_full_rebuild(spark):
+    """A rebuild after one more upload reads states only, and gives what all rows give."""
+    rng, st = random.Random(4), Staging(spark, scratch_path(spark, "state-test"))
+    state = MasterState(st)
+    types = {"customer_id": "string", "customer": "string", "vendor": "string", "region": "string", "amount": "decimal"}
+    names = spellings(3, 60)
+
+    def upload(u, n):
+        data = [(k, rng.choice([None, f"C{rng.randint(0, 20)}"]), rng.choice([None, *names]), rng.choice(["V", "W", None]), rng.choice(["NJ", "NY", None]), "1") for k in range(n)]
+        st.write("Sales", spark.createDataFrame(data, "pos long, " + ", ".join(f"{c} string" for c in types)), types, u)
+
+    def shown(golden):
+        return {e: (sorted(map(str, g.records.collect())), *(sorted(map(tuple, x.collect())) for x in (g.ids, g.names, g.sources))) for e, g in golden.items()}
+
+    for u, n in (("a", 80), ("c", 60)):
+        upload(u, n)
+    assert state.catch_up() == 2 and state.catch_up() == 0
+    upload("b", 5)
+    state.update("Sales", "b")
+    assert state.catch_up() == 0
+    rows = st.harvest()
+    assert shown(state.golden()) == shown({e: M.golden(M.instances(rows, M.SPECS[e]), e) for e in M.SPECS})
+    assert all("/master/" in f for e in M.SPECS for f in state.read(e).inputFiles())
+    # an upload that is replaced, emptied or removed leaves nothing behind
+    upload("c", 0)
+    state.update("Sales", "c")
+    st.delete_upload("a")
+    state.delete_upload("a")
+    assert shown(state.golden()) == shown({e: M.golden(M.instances(st.harvest(), M.SPECS[e]), e) for e in M.SPECS})
+    star = rebuild_star(st)
+    facts = star.fact_sales.orderBy("fact_id").collect()
+    assert [f["fact_id"] for f in facts] == [1, 2, 3, 4, 5] and [f["pos"] for f in facts] == sorted(f["pos"] for f in facts)
+    assert [r["fact_id"] for r in W.sales_view(star, 2).collect()] == [1, 2]
+
+
+def test_golden_ids_that_meet_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(M, "golden_id", lambda entity, key: F.concat(F.lit("cus_"), F.length(key).cast("string")))
+    got = {r["key"]: r["golden_id"] for r in M.unique_ids(spark.createDataFrame([("aa", 1), ("bb", 2), ("ccc", 3)], "key string, x int"), "customer").collect()}
+    assert got["aa"] == "cus_2" and got["ccc"] == "cus_3" and len(got["bb"]) == 44 and len(set(got.values())) == 3
