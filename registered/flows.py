@@ -53,6 +53,26 @@ def scan_delimited(spark, d):
     return cells.groupBy("col_index", "cell.kind", "cell.text").agg(F.count(F.lit(1)).alias("n"))
 
 
+def odd_files(spark, d) -> str:
+    """The parts as text files with commas and with tabs: quoted line breaks, doubled quotes, ragged rows."""
+    root, parts = scratch_path(spark, "odd"), spark.read.parquet(f"{d}/part.parquet")
+    for k, sep in enumerate((",", "\t")):
+        name = F.concat(F.lit('"'), F.col("p_name"), F.when(F.col("p_partkey") % 4 == 0, F.lit('\n""new"" line' + sep)).otherwise(F.lit("")), F.lit('"'))
+        more = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand"))
+        line = F.concat_ws(sep, F.col("p_partkey").cast("string"), name, F.col("p_size").cast("string"), more)
+        parts.filter(F.col("p_partkey") % 2 == k).select(line).write.text(f"{root}/{k}")
+    return root
+
+
+@query("scan_odd_files", """WITH p AS (SELECT *, CASE WHEN p_partkey%4=0 THEN p_name||chr(10)||'"new" line'||CASE p_partkey%2 WHEN 0 THEN ',' ELSE chr(9) END ELSE p_name END AS name FROM part)
+SELECT 0 AS col_index, 'int' AS kind, p_partkey::varchar AS text, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 1, 'str', name, count(*) FROM p GROUP BY ALL UNION ALL SELECT 2, 'int', p_size::varchar, count(*) FROM p GROUP BY ALL
+UNION ALL SELECT 3, 'str', p_brand, count(*) FROM p WHERE p_partkey%3=0 GROUP BY ALL""")
+def scan_odd_files(spark, d):
+    rows = delimited.scan_delimited(spark, odd_files(spark, d))
+    cells = rows.select(F.posexplode("cells").alias("col_index", "cell")).filter(F.col("cell").isNotNull())
+    return cells.groupBy("col_index", "cell.kind", "cell.text").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("export_csv", O.with_(O.messy()) + f"SELECT {', '.join(RAW)}, count(*) AS n FROM messy GROUP BY ALL")
 def export_csv(spark, d):
     path = scratch_path(spark, "export")
