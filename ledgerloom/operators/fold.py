@@ -17,6 +17,9 @@ With a = |sorted distinct tokens joined by blanks|:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.similarity import lcs, sorted_tokens, token_set_parts
@@ -25,6 +28,9 @@ from ledgerloom.session import durable
 # Couples grow with the square of the length, so names that are long together use single letter pairs.
 COUPLE_MAX = 128
 ROWS_PER_SALT = 20_000
+# Pairs stored for each text, and texts whose pairs are stored whatever their number.
+PAIRS = 100
+FEW = 4096
 
 
 def _signatures(names: DataFrame) -> DataFrame:
@@ -49,15 +55,51 @@ def _salted(probe: DataFrame, index: DataFrame, key: str, weights: DataFrame) ->
     return left.join(right, [key, "salt"]).drop("salt", key)
 
 
-def shared_word_candidates(sigs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of texts that can match because of the words they share."""
-    words = sigs.select(F.col("sig").alias("a"), F.col("a").alias("n"), F.explode(F.split("sig", " ")).alias("token"))
-    weights = durable(words.groupBy("token").agg(F.count(F.lit(1)).alias("weight")), "token-weights")
+@dataclass
+class Lookups:
+    """Keys under which texts find each other. ``old`` tells texts apart when only pairs of an old and a new one are asked for.
+
+    probe: token, a, old. index: token, b, old. keyed: key, sig, n, m, old. tokens, keys: how many texts have each.
+    """
+
+    probe: DataFrame
+    index: DataFrame
+    tokens: DataFrame
+    keyed: DataFrame
+    keys: DataFrame
+
+    def most_pairs(self) -> int:
+        """No fewer than the pairs that the keys lead to."""
+        probed = self.probe.groupBy("token").agg(F.count(F.lit(1)).alias("probes")).join(self.tokens, "token")
+        words = probed.agg(F.coalesce(F.sum(F.col("probes") * F.col("weight")), F.lit(0))).first()[0]
+        return words + self.keys.agg(F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0))).first()[0]
+
+
+def lookups(sigs: DataFrame) -> Lookups:
+    if "old" not in sigs.columns:
+        sigs = sigs.withColumn("old", F.lit(False))
+    words = sigs.select(F.col("sig").alias("a"), F.col("a").alias("n"), "old", F.explode(F.split("sig", " ")).alias("token"))
+    tokens = durable(words.groupBy("token").agg(F.count(F.lit(1)).alias("weight")), "token-weights")
     rare_first = Window.partitionBy("a").orderBy("weight", "token")
     before = F.coalesce(F.sum(F.length("token") + 1).over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    probe = words.join(weights, "token").withColumn("before", before).filter(F.col("before") * 11 <= F.col("n") * 2)
-    index = words.select("token", F.col("a").alias("b"))
-    return _salted(probe.select("token", "a"), index, "token", weights).filter(F.col("a") != F.col("b"))
+    probe = words.join(tokens, "token").withColumn("before", before).filter(F.col("before") * 11 <= F.col("n") * 2).select("token", "a", "old")
+    keyed = spelling_keys(sigs)
+    # A key held by one text only leads nowhere.
+    keys = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") > 1), "spelling-weights")
+    return Lookups(durable(probe, "probes"), words.select("token", F.col("a").alias("b"), "old"), tokens, keyed, keys)
+
+
+def _sides(left: DataFrame, right: DataFrame, cross: bool) -> list[tuple[DataFrame, DataFrame]]:
+    """What is to meet: everything, or old with new."""
+    if not cross:
+        return [(left.drop("old"), right.drop("old"))]
+    return [(left.filter(F.col("old") == o).drop("old"), right.filter(F.col("old") != o).drop("old")) for o in (False, True)]
+
+
+def shared_word_candidates(look: Lookups, cross: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of texts that can match because of the words they share."""
+    found = [_salted(p, i, "token", look.tokens) for p, i in _sides(look.probe, look.index, cross)]
+    return reduce(DataFrame.unionByName, found).filter(F.col("a") != F.col("b"))
 
 
 def _numbered_pairs(text: Column) -> Column:
@@ -67,13 +109,13 @@ def _numbered_pairs(text: Column) -> Column:
     return F.transform(pairs, lambda p, i: F.concat(p, (i - F.array_position(pairs, p) + 1).cast("string")))
 
 
-def spelling_candidates(sigs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of texts that can match because they are spelled almost alike."""
-    grams = sigs.select("sig", F.col("a").alias("n"), F.explode(_numbered_pairs(F.col("sig"))).alias("gram"))
+def spelling_keys(sigs: DataFrame) -> DataFrame:
+    """``sig, n, m, key, old``: keys that texts of lengths n and m share if they are spelled almost alike."""
+    grams = sigs.select("sig", F.col("a").alias("n"), "old", F.explode(_numbered_pairs(F.col("sig"))).alias("gram"))
     weights = durable(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("weight")), "gram-weights")
     # Letter pairs of each text, rarest first; the list is as long as the text.
     ordered = (
-        grams.join(weights, "gram").groupBy("sig", "n")
+        grams.join(weights, "gram").groupBy("sig", "n", "old")
         .agg(F.array_sort(F.collect_list(F.struct("weight", "gram"))).alias("g"))
         .withColumn("g", F.transform("g", lambda x: x["gram"]))
     )
@@ -93,19 +135,23 @@ def spelling_candidates(sigs: DataFrame) -> DataFrame:
     couples = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda y: both(x, y))))
     length_pair = F.concat_ws(",", F.least(n, m).cast("string"), F.greatest(n, m).cast("string"), F.lit(""))
     keys = F.transform(F.when(F.col("couple"), couples).otherwise(F.col("r")), lambda k: F.concat(length_pair, k))
-    keyed = durable(listed.select("sig", "n", "m", F.explode(keys).alias("key")), "spelling-keys")
-    # A key held by one text only leads nowhere.
-    shared = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") > 1), "spelling-weights")
-    left = keyed.select("key", F.col("sig").alias("a"), F.col("n").alias("na"))
-    right = keyed.select("key", F.col("sig").alias("b"), F.col("m").alias("mb"))
+    return durable(listed.select("sig", "n", "m", "old", F.explode(keys).alias("key")), "spelling-keys")
+
+
+def spelling_candidates(look: Lookups, cross: bool) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of texts that can match because they are spelled almost alike."""
+    left = look.keyed.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), "old")
+    right = look.keyed.select("key", F.col("sig").alias("b"), F.col("m").alias("mb"), "old")
+    found = reduce(DataFrame.unionByName, [_salted(x, y, "key", look.keys) for x, y in _sides(left, right, cross)])
     # The partner has the length this text was listed for.
-    return _salted(left, right, "key", shared).filter((F.col("a") < F.col("b")) & (F.col("mb") == F.col("na"))).select("a", "b")
+    return found.filter((F.col("a") < F.col("b")) & (F.col("mb") == F.col("na"))).select("a", "b")
 
 
-def matching_pairs(sigs: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, whose token set ratio is at least 90."""
-    found = shared_word_candidates(sigs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = found.unionByName(spelling_candidates(sigs)).distinct()
+def matching_pairs(sigs: DataFrame, look: Lookups | None = None, cross: bool = False) -> DataFrame:
+    """All pairs ``(a, b)``, a < b, whose token set ratio is at least 90; with ``cross`` those of an old and a new text."""
+    look = look or lookups(sigs)
+    found = shared_word_candidates(look, cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = found.unionByName(spelling_candidates(look, cross)).distinct()
     parts = token_set_parts(F.split("a", " "), F.split("b", " "))
     known = pairs.withColumns(parts)
     i, x, y = F.length("shared"), F.length("only_a"), F.length("only_b")
@@ -159,6 +205,48 @@ def _absorbed(edges: DataFrame) -> DataFrame | None:
     return gone
 
 
+def _edges(pairs: DataFrame, place: DataFrame) -> DataFrame:
+    """Pairs from the earlier to the later text: lo, hi, lo_pos."""
+    first, second = (place.select(F.col("sig").alias(c), F.col("pos").alias(f"p{c}")) for c in ("a", "b"))
+    early = F.col("pa") < F.col("pb")
+    return pairs.join(first, "a").join(second, "b").select(
+        F.when(early, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("hi"), F.least("pa", "pb").alias("lo_pos")
+    )
+
+
+def _earliest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("hi").agg(F.min_by("lo", "lo_pos").alias("root_sig")).select(F.col("hi").alias("sig"), "root_sig")
+
+
+def settle(sigs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Roots (sig, a, pos) and the absorbed texts with the root that takes each (sig, root_sig), in order of ``pos``.
+
+    Where so many texts resemble each other that their pairs would outgrow them, the first eighth is settled alone and the
+    rest looks up its roots only; what no root takes is settled in the same way. So pairs are stored for few at a time.
+    """
+    look = lookups(sigs)
+    if n <= FEW or look.most_pairs() <= PAIRS * n:
+        edges = durable(_edges(matching_pairs(sigs, look), sigs), "fold-edges")
+        gone = _absorbed(edges)
+        if gone is None:
+            return sigs, edges.select(F.col("hi").alias("sig"), F.col("lo").alias("root_sig"))
+        gone = durable(gone, "fold-gone")
+        roots = durable(sigs.join(gone, "sig", "left_anti"), "fold-roots")
+        to_roots = edges.join(gone.select(F.col("sig").alias("lo")), "lo", "left_anti").join(gone.select(F.col("sig").alias("hi")), "hi")
+        return roots, _earliest(to_roots)
+    cut = sigs.agg(F.percentile_approx("pos", 1 / 8)).first()[0]
+    head, tail = sigs.filter(F.col("pos") <= cut), sigs.filter(F.col("pos") > cut)
+    roots, taken = settle(durable(head, "fold-head"), head.count())
+    both = durable(roots.withColumn("old", F.lit(True)).unionByName(tail.withColumn("old", F.lit(False))), "fold-both")
+    hits = durable(_earliest(_edges(matching_pairs(both, cross=True), both)), "fold-hits")
+    rest = durable(tail.join(hits.select("sig"), "sig", "left_anti"), "fold-rest")
+    left = rest.count()
+    if not left:
+        return roots, taken.unionByName(hits)
+    more, also = settle(rest, left)
+    return roots.unionByName(more), taken.unionByName(hits).unionByName(also)
+
+
 def fold_names(names: DataFrame) -> DataFrame:
     """Who is absorbed by whom: ``key, root, first_pos`` for absorbed buckets only.
 
@@ -168,34 +256,10 @@ def fold_names(names: DataFrame) -> DataFrame:
     """
     names = durable(names.select("key", "name", "first_pos"), "fold-names")
     sigs = durable(_signatures(names), "fold-signatures")
-    place = sigs.select(F.col("sig"), F.col("pos"))
-    edges = durable(
-        matching_pairs(sigs)
-        .join(place.select(F.col("sig").alias("a"), F.col("pos").alias("pa")), "a")
-        .join(place.select(F.col("sig").alias("b"), F.col("pos").alias("pb")), "b")
-        .select(
-            F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("lo"),
-            F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("hi"),
-            F.least("pa", "pb").alias("lo_pos"),
-        ),
-        "fold-edges",
-    )
-    gone = _absorbed(edges)
+    _, taken = settle(sigs, sigs.count())
     keyed = names.withColumn("sig", F.array_join(F.array_distinct(sorted_tokens(F.col("name"))), " ")).filter(F.col("sig") != "")
     # Buckets with the same words as an earlier one match it fully and share its fate.
-    heads = keyed.groupBy("sig").agg(F.min_by("key", "first_pos").alias("root"))
-    if gone is None:
-        joined = heads.select("sig", "root")
-    else:
-        gone = durable(gone, "fold-gone")
-        root_of = (
-            edges.join(gone.select(F.col("sig").alias("lo")), "lo", "left_anti")
-            .join(gone.select(F.col("sig").alias("hi")), "hi")
-            .groupBy("hi").agg(F.min_by("lo", "lo_pos").alias("root_sig"))
-            .select(F.col("hi").alias("sig"), "root_sig")
-        )
-        target = heads.select(F.col("sig").alias("root_sig"), "root")
-        joined = (
-            heads.select("sig").join(root_of, "sig", "left").withColumn("root_sig", F.coalesce("root_sig", "sig")).join(target, "root_sig").select("sig", "root")
-        )
+    heads = durable(keyed.groupBy("sig").agg(F.min_by("key", "first_pos").alias("root")), "fold-heads")
+    target = heads.select(F.col("sig").alias("root_sig"), "root")
+    joined = heads.select("sig").join(durable(taken, "fold-taken"), "sig", "left").withColumn("root_sig", F.coalesce("root_sig", "sig")).join(target, "root_sig").select("sig", "root")
     return keyed.join(joined, "sig").filter(F.col("key") != F.col("root")).select("key", "root", "first_pos")

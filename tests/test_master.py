@@ -60,6 +60,22 @@ def test_fold_equals_walk(spark, names):
     assert got == walk(names)
 
 
+def test_fold_in_parts_equals_walk_and_stores_few_pairs(spark, monkeypatch):
+    """Texts that nearly all match each other: the rest looks up roots only."""
+    monkeypatch.setattr(FO, "FEW", 30)
+    monkeypatch.setattr(FO, "PAIRS", 4)
+    rnd, stored = random.Random(6), []
+    names = [f"customer {rnd.randint(0, 99999):09d}" for _ in range(80)] + spellings(8, 10)
+    rnd.shuffle(names)
+    names = list(dict.fromkeys(names))
+    real = FO.durable
+    monkeypatch.setattr(FO, "durable", lambda df, label, by=None: (lambda out: (stored.append((label, out.count())), out)[1])(real(df, label)))
+    df = spark.createDataFrame([(n, n, i) for i, n in enumerate(names)], "key string, name string, first_pos bigint")
+    got = {(r["key"], r["root"]) for r in FO.fold_names(df).collect()}
+    assert got == walk(names)
+    assert sum(n for label, n in stored if label == "fold-edges") <= 12 * len(names) and sum(label == "fold-head" for label, _ in stored) >= 1
+
+
 def test_fold_finds_every_matching_pair(spark):
     names = sorted({" ".join(sorted(set(n.split()))) for n in spellings(11, 200)})
     sigs = spark.createDataFrame([(n, len(n), i) for i, n in enumerate(names)], "sig string, a int, pos bigint")
