@@ -3,21 +3,28 @@
 The specification is two small lists, ``tables(table, kind, natural_key, source_sheets)`` and
 ``columns(table, name, type, role, source, references)``; ``source`` is ``sheet.column`` and
 ``references`` is ``table.column``. Loading is set based: one aggregate finds the new rows of a
-dimension and one join per foreign key resolves all facts.
+dimension and one join per foreign key resolves all facts. The source rows are written once, with their place as a number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerloom.functions.casts import coerce, storage_type
+from ledgerloom.operators.numbering import numbered
 from ledgerloom.operators.siblings import Tab
-from ledgerloom.session import durable
+from ledgerloom.session import durable, observed
 from ledgerloom.sources.staging import Store
 
 UPLOAD = "_upload_id"
+BUCKET = "_bucket"
+#: Folders a dimension's rows are dealt into. Part of the stored layout, so it must stay as it is for a given store.
+BUCKETS = 64
+#: Bits of a row's place in its sheet, and of its place in a fact's sheets.
+AT_BITS, PLACE_BITS = 41, 54
 
 
 @dataclass
@@ -129,7 +136,13 @@ def table_schema(store: Store, table: str) -> T.StructType:
 
 def read_declared(store: Store, table: str) -> DataFrame:
     """Stored rows with every declared column; columns younger than a file are NULL in it."""
+    return _read(store, table).select(table_schema(store, table).names)
+
+
+def _read(store: Store, table: str, bucketed: bool = False) -> DataFrame:
     schema = table_schema(store, table)
+    if bucketed:
+        schema = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
     if not store._exists(store.data_path(table)):
         return store.spark.createDataFrame([], schema)
     return store.spark.read.schema(schema).parquet(store.data_path(table))
@@ -148,10 +161,26 @@ def _natural_key(dim: dict, spec: StarSpec, known: dict[str, str]) -> list[str]:
     return key or [c["name"] for c in spec.of(dim["table"]) if c["role"] != "pk" and c["name"] in known]
 
 
-def _match_key(columns: list[Column], names: list[str]) -> Column:
-    """Null-safe join key: equal values and equal gaps give the same text; all gaps give NULL."""
-    text = F.to_json(F.struct(*[c.alias(n) for c, n in zip(columns, names)]))
-    return F.when(F.coalesce(*[c.cast("string") for c in columns]).isNotNull(), text)
+def _filled(columns: list[Column]) -> Column:
+    """Whether a natural key has any value; rows without one have no dimension row."""
+    return F.coalesce(*[c.cast("string") for c in columns]).isNotNull()
+
+
+def _hash(columns: list[Column], *first: Column) -> Column:
+    """64-bit hash of typed values that tells a gap from a value in every place."""
+    return F.xxhash64(*first, *[x for c in columns for x in (c.isNull(), c)])
+
+
+def _bucket(columns: list[Column]) -> Column:
+    return F.pmod(_hash(columns), F.lit(BUCKETS)).cast("int")
+
+
+def _same(left: list[Column], right: list[Column]) -> Column:
+    """Null-safe equality in every place: equal gaps are equal keys."""
+    out = F.lit(True)
+    for a, b in zip(left, right):
+        out &= a.eqNullSafe(b)
+    return out
 
 
 def _sheets_of(fact: dict, spec: StarSpec, tabs: dict[str, Tab]) -> list[str]:
@@ -162,7 +191,7 @@ def _sheets_of(fact: dict, spec: StarSpec, tabs: dict[str, Tab]) -> list[str]:
 
 def _source_rows(fact: dict, spec: StarSpec, tabs: dict[str, Tab], dims: dict[str, dict], known: dict[str, dict[str, str]]) -> DataFrame:
     """Rows behind one fact: its plain columns and, as structs ``d_<dimension>``, the dimension values."""
-    out = None
+    parts = []
     used = sorted({t for t, _ in spec.foreign_keys(fact["table"]).values() if t in dims})
     for i, sheet in enumerate(_sheets_of(fact, spec, tabs)):
         tab = tabs[sheet]
@@ -174,34 +203,42 @@ def _source_rows(fact: dict, spec: StarSpec, tabs: dict[str, Tab], dims: dict[st
             F.struct(*[_value(tab, c).alias(c["name"]) for c in spec.of(d) if c["role"] != "pk" and c["name"] in known[d]]).alias(f"d_{d}")
             for d in used
         ]
-        part = tab.rows.select(F.struct(F.lit(i).alias("sheet"), F.col("pos")).alias("at"), *plain, *groups)
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(tab.rows.select(F.lit(i).alias("_sheet"), F.col("pos").alias("_pos"), *plain, *groups))
+    out = reduce(DataFrame.unionByName, parts)
+    if isinstance(out.schema["_pos"].dataType, T.LongType):
+        placed = out.withColumn("at", F.shiftleft(F.col("_sheet").cast("long"), AT_BITS) + F.col("_pos"))
+        return durable(placed.drop("_sheet", "_pos"), "sources")
+    return numbered(out, [F.asc("_sheet"), F.asc("_pos")], "at").drop("_sheet", "_pos")
 
 
 def upsert_dimension(store: Store, dim: dict, spec: StarSpec, sources: list[DataFrame]) -> DataFrame:
     """Add the rows of ``sources`` whose natural key is new; known rows are reused, never changed.
 
-    Of several source rows with one key the first wins. The surrogate key is a 64-bit hash of table
-    and natural key, so running again gives the same keys; keys that collide are hashed anew with another seed.
+    The rows lie in buckets of their typed key. Only buckets that get a new key are written, each with the rows it had,
+    so a load that runs again, or shares keys with another, adds no row twice. Loads of one dimension must not run at
+    the same time. Of several source rows with one key the first wins. The surrogate key is a 64-bit hash of table and
+    natural key, so running again gives the same keys; keys that collide are hashed anew with another seed. Returns all
+    stored rows.
     """
     table, known = dim["table"], store.columns(dim["table"])
     pk = next((c["name"] for c in spec.of(table) if c["role"] == "pk"), None)
     key = _natural_key(dim, spec, known)
-    stored = read_declared(store, table).withColumn("_k", _match_key([F.col(k) for k in key], key))
-    firsts = None
-    for i, rows in enumerate(sources):
-        values = F.col(f"d_{table}")
-        one = rows.select(F.struct(F.lit(i).alias("fact"), "at").alias("at"), values.alias("v"), _match_key([values[k] for k in key], key).alias("_k"))
-        one = one.filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.min(F.struct("at", "v")).alias("f"))
-        firsts = one if firsts is None else firsts.unionByName(one.select(*firsts.columns))
-    if len(sources) > 1:
-        firsts = firsts.groupBy("_k").agg(F.min("f").alias("f"))
     names = [c["name"] for c in spec.of(table) if c["role"] != "pk" and c["name"] in known]
-    fresh = firsts.join(stored.select("_k"), "_k", "left_anti").select(
-        F.xxhash64(F.lit(table), "_k").alias(pk), "_k", *[F.col("f.v")[n].alias(n) for n in names]
-    )
-    fresh = durable(fresh, f"new-{table}")
+    # the place of a row over all facts; the first row of a key is found by its number and its values are fetched after
+    found = reduce(DataFrame.unionByName, [
+        rows.select((F.shiftleft(F.lit(i).cast("long"), PLACE_BITS) + F.col("at")).alias("_at"), *[F.col(f"d_{table}")[n].alias(n) for n in names])
+        for i, rows in enumerate(sources)
+    ])
+    keys = [F.col(k) for k in key]
+    firsts = found.filter(_filled(keys)).groupBy(*key).agg(F.min("_at").alias("_at")).withColumn(BUCKET, _bucket(keys))
+    stored = _read(store, table, bucketed=True)
+    there = stored.select(F.col(BUCKET).alias("_b"), *[F.col(k).alias(f"_k_{k}") for k in key])
+    missing = firsts.join(there, (F.col(BUCKET) == F.col("_b")) & _same(keys, [F.col(f"_k_{k}") for k in key]), "left_anti")
+    fresh = found.join(missing.select("_at", BUCKET), "_at") if set(names) - set(key) else missing
+    fresh = durable(fresh.select(_hash(keys, F.lit(table)).alias(pk), *names, BUCKET), f"new-{table}")
+    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most BUCKETS numbers
+    if not touched:
+        return read_declared(store, table)
     for seed in range(1, 9):
         twice = fresh.groupBy(pk).count().filter(F.col("count") > 1).select(pk)
         taken = fresh.select(pk).join(stored.select(pk), pk, "left_semi")
@@ -209,12 +246,16 @@ def upsert_dimension(store: Store, dim: dict, spec: StarSpec, sources: list[Data
         if clash.isEmpty():
             break
         hit = fresh.join(clash.withColumn("_hit", F.lit(True)), pk, "left")
-        again = F.when(F.col("_hit"), F.xxhash64(F.lit(seed), F.lit(table), "_k")).otherwise(F.col(pk))
+        again = F.when(F.col("_hit"), _hash(keys, F.lit(seed), F.lit(table))).otherwise(F.col(pk))
         fresh = durable(hit.withColumn(pk, again).drop("_hit").select(*fresh.columns), f"new-{table}")
     else:
         raise ValueError(f"surrogate keys of {table} are not unique")
-    fresh.drop("_k").write.mode("append").parquet(store.data_path(table))
-    return read_declared(store, table).select(pk, _match_key([F.col(k) for k in key], key).alias("_k"))
+    # what is read is also overwritten, so the old rows of the touched buckets are set aside first
+    old = durable(stored.filter(F.col(BUCKET).isin(touched)), f"old-{table}")
+    merged = old.unionByName(fresh, allowMissingColumns=True).select(*stored.columns)
+    tasks = min(len(touched), int(store.spark.conf.get("spark.sql.shuffle.partitions")))
+    merged.repartition(tasks, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(store.data_path(table))
+    return read_declared(store, table)
 
 
 def load(store: Store, spec: StarSpec, tabs: dict[str, Tab], upload_id: str) -> DataFrame:
@@ -239,9 +280,13 @@ def load(store: Store, spec: StarSpec, tabs: dict[str, Tab], upload_id: str) ->
                 continue
             key = _natural_key(dims[dim], spec, known[dim])
             pk = next(c["name"] for c in spec.of(dim) if c["role"] == "pk")
-            nothing = F.concat(F.lit("none"), F.pmod(F.xxhash64("at"), F.lit(4096)).cast("string"))  # keeps rows without a key apart
-            rows = rows.withColumn("_k", F.coalesce(_match_key([F.col(f"d_{dim}")[k] for k in key], key), nothing))
-            rows = rows.join(lookups[dim].select("_k", F.col(pk).alias(column)), "_k", "left").drop("_k")
+            values = [F.col(f"d_{dim}")[k] for k in key]
+            # rows without a key have no partner; numbers of their own keep them apart
+            apart = F.when(_filled(values), F.lit(0)).otherwise(F.pmod(F.xxhash64("at"), F.lit(4096)) + 1)
+            given = rows.withColumns({"_apart": apart, **{f"_v{n}": v for n, v in enumerate(values)}})
+            parents = lookups[dim].select(F.lit(0).cast("long").alias("_none"), F.col(pk).alias(column), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)])
+            match = (F.col("_apart") == F.col("_none")) & _same([F.col(f"_v{n}") for n in range(len(key))], [F.col(f"_k{n}") for n in range(len(key))])
+            rows = given.join(parents, match, "left").select(*rows.columns, column)
         pk = next((c["name"] for c in spec.of(table) if c["role"] == "pk"), None)
         if pk:
             # the row's place in its upload, so loading again gives equal keys
@@ -251,10 +296,10 @@ def load(store: Store, spec: StarSpec, tabs: dict[str, Tab], upload_id: str) ->
             *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != UPLOAD],
             F.lit(upload_id).alias(UPLOAD),
         )
-        if sources[table].isEmpty():
+        told = observed(written, {"rows": F.count(F.lit(1))}, lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(UPLOAD).parquet(store.data_path(table)))
+        if not told["rows"]:
+            # an empty upload writes no file, so old ones are removed here
             store._remove(f"{store.data_path(table)}/{UPLOAD}={upload_id}")
-        else:
-            written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(UPLOAD).parquet(store.data_path(table))
     return load_report(store, spec, upload_id)
 
 
