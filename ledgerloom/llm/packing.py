@@ -128,7 +128,7 @@ NAMES = [c.split()[0] for c in PLACED.split(", ")]
 def pack(pieces: DataFrame, size: int = SIZE, most: int = OPEN, share: int = 100_000) -> DataFrame:
     """pieces (doc_id, piece, start, length up to ``size``, ids_crc32) with sequence_id and offset.
 
-    ``share`` is the number of open bins a task of a later round takes on. Lengths under 1 are an error.
+    Every task of every round has ``most`` open bins. ``share`` is the number of items a task of a later round takes on. Lengths under 1 are an error.
     """
     placed = durable(place(pieces, size, most, False), "packed")
     out = placed.filter("length IS NOT NULL")
@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = OPEN, share: int = 100
         # an open bin is an item: its bin in the place of the document, its used space as the length
         items = left.select(F.col("bin").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("offset").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
         dealt = items.repartition(tasks, F.xxhash64("doc_id")).sortWithinPartitions(F.desc("length"), "doc_id")
-        done = durable(place(dealt, size, share if tasks == 1 else most, tasks == 1), "packed")
+        done = durable(place(dealt, size, most, tasks == 1), "packed")
         step = done.filter("length IS NOT NULL").select(F.col("doc_id").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("shift"))
         if moves is None:
             moves = step.withColumn("round", F.lit(k))
