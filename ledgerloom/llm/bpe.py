@@ -31,11 +31,13 @@ def byte_alphabet() -> list[str]:
 
 
 class Units:
-    """Encodes texts by units. ``limit`` bounds the number of cached units; beyond it the cache starts anew."""
+    """Encodes texts by units. ``limit`` bounds the number of cached units; beyond it the half that recurs most stays."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_500_000, pairs: int = 500_000):
         from tokenizers import Tokenizer
 
+        self.pairs = pairs
+
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
         self.alphabet = dict(enumerate(byte_alphabet()))
@@ -47,6 +49,19 @@ class Units:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
+        self.used = np.zeros(1024, np.uint32)  # texts that each cached unit was found in
+
+    def halve(self) -> None:
+        """Forget all but the units of two texts or more, and of these the rarer ones beyond half of the limit."""
+        used = self.used[: len(self.known)]
+        kept = np.flatnonzero(used > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(used[kept], kind="stable")[-(self.limit // 2) :]])
+        names, sizes = list(self.known), self.sizes(kept)
+        self.ids = array("I", self.taken(kept).tobytes())
+        self.ends = array("q", np.cumsum([0, *sizes]).tobytes())
+        self.known = {names[k]: n for n, k in enumerate(kept.tolist())}
+        self.used = np.maximum(used[kept] // 2, 1)
 
     def encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -83,12 +98,16 @@ class Units:
     def codes(self, keys: list[str]) -> np.ndarray:
         """Place of each unit in the cache."""
         if len(self.known) > self.limit:
-            self.clear()
+            self.halve()
         out = list(map(self.known.get, keys))
         if None in out:
             known, add = self.known, self.add
             out = [known[k] if k in known else add(k) for k in keys]
-        return np.array(out, np.int64)
+        codes = np.array(out, np.int64)
+        if len(self.known) > len(self.used):
+            self.used = np.concatenate([self.used, np.zeros(len(self.known), np.uint32)])
+        self.used[codes] += 1  # once a text
+        return codes
 
     def sizes(self, codes: np.ndarray) -> np.ndarray:
         """Tokens of each unit. No view of the growing array is kept."""
@@ -105,7 +124,10 @@ class Units:
         return [len(k) - 1 if k[0] == LITERAL else len(k) if k[0] == "\n" else len(k) + 1 for k in keys]
 
     def text_ids(self, text: str) -> np.ndarray:
-        codes = self.codes(self.keys(text))
+        return self.taken(self.codes(self.keys(text)))
+
+    def taken(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of cached units, one unit after the other."""
         size, first = self.sizes(codes), np.frombuffer(self.ends, np.int64)[codes]
         total = int(size.sum())
         if not total:
@@ -117,7 +139,7 @@ class Units:
     def fit(self, left: str, right: str) -> bool:
         """Whether the two tokens stay as they are when their characters are encoded together."""
         if (left, right) not in self.fits:
-            if len(self.fits) > self.limit:
+            if len(self.fits) > self.pairs:
                 self.fits.clear()
             self.fits[left, right] = [t.value for t in self.tok.model.tokenize(left + right)] == [left, right]
         return self.fits[left, right]
@@ -129,20 +151,27 @@ class Units:
         prefix before it, so each place is settled from shorter ones without encoding anything again.
         """
         last, count = [""] * (len(piece) + 1), [0] * (len(piece) + 1)
-        known = self.tok.token_to_id
+        vocabulary, suffixes = self.vocabulary
+        fits, fit = self.fits, self.fit
         for end in range(1, len(piece) + 1):
-            for size in range(1, min(end, self.longest) + 1):
-                token = piece[end - size : end]
-                if known(token) is not None and (size == end or self.fit(last[end - size], token)):
-                    last[end], count[end] = token, count[end - size] + 1
+            start, tokens = end - 1, []
+            while start >= 0 and (text := piece[start:end]) in suffixes:
+                if text in vocabulary:
+                    tokens.append((start, text))
+                start -= 1
+            for start, token in reversed(tokens):
+                if not start or (fits[pair] if (pair := (last[start], token)) in fits else fit(*pair)):
+                    last[end], count[end] = token, count[start] + 1
                     break
         return count
 
     @property
-    def longest(self) -> int:
-        if not hasattr(self, "_longest"):
-            self._longest = max(map(len, self.tok.get_vocab()))
-        return self._longest
+    def vocabulary(self) -> tuple[set[str], set[str]]:
+        """All tokens, and all their endings."""
+        if not hasattr(self, "_vocabulary"):
+            tokens = set(self.tok.get_vocab())
+            self._vocabulary = tokens, {t[n:] for t in tokens for n in range(len(t))}
+        return self._vocabulary
 
     def unit_counts(self, unit: str) -> list[int]:
         """Token count of each prefix of a unit, by characters; entry 0 is the empty prefix."""
@@ -178,11 +207,33 @@ class Units:
         return start + max(n for n, c in enumerate(inside) if c <= left)
 
 
-_units: dict[str, Units] = {}
+class UnitCounts(Units):
+    """Token counts of units without their ids: each new unit is counted by the dynamic program."""
+
+    def add(self, key: str) -> int:
+        n = self.known[key] = len(self.known)
+        unit = key[1:] if key[0] == LITERAL else key if key[0] == "\n" else " " + key
+        self.ends.append(self.ends[-1] + self.count(unit))
+        return n
+
+    def count(self, unit: str) -> int:
+        word = unit[1:] if unit[0] == " " else unit
+        tail = word[-1:] if word[-1:] in self.marks else ""
+        if LETTERS.fullmatch(word[: len(word) - len(tail)]):
+            return self.piece_counts(self.shown(unit[: len(unit) - len(tail)]))[-1] + (len(self.marks[tail]) if tail else 0)
+        if any(s in unit for s in self.special):
+            return len(self.encode(unit))
+        return sum(self.piece_counts(piece)[-1] for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit))
+
+    def taken(self, codes: np.ndarray) -> np.ndarray:
+        return np.zeros(0, np.uint32)
+
+
+_units: dict[tuple[type, str], Units] = {}
 
 
-def units(path: str) -> Units:
-    """The encoder of this worker process, kept between tasks."""
-    if path not in _units:
-        _units[path] = Units(path)
-    return _units[path]
+def units(path: str, kind: type = Units) -> Units:
+    """The encoder (or counter) of this worker process, kept between tasks."""
+    if (kind, path) not in _units:
+        _units[kind, path] = kind(path)
+    return _units[kind, path]

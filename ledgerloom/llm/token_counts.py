@@ -1,7 +1,7 @@
 """Exact token counts of texts and of their prefixes (operator 8).
 
-The dynamic program of :mod:`ledgerloom.llm.bpe` keeps, for each text, the exact token count at the end of every
-unit, and inside a unit at every character. Counts, budget checks and truncation points are then looked up; no
+The dynamic program of :mod:`ledgerloom.llm.bpe` counts each new unit (and any of its prefixes) from the tokens that
+may follow each other; a text keeps the exact token count at the end of every unit. Counts, budget checks and truncation points are then looked up; no
 text is encoded again.
 """
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bpe import units
+from ledgerloom.llm.bpe import UnitCounts, units
 from ledgerloom.llm.common import slices, table
 
 LIMIT = 1024
@@ -26,7 +26,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFr
     """
 
     def run(batches):
-        u = units(tokenizer)
+        u = units(tokenizer, UnitCounts)
         for ids, texts in slices(batches):
             size, chars, tokens, fit = [], [], [], []
             for t in texts:

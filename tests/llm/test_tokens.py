@@ -30,6 +30,21 @@ def test_ids_are_those_of_the_library(units):
         assert units.text_ids(text).tolist() == units.encode(text)
 
 
+def test_counts_by_the_program_are_those_of_the_library():
+    counts = bpe.UnitCounts(PATH, limit=300, pairs=50)
+    words = ["antidisestablishmentarianism", " 中文字é", "x" * 700, "don't we'll", "04dbebab91ab85687d33", "und.34@mail7.example.com", "a<|endoftext|>b"]
+    for text in [*words, *odd_texts(4000, 5)]:
+        assert int(counts.prefix(text)[1][-1] if text else 0) == len(counts.encode(text)), text
+    assert not counts.ids and len(counts.known) <= 320
+
+
+def test_units_that_recur_outlive_a_full_cache():
+    few = bpe.Units(PATH, limit=20)
+    for k in range(60):
+        assert few.text_ids(f"the same {k} words").tolist() == few.encode(f"the same {k} words")
+    assert " same".strip() in few.known and len(few.known) <= 24 and "3" not in few.known
+
+
 def test_truncation_finds_the_longest_prefix(units):
     for k, text in enumerate(odd_texts(400, 2)):
         budget = k % 7
@@ -87,6 +102,32 @@ def test_rounds_of_open_bins_pack_tightly(spark):
     assert len(packed(got)) <= 1.12 * sum(sizes) / 1024
 
 
+def test_bounded_best_fit_is_that_of_a_plain_list():
+    rng = random.Random(8)
+    for most in (1, 3, 40):
+        heap, plain, n = packing.BestFit(64, most), [], 0  # plain: [bin, free] in order of their last change
+        for _ in range(3000):
+            need = rng.randint(1, 64)
+            fits = [x for x in plain if x[1] >= need]
+            closed = None
+            if fits:
+                free = min(f for _, f in fits)
+                want = [x for x in fits if x[1] == free][-1]
+                plain.remove(want)
+            else:
+                want = [n, 64]
+                if len(plain) >= most:
+                    fullest = min(f for _, f in plain)
+                    gone = [x for x in plain if x[1] == fullest][-1]
+                    plain.remove(gone)
+                    closed = gone[0]
+            if want[1] > need:
+                plain.append([want[0], want[1] - need])
+            assert heap.add(need, n) == (want[0], 64 - want[1], closed)
+            n += want[0] == n
+        assert heap.left() == dict(map(tuple, plain))
+
+
 def test_best_fit_takes_the_fullest_bin_and_closes_the_fullest():
     heap = packing.BestFit(10, 2)
     assert [heap.add(n, k)[:2] for k, n in enumerate((7, 5))] == [(0, 0), (1, 0)]
