@@ -151,27 +151,34 @@ class Units:
         prefix before it, so each place is settled from shorter ones without encoding anything again.
         """
         last, count = [""] * (len(piece) + 1), [0] * (len(piece) + 1)
-        vocabulary, suffixes = self.vocabulary
-        fits, fit = self.fits, self.fit
+        ending, fitting, fit = self.endings.get, self.fits.get, self.fit
         for end in range(1, len(piece) + 1):
             start, tokens = end - 1, []
-            while start >= 0 and (text := piece[start:end]) in suffixes:
-                if text in vocabulary:
-                    tokens.append((start, text))
+            while start >= 0 and (whole := ending(text := piece[start:end])) is not None:
+                if whole:
+                    tokens.append(text)
                 start -= 1
-            for start, token in reversed(tokens):
-                if not start or (fits[pair] if (pair := (last[start], token)) in fits else fit(*pair)):
-                    last[end], count[end] = token, count[start] + 1
-                    break
+            for token in reversed(tokens):
+                start = end - len(token)
+                if start:
+                    before = last[start]
+                    fits = fitting((before, token))
+                    if fits is None:
+                        fits = fit(before, token)
+                        fitting = self.fits.get
+                    if not fits:
+                        continue
+                last[end], count[end] = token, count[start] + 1
+                break
         return count
 
     @property
-    def vocabulary(self) -> tuple[set[str], set[str]]:
-        """All tokens, and all their endings."""
-        if not hasattr(self, "_vocabulary"):
+    def endings(self) -> dict[str, bool]:
+        """All endings of tokens, and whether they are tokens themselves."""
+        if not hasattr(self, "_endings"):
             tokens = set(self.tok.get_vocab())
-            self._vocabulary = tokens, {t[n:] for t in tokens for n in range(len(t))}
-        return self._vocabulary
+            self._endings = {e: e in tokens for t in tokens for e in (t[n:] for n in range(len(t)))}
+        return self._endings
 
     def unit_counts(self, unit: str) -> list[int]:
         """Token count of each prefix of a unit, by characters; entry 0 is the empty prefix."""
