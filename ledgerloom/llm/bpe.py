@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 
+import ahocorasick
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,7 +44,7 @@ class Units:
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.marks = {m: self.encode(m) for m in ".,"}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -136,13 +137,13 @@ class Units:
         return np.frombuffer(self.ids, np.uint32)[at]
 
     # --- exact counts inside a unit ---------------------------------------------------------------
-    def fit(self, left: str, right: str) -> bool:
+    def fit(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their characters are encoded together."""
-        if (left, right) not in self.fits:
-            if len(self.fits) > self.pairs:
-                self.fits.clear()
-            self.fits[left, right] = [t.value for t in self.tok.model.tokenize(left + right)] == [left, right]
-        return self.fits[left, right]
+        if len(self.fits) > self.pairs:
+            self.fits.clear()
+        name = self.tok.id_to_token
+        out = self.fits[left << 32 | right] = [t.id for t in self.tok.model.tokenize(name(left) + name(right))] == [left, right]
+        return out
 
     def piece_counts(self, piece: str) -> list[int]:
         """Token count of each prefix of a piece (in byte stand-ins), by dynamic programming.
@@ -150,34 +151,28 @@ class Units:
         The last token of a prefix is the one token ending there that fits behind the last token of the
         prefix before it, so each place is settled from shorter ones without encoding anything again.
         """
-        last, count = [""] * (len(piece) + 1), [0] * (len(piece) + 1)
-        ending, fitting, fit = self.endings.get, self.fits.get, self.fit
-        for end in range(1, len(piece) + 1):
-            start, tokens = end - 1, []
-            while start >= 0 and (whole := ending(text := piece[start:end])) is not None:
-                if whole:
-                    tokens.append(text)
-                start -= 1
-            for token in reversed(tokens):
-                start = end - len(token)
-                if start:
-                    before = last[start]
-                    fits = fitting((before, token))
-                    if fits is None:
-                        fits = fit(before, token)
-                        fitting = self.fits.get
-                    if not fits:
-                        continue
-                last[end], count[end] = token, count[start] + 1
-                break
+        last, count, settled, fits = [0] * len(piece), [0] * (len(piece) + 1), -1, self.fits
+        # the tokens that end at each place, the longest first
+        for end, (token, size) in self.endings.iter(piece):
+            if end == settled:
+                continue
+            start = end + 1 - size
+            if start:
+                before = last[start - 1]
+                pair = before << 32 | token
+                if not (fits[pair] if pair in fits else self.fit(before, token)):
+                    continue
+            last[end], count[end + 1], settled = token, count[start] + 1, end
         return count
 
     @property
-    def endings(self) -> dict[str, bool]:
-        """All endings of tokens, and whether they are tokens themselves."""
+    def endings(self) -> ahocorasick.Automaton:
+        """Finds the tokens, as id and size, that end at each place of a text."""
         if not hasattr(self, "_endings"):
-            tokens = set(self.tok.get_vocab())
-            self._endings = {e: e in tokens for t in tokens for e in (t[n:] for n in range(len(t)))}
+            self._endings = ahocorasick.Automaton()
+            for token, n in self.tok.get_vocab(with_added_tokens=False).items():
+                self._endings.add_word(token, (n, len(token)))
+            self._endings.make_automaton()
         return self._endings
 
     def unit_counts(self, unit: str) -> list[int]:
