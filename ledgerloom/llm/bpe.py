@@ -79,11 +79,16 @@ class Units:
             return [t.id for t in self.tok.model.tokenize(self.shown(head))] + (self.marks[tail] if tail else [])
         return self.encode(unit)
 
-    def add(self, key: str) -> int:
-        n = self.known[key] = len(self.known)
-        self.ids.extend(self.unit_ids(key[1:] if key[0] == LITERAL else key if key[0] == "\n" else " " + key))
-        self.ends.append(len(self.ids))
-        return n
+    def add(self, keys: list[str]) -> None:
+        """Cache new units."""
+        for key in keys:
+            self.known[key] = len(self.known)
+            self.ids.extend(self.unit_ids(self.unit(key)))
+            self.ends.append(len(self.ids))
+
+    @staticmethod
+    def unit(key: str) -> str:
+        return key[1:] if key[0] == LITERAL else key if key[0] == "\n" else " " + key
 
     @staticmethod
     def keys(text: str) -> list[str]:
@@ -102,8 +107,8 @@ class Units:
             self.halve()
         out = list(map(self.known.get, keys))
         if None in out:
-            known, add = self.known, self.add
-            out = [known[k] if k in known else add(k) for k in keys]
+            self.add(list(dict.fromkeys(k for k, code in zip(keys, out) if code is None)))
+            out = list(map(self.known.get, keys))
         codes = np.array(out, np.int64)
         if len(self.known) > len(self.used):
             self.used = np.concatenate([self.used, np.zeros(len(self.known), np.uint32)])
@@ -150,19 +155,20 @@ class Units:
 
         The last token of a prefix is the one token ending there that fits behind the last token of the
         prefix before it, so each place is settled from shorter ones without encoding anything again.
+        Line feeds, which are no stand-ins, part several pieces; each begins anew behind an entry of 0.
         """
-        last, count, settled, fits = [0] * len(piece), [0] * (len(piece) + 1), -1, self.fits
+        text = "\n" + piece
+        last, count, settled, fits = [-1] * len(text), [0] * len(text), -1, self.fits
         # the tokens that end at each place, the longest first
-        for end, (token, size) in self.endings.iter(piece):
+        for end, (token, size) in self.endings.iter(text):
             if end == settled:
                 continue
-            start = end + 1 - size
-            if start:
-                before = last[start - 1]
+            before = last[end - size]
+            if before >= 0:
                 pair = before << 32 | token
                 if not (fits[pair] if pair in fits else self.fit(before, token)):
                     continue
-            last[end], count[end + 1], settled = token, count[start] + 1, end
+            last[end], count[end], settled = token, count[end - size] + 1, end
         return count
 
     @property
@@ -210,22 +216,35 @@ class Units:
 
 
 class UnitCounts(Units):
-    """Token counts of units without their ids: each new unit is counted by the dynamic program."""
-
-    def add(self, key: str) -> int:
-        n = self.known[key] = len(self.known)
-        unit = key[1:] if key[0] == LITERAL else key if key[0] == "\n" else " " + key
-        self.ends.append(self.ends[-1] + self.count(unit))
-        return n
-
-    def count(self, unit: str) -> int:
-        word = unit[1:] if unit[0] == " " else unit
-        tail = word[-1:] if word[-1:] in self.marks else ""
-        if LETTERS.fullmatch(word[: len(word) - len(tail)]):
-            return self.piece_counts(self.shown(unit[: len(unit) - len(tail)]))[-1] + (len(self.marks[tail]) if tail else 0)
-        if any(s in unit for s in self.special):
-            return len(self.encode(unit))
-        return sum(self.piece_counts(piece)[-1] for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit))
+    """Token counts of units without their ids: the dynamic program counts the new units of a text in one go."""
+
+    def add(self, keys: list[str]) -> None:
+        counts, words, owners, pieces, others = [0] * len(keys), [], [], [], []
+        for n, key in enumerate(keys):
+            unit = self.unit(key)
+            word = unit[1:] if unit[0] == " " else unit
+            tail = word[-1:] if word[-1:] in self.marks else ""
+            if LETTERS.fullmatch(word[: len(word) - len(tail)]):
+                words.append(unit[: len(unit) - len(tail)])
+                owners.append(n)
+                counts[n] = len(self.marks[tail]) if tail else 0
+            elif any(s in unit for s in self.special):
+                counts[n] = len(self.encode(unit))
+            else:
+                own = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit)]
+                pieces += own
+                others += [n] * len(own)
+        # words have no line feed of their own
+        shown = self.shown("\n".join(words)).replace(self.alphabet[10], "\n").split("\n") if words else []
+        lines = shown + pieces
+        at, total = 0, self.piece_counts("\n".join(lines))
+        for n, line in zip(owners + others, lines):
+            at += len(line)
+            counts[n] += total[at]
+            at += 1
+        for key, n in zip(keys, counts):
+            self.known[key] = len(self.known)
+            self.ends.append(self.ends[-1] + n)
 
     def taken(self, codes: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint32)
