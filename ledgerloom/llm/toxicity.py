@@ -13,7 +13,9 @@ import re
 import uuid
 from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,15 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 SWAP, SHORTEN, CLOSE_UP, LEAVE_OUT, KEEP = 1.0, 1.0, 0.5, 2.0, 6.0
 GAPS = " .-_*"
 EDGES = ".,;:?!\"'()[]{}<>*_-…“”„«»|/\\"
+AS_LETTERS = str.maketrans({c: letters[0] for c, letters in LEET.items()})
 WORD = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"(.)\1")
 APART = re.compile(r"[^\W_](?:[.\-_*][^\W_]){2,}")
-#: Pieces of a word set apart have so many characters at most, and marks may stand between them.
-PIECE = 3
-PIECES = re.compile(rf"[^\W_]{{1,{PIECE}}}(?:[.\-_*]+[^\W_]{{1,{PIECE}}})+")
+RUN = re.compile(r"((.)\2*)", re.DOTALL)
+#: Pieces of a word set apart may have marks between them. Of two pieces of up to SMALL characters the likelier reading
+#: decides; if one is longer, closing up has to be likelier by so much (natural logarithm), since any two words may meet.
+PIECES = re.compile(r"[^\W_]+(?:[.\-_*]+[^\W_]+)+")
+SMALL, SURE = 3, 3.0
 #: Bound of the labelled rows the classifier is fitted on: those with the smallest hashes.
 FIT_ROWS = 20_000
 #: Features of a word: itself, and its beginnings of so many characters; each as present so many times at least.
@@ -173,36 +178,31 @@ class CharModel:
 
 
 # --- decoding -----------------------------------------------------------------------------------------
-def lattice(text: str) -> list[list[tuple[str, float]]]:
-    """What each place of a disguised text may stand for, with its cost. A gap may close up or part words."""
-    out: list[list[tuple[str, float]]] = []
-    at = 0
-    while at < len(text):
-        c, n = text[at], 1
-        while at + n < len(text) and text[at + n] == c:
-            n += 1
-        if c in GAPS and c not in LEET:
-            out.append([("", CLOSE_UP), (" ", 0.0)])
-        elif c.isalpha():
-            ways = [(c * n, 0.0)]
-            if n > 1:
-                ways += [(c * k, SHORTEN) for k in {1, min(2, n - 1)}]
-            out.append(ways)
-        else:
-            ways = [("", LEAVE_OUT), (" ", KEEP)]
-            ways += [(x * k, SWAP * k) for x in LEET.get(c, "") for k in {1, n}]
-            out.append(ways)
-        at += n
-    return out
+@lru_cache(4096)
+def ways(run: str) -> tuple[tuple[str, float], ...]:
+    """What a run of one character may stand for, with its cost. A gap may close up or part words."""
+    c, n = run[0], len(run)
+    if c in GAPS and c not in LEET:
+        return ("", CLOSE_UP), (" ", 0.0)
+    if c.isalpha():
+        return (run, 0.0), *((c * k, SHORTEN) for k in sorted({1, min(2, n - 1)}) if n > 1)
+    return ("", LEAVE_OUT), (" ", KEEP), *((x * k, SWAP * k) for x in LEET.get(c, "") for k in sorted({1, n}))
+
 
+def runs(text: str) -> list[str]:
+    return [run for run, _ in RUN.findall(text)]
 
-def decode(text: str, model: CharModel) -> str:
-    """The likeliest reading of a disguised text: letters, with blanks between words."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for ways in lattice(text):
-        new: dict[str, tuple[float, str]] = {}
-        for state, (score, read) in best.items():
-            for written, cost in ways:
+
+def likeliest(places: list[str], model: CharModel, state: str = "^^", ends: bool = True) -> str:
+    """The likeliest reading of a lattice's places (runs of a character) behind ``state``, the two characters before.
+
+    A path keeps a link to the path it goes on from, so time and memory are linear in the places.
+    """
+    best: dict[str, tuple[float, tuple | None]] = {state: (0.0, None)}
+    for run in places:
+        new: dict[str, tuple[float, tuple | None]] = {}
+        for state, (score, path) in best.items():
+            for written, cost in ways(run):
                 s, total = state, score - cost
                 for c in written:
                     if c == " ":
@@ -213,51 +213,107 @@ def decode(text: str, model: CharModel) -> str:
                     else:
                         total += model(s + c)
                         s = s[1] + c
-                if s not in new or (total, read + written) > new[s]:
-                    new[s] = (total, read + written)
+                if s not in new or total > new[s][0]:
+                    new[s] = (total, (path, written))
         best = new
-    return max((score + (model(s + "$") if s != "^^" else 0.0), read) for s, (score, read) in best.items())[1]
+    _, path = max(((score + (model(s + "$") if ends and s != "^^" else 0.0), path) for s, (score, path) in best.items()), key=lambda x: x[0])
+    read = []
+    while path:
+        path, written = path
+        read.append(written)
+    return "".join(reversed(read))
+
+
+def decode(text: str, model: CharModel, known: dict | None = None) -> str:
+    """The likeliest reading of a disguised text: letters, with blanks between words.
+
+    Behind two letters that stand for themselves all paths are in one state, so the lattice falls into stretches that
+    are decoded on their own. ``known`` keeps the readings of the shorter stretches.
+    """
+    out: list[str] = []
+    places: list[str] = []
+    state, calm = "^^", 0
+
+    def close(ends: bool):
+        key = (state, "".join(places), ends)
+        if known is None or len(places) > 64:
+            return likeliest(places, model, state, ends)
+        if key not in known:
+            known[key] = likeliest(places, model, state, ends)
+        return known[key]
+
+    for run in runs(text):
+        certain = len(run) == 1 and run.isalpha()
+        if not places and certain:
+            out.append(run)
+            state = state[1] + run
+            continue
+        places.append(run)
+        calm = calm + 1 if certain else 0
+        if calm == 2:
+            out.append(close(False))
+            state, places, calm = places[-2] + run, [], 0
+    if places:
+        out.append(close(True))
+    return "".join(out)
 
 
 class Restorer:
-    """Restored words of texts; what a token stands for is kept, up to ``limit`` tokens."""
+    """Restored words of texts. What tokens and stretches stand for is kept, up to ``limit`` of them."""
 
-    def __init__(self, model: CharModel, limit: int = 250_000):
+    def __init__(self, model: CharModel, limit: int = 150_000):
         self.model, self.limit = model, limit
-        self.known: dict[str, tuple[str, ...]] = {}
-        self.short: dict[str, tuple[str, ...] | None] = {}
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, tuple[tuple[str, ...], tuple | None]] = {}
+        self.joins: dict[str, float] = {}
+        self.stretches: dict[tuple, str] = {}
+        self.groups: dict[str, list[str]] = {}
+
+    def told(self, words) -> tuple[str, ...]:
+        return tuple(words)
 
-    def token(self, token: str) -> tuple[str, ...]:
+    def decode(self, text: str) -> list[str]:
+        return decode(text, self.model, self.stretches).split()
+
+    def token(self, token: str) -> tuple[tuple[str, ...], tuple | None]:
+        """The restored words of a token, and its pieces as in :meth:`pieces`."""
         core = token.strip(EDGES)
-        if core.isalpha() and not DOUBLED.search(core):
+        plain = core.isalpha()
+        twice = DOUBLED.search(core)
+        if plain and not twice:
             out = (core,)
+        elif plain and not DOUBLED.search(core, twice.end()) and core[twice.end() :][:1] != twice[1]:
+            # one doubled letter: one stretch, up to the second letter behind it
+            start, end = twice.start(), twice.end() + 2
+            key = ("^^" + core[:start])[-2:], core[start:end], len(core) < end
+            if key not in self.stretches:
+                self.stretches[key] = likeliest(runs(key[1]), self.model, key[0], key[2])
+            read = core[:start] + self.stretches[key] + core[end:]
+            out = (core,) if read == core else (read, core)
         elif APART.search(core):
-            out = tuple(decode(core, self.model).split())
+            out = tuple(self.decode(core))
         else:
             # with symbols that may be letters at the edges
             wide = token.strip("".join(c for c in EDGES if c not in LEET)) if any(c in LEET for c in token) else core
             letters = sum(map(str.isalpha, wide))
             if letters and (DOUBLED.search(wide) or any(c in LEET for c in wide)):
-                out = tuple(dict.fromkeys([*decode(wide, self.model).split(), *WORD.findall(wide)]))
+                out = tuple(dict.fromkeys([*self.decode(wide), *WORD.findall(wide)]))
             else:
                 out = tuple(WORD.findall(core))
-        self.known[token] = out
-        return out
+        entry = self.known[token] = self.told(out), self.pieces(token, core, plain)
+        return entry
 
     def words(self, text: str | None) -> Counter:
-        """Restored words of a whole text and how often they are there."""
+        """What is to be told of the restored words of a whole text, the words themselves unless ``told`` says
+        otherwise, and how often."""
         tokens = text.lower().split() if text else []
-        out: Counter = Counter()
         if not tokens:
-            return out
-        for kept in (self.known, self.short, self.joins):
+            return Counter()
+        for kept in (self.known, self.joins, self.stretches, self.groups):
             if len(kept) > self.limit:
                 kept.clear()
         known, new = self.known, self.token
-        for t, n in Counter(tokens).items():
-            for w in known[t] if t in known else new(t):
-                out[w] += n
+        entries = [known[t] if t in known else new(t) for t in tokens]
+        out = Counter(chain.from_iterable([told for told, _ in entries]))
         single: Counter = Counter()
         short = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
         if len(short) > 2 and (short[:-2] & short[1:-1] & short[2:]).any():
@@ -267,69 +323,85 @@ class Restorer:
                     # the outer ones may carry a mark
                     lo -= lo > 0 and len(tokens[lo - 1].strip(EDGES)) == 1
                     hi += hi < len(tokens) and len(tokens[hi].strip(EDGES)) == 1
-                    single.update(self.apart([t.strip(EDGES) or t for t in tokens[lo:hi]]))
+                    single.update(self.decode(" ".join(t.strip(EDGES) or t for t in tokens[lo:hi])))
         # both ways may find the same word
-        out.update(single | self.joined(tokens))
+        found = self.joined([pieces for _, pieces in entries])
+        out.update(self.told((single | Counter(found)).elements() if single else found))
         return out
 
-    def pieces(self, token: str) -> tuple[str, ...] | None:
-        """The pieces of a word that a token may be: none for marks alone, null for other tokens."""
-        core = token.strip(EDGES)
+    @staticmethod
+    def pieces(token: str, core: str, plain: bool) -> tuple | None:
+        """The pieces of a word that a token may be: none for marks alone, null for other tokens.
+
+        Each comes with its last two and first two characters as letters, and with whether it is small."""
+        out: tuple[str, ...] | None = None
+        if plain:
+            return ((core, core[-2:] if len(core) > 1 else "^" + core, core[:2] if len(core) > 1 else core + "$", len(core) <= SMALL),)
         if not core:
-            out = () if all(c in GAPS for c in token) else (token,) if len(token) == 1 else None
-        elif len(core) <= PIECE and all(c.isalpha() or c in LEET for c in core):
-            out = (core,)
+            if all(c in GAPS for c in token):
+                out = ()
+            elif len(token) == 1:
+                out = (token,)
+        elif all(c.isalpha() or c in LEET for c in core):
+            if len(core) <= SMALL or any(map(str.isalpha, core)):
+                out = (core,)
         elif PIECES.fullmatch(core) and not APART.search(core):
             out = tuple(re.split(r"[.\-_*]+", core))
-        else:
-            out = None
-        self.short[token] = out
+        return out and tuple((p, ("^" + p)[-2:].translate(AS_LETTERS), (p + "$")[:2].translate(AS_LETTERS), len(p) <= SMALL) for p in out)
+
+    def gain(self, beside: str) -> float:
+        """How much likelier a gap closes up than it parts words, by the two characters on either side of it."""
+        m, end, begin = self.model, beside[:2], beside[2:]
+        out = m(end + begin[0]) + m(end[1] + begin) - CLOSE_UP - m(end + "$") - m("^^" + begin[0]) - m("^" + begin)
+        self.joins[beside] = out
         return out
 
-    def join(self, left: str, right: str) -> bool:
-        """Whether two neighbours have to be decoded together. Between two of two letters or more, the reading of the
-        gap depends on the letters beside it alone, so the model tells at once."""
-        out = True
-        if len(left) > 1 < len(right) and left.isalpha() and right.isalpha() and not DOUBLED.search(left) and not DOUBLED.search(right):
-            m, end, begin = self.model, left[-2:], right[:2]
-            out = m(end + begin[0]) + m(end[1] + begin) - CLOSE_UP > m(end + "$") + m("^^" + begin[0]) + m("^" + begin)
-        self.joins[left, right] = out
+    def together(self, left: str, right: str) -> float:
+        """Above 0 if two small neighbours have to be decoded together. Between two of two letters or more, the reading
+        of the gap depends on the letters beside it alone, so the model tells at once."""
+        apart = len(left) > 1 < len(right) and left.isalpha() and right.isalpha() and not DOUBLED.search(left) and not DOUBLED.search(right)
+        out = self.joins[f"{left} {right}"] = self.gain(left[-2:] + right[:2]) if apart else math.inf
         return out
 
-    def joined(self, tokens: list[str]) -> Counter:
-        """Words that runs of short tokens stand for, without those that are there as tokens."""
-        short, new, joins, out = self.short, self.pieces, self.joins, Counter()
+    def joined(self, tokens: list[tuple | None]) -> list[str]:
+        """Words that runs of pieces stand for, without those that are there as tokens."""
+        joins, out = self.joins, []
 
         def close(group: list[str]):
-            if len(group) > 1 and any(map(str.isalpha, "".join(group))):
+            text = " ".join(group)
+            if text not in self.groups:
                 own = set(group)
-                out.update(w for w in self.apart(group) if w not in own)
-
-        run: list[str] = []
-        for t in [*tokens, "0000"]:
-            p = short[t] if t in short else new(t)
-            if p is not None:
-                run += p
-            elif run:
-                group = run[:1]
-                for pair in zip(run, run[1:]):
-                    if joins[pair] if pair in joins else self.join(*pair):
-                        group.append(pair[1])
+                self.groups[text] = [w for w in self.decode(text) if w not in own] if any(map(str.isalpha, "".join(group))) else []
+            out.extend(self.groups[text])
+
+        group: list[str] = []
+        before, end, small = "", "", False
+        for own in tokens:
+            if own is None:
+                if group:
+                    close(group)
+                    group = []
+                before = ""
+                continue
+            for piece, last, first, tiny in own:
+                if before:
+                    if small and tiny:
+                        beside = f"{before} {piece}"
+                        up = (joins[beside] if beside in joins else self.together(before, piece)) > 0
                     else:
+                        beside = end + first
+                        up = (joins[beside] if beside in joins else self.gain(beside)) > SURE
+                    if up:
+                        if group:
+                            group.append(piece)
+                        else:
+                            group = [before, piece]
+                    elif group:
                         close(group)
-                        group = [pair[1]]
-                close(group)
-                run = []
-        return out
-
-    def apart(self, tokens: list[str], most: int = 32) -> list[str]:
-        """Words of a run of single characters or short pieces; long runs in stretches that overlap by half."""
-        out = []
-        for at in range(0, max(1, len(tokens) - most // 2), most // 2):
-            span = " ".join(tokens[at : at + most])
-            if span not in self.known:
-                self.known[span] = tuple(decode(span, self.model).split())
-            out.extend(self.known[span])
+                        group = []
+                before, end, small = piece, last, tiny
+        if group:
+            close(group)
         return out
 
 
@@ -432,32 +504,26 @@ def by_name(weights: dict) -> dict[str, list[tuple]]:
     return out
 
 
-class Judge:
-    """The first feature of a text in the decision list, as ((place, score), feature), or none."""
+class Judge(Restorer):
+    """Texts by a decision list; of their words only the list's features are told."""
+
+    def __init__(self, model: CharModel, weights: dict[str, list[tuple]]):
+        super().__init__(model)
+        self.weights = weights
+        # all features of a word begin alike
+        self.heads = {f[:3] for f in weights}
 
-    def __init__(self, model: CharModel, weights: dict[str, list[tuple]], limit: int = 250_000):
-        self.restorer, self.weights, self.limit = Restorer(model), weights, limit
-        self.of: dict[str, list[str]] = {}
+    def told(self, words) -> tuple[str, ...]:
+        weights, heads = self.weights, self.heads
+        found = [w for w in words if f"{w[:3]}$"[:3] in heads]
+        return tuple(f for w in found for f in features(w) if f in weights) if found else ()
 
     def __call__(self, text: str | None) -> tuple | None:
-        counts: Counter = Counter()
-        if len(self.of) > self.limit:
-            self.of.clear()
-        of, weights = self.of, self.weights
-        for w, n in self.restorer.words(text).items():
-            if w not in of:
-                of[w] = [f for f in features(w) if f in weights]
-            for f in of[w]:
-                counts[f] += n
-        return min(((w, f"{k}{f}") for f, n in counts.items() for k, w in weights[f] if k <= n), default=None)
+        """The first feature of a text in the decision list, as ((place, score), feature), or none."""
+        return min(((w, f"{k}{f}") for f, n in self.words(text).items() for k, w in self.weights[f] if k <= n), default=None)
 
     def present(self, text: str | None) -> list[str]:
-        counts: Counter = Counter()
-        for w, n in self.restorer.words(text).items():
-            for f in features(w):
-                if f in self.weights:
-                    counts[f] += n
-        return [f"{k}{f}" for f, n in counts.items() for k, _ in self.weights[f] if k <= n]
+        return [f"{k}{f}" for f, n in self.words(text).items() for k, _ in self.weights[f] if k <= n]
 
 
 def present(fit: DataFrame, model, weights: dict[str, list[tuple]]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators 3 and 9, and the pipeline."""
 
+import itertools
 import math
 import random
 import zlib
@@ -116,12 +117,47 @@ def test_disguised_words_are_restored(text, word):
     assert word in toxicity.Restorer(char_model()).words(f"and {text}, so")
 
 
-@pytest.mark.parametrize("text, word", [("iidiot", "idiot"), ("sttuuppiidd", "stupid"), ("st up id", "stupid"), ("id i ot", "idiot"), ("i d io t", "idiot"), ("stu pid", "stupid"), ("st-up-id", "stupid"), ("st - up. id", "stupid"), ("id.i ot", "idiot"), ("ii dd ii oo tt", "idiot")])
+@pytest.mark.parametrize("text, word", [("iidiot", "idiot"), ("sttuuppiidd", "stupid"), ("st up id", "stupid"), ("id i ot", "idiot"), ("i d io t", "idiot"), ("stu pid", "stupid"), ("st-up-id", "stupid"), ("st - up. id", "stupid"), ("id.i ot", "idiot"), ("ii dd ii oo tt", "idiot"), ("stup id", "stupid"), ("s tupid", "stupid"), ("idio t", "idiot"), ("l oser", "loser"), ("stupi d", "stupid"), ("st_upid", "stupid"), ("5tup 1d", "stupid")])
 def test_doubled_letters_and_pieces_are_restored(text, word):
     assert word in toxicity.Restorer(char_model()).words(f"and {text}, so")
     assert toxicity.Restorer(char_model()).words(f"{text} the {text}")[word] == 2
 
 
+def test_long_runs_are_decoded_in_one_pass():
+    got = toxicity.Restorer(char_model()).words(" ".join("i d i o t".split() * 400))
+    assert got == {"idiot": 400, "i": 800, "d": 400, "o": 400, "t": 400}
+
+
+def test_decoding_finds_the_likeliest_path_of_all():
+    model, rng = char_model(), random.Random(3)
+
+    def cost(path):
+        state, total = "^^", 0.0
+        for written, price in path:
+            total -= price
+            for c in written:
+                if c == " " and state == "^^":
+                    continue
+                total += model(state + ("$" if c == " " else c))
+                state = "^^" if c == " " else state[1] + c
+        return total + (model(state + "$") if state != "^^" else 0.0)
+
+    for _ in range(400):
+        text = "".join(rng.choice("idotsule013! .") * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(1, 8)))
+        best: dict = {}
+        for path in itertools.product(*map(toxicity.ways, toxicity.runs(text))):
+            read = "".join(w for w, _ in path)
+            best[read] = max(cost(path), best.get(read, -math.inf))
+        top = max(best.values())
+        for known in (None, {}):
+            assert best[toxicity.decode(text, model, known)] > top - 1e-9
+    # a lattice in stretches, whose readings are kept, is the same as one in a whole
+    known: dict = {}
+    for _ in range(2000):
+        text = "".join(rng.choice("idotsule01! ") * rng.choice((1, 1, 1, 1, 2)) for _ in range(rng.randrange(1, 25)))
+        assert toxicity.decode(text, model, known) == toxicity.likeliest(toxicity.runs(text), model)
+
+
 def test_real_double_letters_and_short_words_stay():
     words = ("happy", 40), ("all", 60), ("in", 80), ("the", 90), ("of", 80), ("it", 50)
     model = toxicity.CharModel(Counter(g for w, n in words for g in [f"^^{w}$"[k : k + 3] for k in range(len(w) + 1)] for _ in range(n)))
