@@ -216,18 +216,29 @@ class Units:
 
 
 class UnitCounts(Units):
-    """Token counts of units without their ids: the dynamic program counts the new units of a text in one go."""
+    """Token counts of units without their ids: the dynamic program counts the new units of a text in one go, and words
+    with and without a mark behind them once."""
+
+    def __init__(self, *args, **kwargs):
+        self.heads: dict[str, int] = {}
+        super().__init__(*args, **kwargs)
 
     def add(self, keys: list[str]) -> None:
+        if len(self.heads) > self.limit // 2:
+            self.heads.clear()
         counts, words, owners, pieces, others = [0] * len(keys), [], [], [], []
         for n, key in enumerate(keys):
             unit = self.unit(key)
             word = unit[1:] if unit[0] == " " else unit
             tail = word[-1:] if word[-1:] in self.marks else ""
             if LETTERS.fullmatch(word[: len(word) - len(tail)]):
-                words.append(unit[: len(unit) - len(tail)])
-                owners.append(n)
+                head = unit[: len(unit) - len(tail)]
                 counts[n] = len(self.marks[tail]) if tail else 0
+                if head in self.heads:
+                    counts[n] += self.heads[head]
+                else:
+                    words.append(head)
+                    owners.append(n)
             elif any(s in unit for s in self.special):
                 counts[n] = len(self.encode(unit))
             else:
@@ -237,11 +248,13 @@ class UnitCounts(Units):
         # words have no line feed of their own
         shown = self.shown("\n".join(words)).replace(self.alphabet[10], "\n").split("\n") if words else []
         lines = shown + pieces
-        at, total = 0, self.piece_counts("\n".join(lines))
+        at, total, whole = 0, self.piece_counts("\n".join(lines)), []
         for n, line in zip(owners + others, lines):
             at += len(line)
             counts[n] += total[at]
+            whole.append(total[at])
             at += 1
+        self.heads.update(zip(words, whole))
         for key, n in zip(keys, counts):
             self.known[key] = len(self.known)
             self.ends.append(self.ends[-1] + n)
