@@ -84,6 +84,22 @@ def test_fold_finds_every_matching_pair(spark):
     assert got == want
 
 
+def test_fold_looks_up_few_pairs_among_equal_beginnings(spark):
+    """Names of one length next to a few of other lengths: only those that differ by a letter meet."""
+    names = [f"customer {i * 7919 % 100000:09d}" for i in range(150)] + ["custome 000007919", "customers 000007919 x"]
+    sigs = spark.createDataFrame([(" ".join(sorted(n.split())), len(n), i) for i, n in enumerate(names)], "sig string, a int, pos bigint")
+    assert FO.lookups(sigs).most_pairs() <= 10 * len(names)
+
+
+def test_fold_finds_pairs_whose_words_change_places(spark):
+    names = ["axxxxxxxx mm", "mm zxxxxxxxx", "bc defghijklmno", "bcdefghijklmnoq", "ab cdefghijk lm", "abcdefghijkx lm", "m abcdefghijklm", "n abcdefghijklm"]
+    names = [" ".join(sorted(n.split())) for n in names]
+    sigs = spark.createDataFrame([(n, len(n), i) for i, n in enumerate(names)], "sig string, a int, pos bigint")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in FO.matching_pairs(sigs).collect()}
+    want = {tuple(sorted((x, y))) for i, x in enumerate(names) for y in names[i + 1:] if token_set_model(x, y) >= 90}
+    assert got == want and len(want) >= 3
+
+
 def test_hot_token_is_salted_not_dropped(spark, monkeypatch):
     monkeypatch.setattr(FO, "ROWS_PER_SALT", 3)
     names = [f"liquors {w}" for w in ("alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma")] + ["liquors"]
