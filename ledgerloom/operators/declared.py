@@ -233,12 +233,13 @@ def upsert_dimension(store: Store, dim: dict, spec: StarSpec, sources: list[Data
     firsts = found.filter(_filled(keys)).groupBy(*key).agg(F.min("_at").alias("_at")).withColumn(BUCKET, _bucket(keys))
     stored = _read(store, table, bucketed=True)
     there = stored.select(F.col(BUCKET).alias("_b"), *[F.col(k).alias(f"_k_{k}") for k in key])
-    missing = firsts.join(there, (F.col(BUCKET) == F.col("_b")) & _same(keys, [F.col(f"_k_{k}") for k in key]), "left_anti")
+    # written first, so that the source rows are moved only where new keys are too many to broadcast, and never for none
+    missing = durable(firsts.join(there, (F.col(BUCKET) == F.col("_b")) & _same(keys, [F.col(f"_k_{k}") for k in key]), "left_anti"), f"missing-{table}")
+    if missing.isEmpty():
+        return read_declared(store, table)
     fresh = found.join(missing.select("_at", BUCKET), "_at") if set(names) - set(key) else missing
     fresh = durable(fresh.select(_hash(keys, F.lit(table)).alias(pk), *names, BUCKET), f"new-{table}")
     touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most BUCKETS numbers
-    if not touched:
-        return read_declared(store, table)
     for seed in range(1, 9):
         twice = fresh.groupBy(pk).count().filter(F.col("count") > 1).select(pk)
         taken = fresh.select(pk).join(stored.select(pk), pk, "left_semi")
@@ -281,12 +282,17 @@ def load(store: Store, spec: StarSpec, tabs: dict[str, Tab], upload_id: str) ->
             key = _natural_key(dims[dim], spec, known[dim])
             pk = next(c["name"] for c in spec.of(dim) if c["role"] == "pk")
             values = [F.col(f"d_{dim}")[k] for k in key]
+            # every key of a source row is stored by now, under its hash; only keys that got another number, by a
+            # collision or from other key columns, are looked up
+            hashed = lookups[dim].select(F.col(pk).alias(column), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)])
+            own = [F.col(f"_k{n}") for n in range(len(key))]
+            odd = durable(hashed.filter(F.col(column) != _hash(own, F.lit(dim))).withColumn("_none", F.lit(0).cast("long")), f"odd-{dim}")
             # rows without a key have no partner; numbers of their own keep them apart
             apart = F.when(_filled(values), F.lit(0)).otherwise(F.pmod(F.xxhash64("at"), F.lit(4096)) + 1)
             given = rows.withColumns({"_apart": apart, **{f"_v{n}": v for n, v in enumerate(values)}})
-            parents = lookups[dim].select(F.lit(0).cast("long").alias("_none"), F.col(pk).alias(column), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)])
-            match = (F.col("_apart") == F.col("_none")) & _same([F.col(f"_v{n}") for n in range(len(key))], [F.col(f"_k{n}") for n in range(len(key))])
-            rows = given.join(parents, match, "left").select(*rows.columns, column)
+            match = (F.col("_apart") == F.col("_none")) & _same([F.col(f"_v{n}") for n in range(len(key))], own)
+            number = F.coalesce(F.col(column), F.when(_filled(values), _hash(values, F.lit(dim))))
+            rows = given.join(odd, match, "left").select(*rows.columns, number.alias(column))
         pk = next((c["name"] for c in spec.of(table) if c["role"] == "pk"), None)
         if pk:
             # the row's place in its upload, so loading again gives equal keys

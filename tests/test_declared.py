@@ -88,3 +88,25 @@ def test_widened_dimensions_keep_old_rows_and_an_empty_upload_takes_its_facts_ba
     assert {(r.country, r.code): r.again for r in D.read_declared(store, "dim_place").collect() if r.again} == {("it", 3): "new"}
     D.load(store, wider, tabs(spark, []), "u1")
     assert len(places(store)) == 6 and D.read_declared(store, "fact_visits").count() == 4
+
+
+def test_a_load_without_new_keys_moves_no_source_rows_for_them(spark, store, monkeypatch):
+    D.load(store, SPEC, tabs(spark, FIRST), "u1")
+    made, plain = {}, D.durable
+    monkeypatch.setattr(D, "durable", lambda df, label, *by: made.setdefault(label, df) and plain(df, label, *by))
+    D.load(store, SPEC, tabs(spark, FIRST), "u1")
+    assert made["missing-dim_place"].count() == 0 and not any(label.startswith(("new-", "old-", "clash-")) for label in made)
+    # keys whose number is their hash are not looked up
+    assert made["odd-dim_place"].count() == 0 and made["odd-dim_pair"].count() == 0
+
+
+def test_facts_find_keys_that_have_other_numbers(spark, store, monkeypatch):
+    plain = D._hash
+    with monkeypatch.context() as m:
+        m.setattr(D, "_hash", lambda c, *first: F.pmod(plain(c, *first), F.lit(3)) if len(first) == 1 else plain(c, *first))
+        D.load(store, SPEC, tabs(spark, [("de", k, "x", k) for k in range(20)] + [(None, None, "none", 99)]), "u1")
+    # numbers that the first load gave are no hashes of their keys for the second one
+    D.load(store, SPEC, tabs(spark, [("de", k, "x", k) for k in range(10, 30)]), "u2")
+    facts, dim = D.read_declared(store, "fact_visits"), D.read_declared(store, "dim_place")
+    assert facts.join(dim, "place_key").filter("code = n AND country = 'de'").count() == 40
+    assert facts.filter("place_key IS NULL").select("n").collect() == [(99,)]
