@@ -22,6 +22,16 @@ def test_cells_are_typed(spark):
     assert (kept[0]["kind"], kept[0]["text"]) == ("str", "007")
 
 
+def test_blank_test_trims_only_what_may_be_blank(spark):
+    blank = ["", " ", None, *X.WHITE_SPACE, X.WHITE_SPACE, "\u3000 \t"]
+    filled = ["!", "~", "a", "\x7f", "\x00", "\u200b", "é", " a ", "a\u3000", "\u3000a", "名", "\U0001f600", "0"]
+    assert one(spark, blank + filled, "string", X.is_blank) == [True] * len(blank) + [False] * len(filled)
+    assert one(spark, blank + filled, "string", X.blank_to_null) == [None] * len(blank) + filled
+    for test in (X.is_blank, X.blank_to_null):
+        plan = spark.range(1).select(test(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+        assert 0 <= plan.find(">= !") < plan.find("btrim")
+
+
 def test_numbers(spark):
     got = one(spark, ["$1,234.50", "(12)", "5%", "1d", "nan", "inf", "1e5", "", None, " 7 "], "string", casts.to_number)
     assert got == [1234.5, None, 5.0, None, None, None, 1e5, None, None, 7.0]
