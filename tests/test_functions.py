@@ -32,6 +32,18 @@ def test_blank_test_trims_only_what_may_be_blank(spark):
         assert 0 <= plan.find(">= !") < plan.find("btrim")
 
 
+def test_dates_times_and_numbers_are_computed_once(spark):
+    dates = ["1/2/98", " 01/02/1998 x", "1/2/123", "1998-1-2T", "98-1-2", "1/2/12345", "x", "", None]
+    assert one(spark, dates, "string", casts.iso_date) == [
+        "2098-01-02", "1998-01-02", "20123-01-02", "1998-01-02", "98-1-2", "1234-01-02", "x", "", None]
+    times = ["1:05", "x11:05:0", "01:05:099", "1:5", "", None]
+    assert one(spark, times, "string", casts.time_of_day) == ["01:05:00", "11:05:00", "01:05:09", "00:00:00", "00:00:00", "00:00:00"]
+    for made in (casts.iso_date, casts.time_of_day, casts.to_number, lambda c: casts.coerce(c, "decimal")):
+        plan = spark.range(1).select(made(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        # one pattern for each text, on a text that is cut to shape once
+        assert plan.count("regexp_extract(") + plan.lower().count("rlike") == 1 and plan.count("translate(") <= 1, plan
+
+
 def test_numbers(spark):
     got = one(spark, ["$1,234.50", "(12)", "5%", "1d", "nan", "inf", "1e5", "", None, " 7 "], "string", casts.to_number)
     assert got == [1234.5, None, 5.0, None, None, None, 1e5, None, None, 7.0]

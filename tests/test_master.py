@@ -129,6 +129,18 @@ DATA = [
 ]
 
 
+def test_keys_are_made_for_couples_of_id_and_name(spark):
+    rows = spark.createDataFrame(
+        [(1, "s", "A-1", "Tom"), (2, "s", "a 1", "Tom"), (3, "s", None, "Tom#2"), (4, "s", " ", "tom 2"), (5, "s", None, None), (6, "s", "A-1", "Tom"), (7, "s", "A-1", None)],
+        "pos long, source_table string, customer_id string, customer string")
+    found = M.instances(rows, M.SPECS["customer"])
+    assert sorted((r.key, r.name or "", r.id or "", r.n, r.first_pos) for r in found.collect()) == [
+        ("a 1", "", "A-1", 1, 7), ("a 1", "Tom", "A-1", 2, 1), ("a 1", "Tom", "a 1", 1, 2), ("name:tom 2", "Tom#2", "", 1, 3), ("name:tom 2", "tom 2", "", 1, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    grouped, _, rows_plan = plan.partition("+- ")
+    assert "regexp_replace" in grouped and "regexp_replace" not in rows_plan
+
+
 def test_golden_records(spark):
     got = {r["name"]: r for r in M.golden_records(rows(spark, DATA), "customer").collect()}
     assert set(got) == {"Bar One", "Cook Bar", "Lavallette Liquors"}
