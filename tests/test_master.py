@@ -241,3 +241,53 @@ def test_golden_ids_that_meet_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(M, "golden_id", lambda entity, key: F.concat(F.lit("cus_"), F.length(key).cast("string")))
     got = {r["key"]: r["golden_id"] for r in M.unique_ids(spark.createDataFrame([("aa", 1), ("bb", 2), ("ccc", 3)], "key string, x int"), "customer").collect()}
     assert got["aa"] == "cus_2" and got["ccc"] == "cus_3" and len(got["bb"]) == 44 and len(set(got.values())) == 3
+
+
+def indexes(spark, ids, names):
+    return M.Index(spark.createDataFrame(ids, "id string, golden_id string"), spark.createDataFrame(names, "name_form string, golden_id string"))
+
+
+def test_a_row_meets_one_number_for_each_entity(spark):
+    """Couples are looked up by id, else by name; rows move once for each entity, without texts that nobody uses."""
+    data = [(1, "A", "Tom"), (2, "A", None), (3, "B", "Tom"), (4, None, "Tom"), (5, None, " "), (6, "X", "Nobody"), (7, " ", None), (8, "Tom", None)]
+    df = spark.createDataFrame(data, "pos long, customer_id string, customer string")
+    found = {"customer": indexes(spark, [("A", "cus_00000000aa"), ("B", "cus_" + "0b" * 20)], [("tom", "cus_00000000cc")])}
+    want = {1: "cus_00000000aa", 2: "cus_00000000aa", 3: "cus_" + "0b" * 20, 4: "cus_00000000cc", 5: None, 6: None, 7: None, 8: None}
+    assert {r.pos: r.customer_golden_id for r in M.lookups(df, found).collect()} == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = M.lookups(df, found).select("pos", "customer_golden_id")
+        plan = moved._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and {r.pos: r.customer_golden_id for r in moved.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_golden_ids_of_other_forms_and_equal_numbers(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"C{k}", None) for k in range(20)], "pos long, customer_id string, customer string")
+    found = {"customer": indexes(spark, [(f"C{k}", f"cus_Z{k}") for k in range(20)], [])}
+    real, seeds = M._couple, []
+    # the first seed gives two couples one number, the second one that is kept free
+    monkeypatch.setattr(M, "_couple", lambda i, n, seed: (seeds.append(seed), F.length(i).cast("long") + 9000 if seed == 0 else F.substring(i, 2, 9).cast("long") if seed == 1 else real(i, n, seed))[1])
+    got = M.lookups(df, found).collect()
+    assert {r.pos: r.customer_golden_id for r in got} == {k: f"cus_Z{k}" for k in range(20)} and max(seeds) == 2
+
+
+def test_foreign_keys_are_counted_in_one_pass(spark):
+    fact = spark.createDataFrame([("a", "x"), ("a", None), ("b", "y"), ("b", "x"), (None, None)], "k string, m string")
+    dims = {"d": spark.createDataFrame([("a",)], "golden_id string"), "e": spark.createDataFrame([("x",), ("y",)], "golden_id string")}
+    lost = W.fk_violations(fact, dims, {"k": "d", "m": "e"})
+    assert {(r["foreign_key"], r["references"], r["violations"]) for r in lost.collect()} == {("k", "d", 2), ("m", "e", 0)}
+    assert lost._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [k#") == 1
+
+
+def test_upload_rows_are_cleaned_once_and_not_copied(spark, monkeypatch):
+    from registered import warehouse as R
+
+    made = []
+    monkeypatch.setattr(R, "durable", lambda df, label, by=None: made.append(label))
+    monkeypatch.setattr(R, "conformed", lambda s, d: s.createDataFrame([(k, k, f"C{k}") for k in range(9)], "pos long, l_orderkey long, customer string"))
+    monkeypatch.setattr(R, "products", lambda s, d: s.createDataFrame([(0, "P", "p", 1.0, "2")], "pos long, product_code string, product string, unit_price double, unit_size string"))
+    st = R.warehouse(spark, scratch_path(spark, "no-tables"))
+    assert st.read("Sales").count() == 9 and "conformed" not in made

@@ -28,3 +28,29 @@ def test_numbers_within_groups_and_of_nothing(spark):
         assert [r.n for r in own] == list(range(1, len(own) + 1)) and {r["size"] for r in own} == {len(own)}
     assert numbered(df.limit(0), [F.asc("k")], "n").count() == 0
     assert free_name(df, "G") == "_G"
+
+
+def test_numbers_in_blocks_move_rows_once_and_write_none(spark, monkeypatch):
+    from ledgerloom.operators import numbering as N
+
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = random.Random(3)
+    places = [None, *rng.sample(range(-50, 4000), 900), *rng.sample(range(1 << 41, (1 << 41) + 900), 300)]
+    df = spark.createDataFrame([(p, k) for k, p in enumerate(places)], "pos long, k int").repartition(6)
+    begin, written = N.block_starts(df.select("pos")), []
+    monkeypatch.setattr(N, "durable", lambda *a: written.append(a))
+    numbered_rows = N.numbered_in_blocks(df, "pos", "n", begin)
+    got = sorted(numbered_rows.collect(), key=lambda r: r.n)
+    assert [r.pos for r in got] == sorted(places, key=lambda p: (p is not None, p or 0)) and [r.n for r in got] == list(range(1, len(places) + 1))
+    assert not written and "rangepartitioning" not in numbered_rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_starts_add_up_what_smaller_keys_have(spark):
+    from ledgerloom.operators.numbering import starts
+
+    counts = {k: 1 + k * 7 % 5 for k in range(-300, 3000, 3)} | {None: 4}
+    got = {r.k: r.at for r in starts(spark.createDataFrame(list(counts.items()), "k long, n long").repartition(5), "k", "n", "at").collect()}
+    total = 0
+    for k in sorted(counts, key=lambda k: (k is not None, k or 0)):
+        assert got[k] == total
+        total += counts[k]
