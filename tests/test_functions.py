@@ -136,3 +136,17 @@ def test_ratios_match_models(spark):
         assert abs(r.r - ratio_model(r.a, r.b)) < 1e-9
         assert abs(r.p - partial_model(r.a, r.b)) < 1e-9
         assert abs(r.t - token_set_model(r.a, r.b)) < 1e-9, (r, token_set_model(r.a, r.b))
+
+
+def test_cells_of_odd_texts(spark):
+    texts = ["", "0", "-0", "-", ".", "-.", "00", "-007", "007", "12", "-12", "1.50", ".5", "-.5", "5.", "1-2", "--1", "1.2.3", "1/2", "+1", "a1", "$1", " 1", "1 ", "9" * 30, "1e5", "é", "-x", "0x"]
+    want = {"0": ("int", "0"), "-0": ("int", "0"), "00": ("int", "0"), "-007": ("int", "-7"), "007": ("int", "7"), "12": ("int", "12"), "-12": ("int", "-12"), "1.50": ("float", "1.5"),
+            ".5": ("float", "0.5"), "-.5": ("float", "-0.5"), "5.": ("float", "5.0"), "9" * 30: ("int", "9" * 30)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for keep in (False, True):
+        got = {r.t: r.c and tuple(r.c) for r in df.select("t", casts.typed_cell(F.col("t"), keep).alias("c")).collect()}
+        kept = {t: ("str", t) for t in ("00", "-007", "007")} if keep else {}
+        assert got == {t: None if t == "" else {**want, **kept}.get(t, ("str", t)) for t in texts}
+    # a text that is no number by its first letter meets no pattern, and none is tried more than once
+    plan = df.select(casts.typed_cell(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 3
