@@ -150,3 +150,12 @@ def test_cells_of_odd_texts(spark):
     # a text that is no number by its first letter meets no pattern, and none is tried more than once
     plan = df.select(casts.typed_cell(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 3
+
+
+def test_usual_doubles_are_written_as_they_are(spark):
+    xs = [0.0, -0.0, 1e-3, 9.99e-4, 9999999.0, 9999999.5, 1e7, 1e16, 1.5e-5, -2.25, 1e300, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in df.select(X.text_of(F.col("x"), T.DoubleType())).collect()] == [repr(x) for x in xs]
+    # the first branch is the plain text
+    plan = df.select(X.text_of(F.col("x"), T.DoubleType()).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("THEN cast(x") < plan.index("isnan") if "isnan" in plan else "THEN cast(x" in plan
